@@ -87,3 +87,8 @@ def remainder_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; 0 for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
+
+
+def sent_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """df to be broadcast if it has at most that many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
