@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import tempfile
@@ -59,14 +60,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; frames that read them can't be used any more."""
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; frames that read them can't be used any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application."""
+    delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A list that holds, at the end, the scratch tables written inside."""
+    before, paths = set(_written.get(spark.sparkContext.applicationId, [])), []
+    yield paths
+    paths += [p for p in _written.get(spark.sparkContext.applicationId, []) if p not in before]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
