@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quayside.sources.scratch import written
+
 TRANSFER = 10
 FLOORS = range(300, 1260, 60)
 ROUNDS = 3
@@ -71,6 +73,7 @@ def improved(before: DataFrame | None, rides: DataFrame, keys: list[str]) -> Dat
 def rounds(calls: DataFrame, searches: DataFrame, footpaths: DataFrame | None = None, n: int = ROUNDS) -> list[DataFrame]:
     """Labels after 1, 2, ... n trains, of searches (origin, floor). The origin itself is never a label."""
     paths = directed(footpaths) if footpaths is not None else None
+    calls, searches = written(calls, "calls"), written(searches.select(*SEARCH), "searches")
     start = searches.select("origin", "floor", F.col("origin").alias("station"), F.col("floor").cast("long").alias("ready"), F.col("origin").alias("prev"), F.lit(None).cast("string").alias("mode"))
     out: list[DataFrame] = []
     for k in range(n):
@@ -79,7 +82,7 @@ def rounds(calls: DataFrame, searches: DataFrame, footpaths: DataFrame | None =
             # the origin stays boardable from the floor on, without a buffer
             ready = ready_from(out[-1], paths, SEARCH).filter("station <> origin").unionByName(start)
         rides = ride(board(ready, calls, SEARCH), calls, SEARCH).filter("station <> origin")
-        out.append(improved(out[-1] if out else None, rides, SEARCH))
+        out.append(written(improved(out[-1] if out else None, rides, SEARCH), f"labels{k + 1}"))
     return out
 
 
@@ -106,7 +109,10 @@ def strictly_improving(rows: DataFrame, group: list[str], order: str, value: str
 
 def journeys(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None = None) -> DataFrame:
     """origin, dest, trains, duration, floor, k: the best journey with each number of trains, fewer trains being beaten strictly."""
-    labels = rounds(calls, departure_floors(calls, origins), footpaths)
+    return best_journeys(rounds(calls, departure_floors(calls, origins), footpaths))
+
+
+def best_journeys(labels: list[DataFrame]) -> DataFrame:
     paths = walked(labels).withColumn("duration", F.col("arr") - F.col("first_dep"))
     best = paths.groupBy("origin", F.col("station").alias("dest"), "trains").agg(F.min(F.struct("duration", "floor", "k")).alias("m")).select("origin", "dest", "trains", "m.*")
     return strictly_improving(best, ["origin", "dest"], "trains", "duration")
@@ -128,14 +134,15 @@ def legs(labels: list[DataFrame], best: DataFrame) -> DataFrame:
 def evidence(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None = None) -> DataFrame:
     """origin, trip (its departure), departure, dest and arr1 to arr3: earliest arrivals by trains for every trip that calls at the origin."""
     keys = ["origin", "start"]
+    calls = written(calls, "calls")
     first = calls.join(origins.select(F.col("origin").alias("station")), "station").groupBy(F.col("station").alias("origin"), F.col("trip_id").alias("start")).agg(F.min(F.struct("idx", "dep")).alias("f"))
     first = first.select("origin", "start", F.col("f.idx").alias("from_idx"), F.col("f.dep").alias("departure"))
     paths = directed(footpaths) if footpaths is not None else None
     later = first.join(calls.withColumnRenamed("trip_id", "start"), "start").filter("idx > from_idx and station <> origin")
-    labels = [later.groupBy(*keys, "station").agg(F.min("arr").alias("arr"))]
+    labels = [written(later.groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence")]
     for _ in range(ROUNDS - 1):
         rides = ride(board(ready_from(labels[-1], paths, keys), calls, keys), calls, keys).select(*keys, "station", "arr")
-        labels.append(labels[-1].unionByName(rides).groupBy(*keys, "station").agg(F.min("arr").alias("arr")))
+        labels.append(written(labels[-1].unionByName(rides).groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence"))
     tiers = reduce(DataFrame.unionByName, [x.select(*keys, "station", *[(F.col("arr") if i >= k else F.lit(None).cast("long")).alias(f"arr{i + 1}") for i in range(ROUNDS)]) for k, x in enumerate(labels)])
     out = tiers.filter("station <> origin").groupBy(*keys, "station").agg(*[F.min(f"arr{i + 1}").alias(f"arr{i + 1}") for i in range(ROUNDS)])
     return out.join(first.select(*keys, "departure"), keys).select("origin", F.col("start").alias("trip"), "departure", F.col("station").alias("dest"), *[f"arr{i + 1}" for i in range(ROUNDS)])

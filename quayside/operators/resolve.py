@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.geo import flat_m, great_circle_m, grid_km
 from quayside.functions.text import booking_name, code_of, merge_name
+from quayside.sources.scratch import written
 
 NEAR_M = 500
 CELL = 0.1
@@ -36,7 +37,6 @@ def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}") -> DataFram
 
     Decisions never leave a block of stops that are linked by equal names or codes; blocks are folded apart."""
     rows = stops.select("ord", merge_name(F.col("name")).alias("norm"), code_of(F.col("stop_id"), code_pattern).alias("code"), "lat", "lon")
-    spark = stops.sparkSession
     block = rows.groupBy("norm").agg(F.min("ord").alias("block"))
     labels = rows.join(block, "norm")
     while True:  # names and codes alternate until no block moves
@@ -44,7 +44,7 @@ def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}") -> DataFram
         step = labels.join(by_code, "code", "left").withColumn("new", F.least("block", F.coalesce("b", "block"))).drop("b")
         by_name = step.groupBy("norm").agg(F.min("new").alias("b"))
         step = step.join(by_name, "norm").withColumn("new", F.least("new", "b")).drop("b")
-        step = step.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.persist()
+        step = written(step, "blocks")
         moved = not step.filter("new <> block").isEmpty()
         labels = step.drop("block").withColumnRenamed("new", "block")
         if not moved:

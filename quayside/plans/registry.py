@@ -100,7 +100,7 @@ def departure_floors(spark, sf):
 def reach_legs(spark, sf):
     calls, paths = june(spark, sf), tt.footpaths(spark, sf)
     labels = reach.rounds(calls, reach.departure_floors(calls, origins(spark, sf)), paths)
-    return reach.legs(labels, reach.journeys(calls, origins(spark, sf), paths)).withColumns({"dep_clock": text.clock(F.col("board_dep")), "arr_clock": text.clock(F.col("arr"))})
+    return reach.legs(labels, reach.best_journeys(labels)).withColumns({"dep_clock": text.clock(F.col("board_dep")), "arr_clock": text.clock(F.col("arr"))})
 
 
 @query("departure_evidence", "SELECT origin, trip, departure, dest, arr1, arr2, arr3 FROM o_evidence")
