@@ -36,6 +36,8 @@ COMMON = 0.05
 #: Rows of the index that verifying one candidate is worth.
 VERIFY = 50
 LEADER_ROUNDS = 2
+#: Groups of at most so many sets are compared pair by pair, larger ones in blocks.
+SMALL_GROUP = 12
 #: Shingles that a block of sets holds about, and its least and most sets.
 BLOCK = (400_000, 32, 1024)
 CACHE_WORDS = 1_000_000
@@ -239,7 +241,13 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
     meets every block, in tasks that hold two blocks."""
     groups = written(groups.join(toks.select("rep", F.size("toks").alias("n")).dropDuplicates(["rep"]), "rep"), "jaccard-groups")
     main = groups.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    main = main.join(groups.groupBy("a").agg(F.count("*").alias("g")), "a")
     rows = groups.join(main, "a").withColumn("other", F.col("comp") != F.col("main"))
+    few = rows.filter(F.col("g") <= SMALL_GROUP).select("a", "rep", "comp", "other", "n")
+    left, right = few.filter("other").alias("l"), few.alias("r")
+    near = (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (F.col("l.comp") != F.col("r.comp"))
+    pairs = left.join(right, "a").filter(near).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    rows = rows.filter(F.col("g") > SMALL_GROUP)
     total, least, most = BLOCK
     per = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(total) / F.max("n"))))
     blocks = rows.groupBy("a").agg(F.ceil(F.count_if("other") / per).alias("n_other"), F.ceil(F.count_if(~F.col("other")) / per).alias("n_main"))
@@ -259,7 +267,8 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
         got = block_links(frame[first], frame[second], percent)
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    large = dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long")
+    return large.union(verified(pairs, toks, percent)).distinct()
 
 
 def block_links(left, right, percent: int) -> list[tuple[int, int]]:
@@ -338,7 +347,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             found = written(links_in_blocks(inside.select("a", "rep", "comp").distinct(), toks, percent), "jaccard-links")
         else:
             lead = inside.filter("rep = a").select("sig", F.col("comp").alias("ca"))
-            pairs = inside.join(lead, "sig").filter("comp <> ca").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+            # each set meets the leader with which it shares most entries; others are left to the next round
+            shared = inside.join(lead, "sig").filter("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("c"))
+            best = shared.groupBy("rep").agg(F.max(F.struct("c", "a")).alias("m")).select("rep", "m.a")
+            pairs = best.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
             found = written(verified(pairs, toks, percent), "jaccard-links")
         if not found.isEmpty():
             edges = edges.union(found).distinct()
