@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.common import written
+from quayside.llm.common import sent_if_small, written
 
 WIDTH = 3
 PERCENT = 90
@@ -39,8 +39,10 @@ LEADER_ROUNDS = 2
 #: Groups of at most so many sets are compared pair by pair, larger ones in blocks.
 SMALL_GROUP = 12
 #: Shingles that a block of sets holds about, and its least and most sets.
-BLOCK = (400_000, 32, 1024)
-CACHE_WORDS = 1_000_000
+BLOCK = (800_000, 32, 2048)
+CACHE_WORDS = 400_000
+#: Up to so many sets that need verifying, their ids are broadcast to find their texts; beyond, texts are joined by shuffle.
+SENT_IDS = 4_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _word_hashes: "WordHashes | None" = None
@@ -257,7 +259,8 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
     partners = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("n_other") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1))
     rows = rows.withColumn("place", place).withColumn("partner", F.explode(partners))
     dealt = rows.select("a", F.least("place", "partner").alias("x"), F.greatest("place", "partner").alias("y"), "place", "rep", "comp")
-    dealt = dealt.join(toks.select("rep", "toks"), "rep")
+    # blocks get half of each hash, which can only add candidates; these are verified on whole hashes
+    dealt = dealt.join(toks.select("rep", F.transform("toks", lambda x: F.shiftright(x, 32).cast("int")).alias("toks")), "rep")
 
     def compare(frame):
         import pandas as pd
@@ -268,11 +271,12 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
     large = dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long")
-    return large.union(verified(pairs, toks, percent)).distinct()
+    return verified(large.union(pairs).distinct(), toks, percent)
 
 
 def block_links(left, right, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of two frames (rep, comp, toks) whose components differ; counts common tokens by products of 0/1 matrices."""
+    """Pairs of two frames (rep, comp, toks) that may link and whose components differ; counts common tokens by products
+    of 0/1 matrices. Tokens that fall together in a set could have matched apart, so they count as common."""
     import numpy as np
 
     if not len(left) or not len(right):
@@ -280,10 +284,14 @@ def block_links(left, right, percent: int) -> list[tuple[int, int]]:
 
     def flat(frame):
         sizes = np.array([len(t) for t in frame["toks"]])
-        return sizes, np.concatenate([np.asarray(t, np.int64) for t in frame["toks"]]), np.repeat(np.arange(len(sizes)), sizes)
-
-    n1, t1, r1 = flat(left)
-    n2, t2, r2 = flat(right)
+        tokens = np.concatenate([np.asarray(t, np.int64) for t in frame["toks"]])
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        both = np.unique((rows << 32) + (tokens & 0xFFFFFFFF))
+        rows = both >> 32
+        return sizes, both & 0xFFFFFFFF, rows, sizes - np.bincount(rows, minlength=len(sizes))
+
+    n1, t1, r1, d1 = flat(left)
+    n2, t2, r2, d2 = flat(right)
     shared = np.intersect1d(t1, t2)
     common = np.zeros((len(n1), len(n2)), np.float32)
     p1, p2 = np.searchsorted(shared, t1), np.searchsorted(shared, t2)
@@ -296,10 +304,14 @@ def block_links(left, right, percent: int) -> list[tuple[int, int]]:
         a[q1[i[0] : i[1]], c1[i[0] : i[1]] - k] = 1
         b[q2[j[0] : j[1]], c2[j[0] : j[1]] - k] = 1
         common += a @ b.T
-    both = common.astype(np.int64)
-    union = n1[:, None] + n2[None, :] - both
     comp1, comp2 = left["comp"].to_numpy(), right["comp"].to_numpy()
-    x, y = np.nonzero((100 * both >= percent * union) & (comp1[:, None] != comp2[None, :]))
+    found = []
+    for k in range(0, len(n1), 256):
+        both = common[k : k + 256].astype(np.int64) + np.maximum(d1[k : k + 256, None], d2[None, :])
+        union = n1[k : k + 256, None] + n2[None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (comp1[k : k + 256, None] != comp2[None, :]))
+        found.append((x + k, y))
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
     a, b = left["rep"].to_numpy()[x], right["rep"].to_numpy()[y]
     return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
@@ -322,7 +334,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     members = entries.join(live, "sig").join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct()
     members = written(members, "jaccard-members")
     reps = written(members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep"), "jaccard-reps")
-    wanted = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(reps.select(F.col("rep").alias("did")).distinct(), "did", "left_semi")
+    wanted = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(sent_if_small(reps.select(F.col("rep").alias("did")).distinct(), SENT_IDS), "did", "left_semi")
 
     def one(doc_id, did, text):
         import numpy as np
