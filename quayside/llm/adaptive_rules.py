@@ -37,7 +37,9 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "lang", "source", text.alias("text"), words_of("text").alias("w"), lines.alias("lines"))
-    windows = F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # the generator keeps the hashes from being computed for each use; only texts that repeat one hold on to them
+    hashes = F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("*", F.explode(F.array(hashes)).alias("hashes"))
     return rows.select(
         "uid", "doc_id", "lang", "source",
         F.size("w").cast("long").alias("n_words"),
@@ -45,13 +47,13 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
+        F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.col("hashes")).alias("windows"),
     )
 
 
 def repeat_words(rows: DataFrame) -> DataFrame:
     """uid and the number of words in windows found twice or more, of texts that have such a window."""
-    some = rows.filter(F.size(F.array_distinct("windows")) < F.size("windows")).select("uid", F.posexplode("windows").alias("pos", "h"))
+    some = rows.filter("windows is not null").select("uid", F.posexplode("windows").alias("pos", "h"))
     twice = some.withColumn("n", F.count("*").over(W.partitionBy("uid", "h"))).filter("n > 1")
     after = F.lead("pos").over(W.partitionBy("uid").orderBy("pos"))
     return twice.withColumn("own", F.least(F.lit(WINDOW), F.coalesce(after - F.col("pos"), F.lit(WINDOW)))).groupBy("uid").agg(F.sum("own").cast("long").alias("n_repeat_words"))
