@@ -10,10 +10,13 @@ import re
 from collections.abc import Iterable
 
 #: Most pieces kept by a worker; the table is emptied when full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 _SPACE_THEN_BLANK = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
+#: Marks a piece that no space comes before.
+_FIRST = "\x00"
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
@@ -32,6 +35,7 @@ class PieceEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.keeps_space = self._keeps_space()
+        self.edge = self._edges()
         self.kept: dict[str, bytes] = {}
 
     def _keeps_space(self) -> bool:
@@ -39,25 +43,95 @@ class PieceEncoder:
         return bool(self.model.encode(" ", add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> list[str]:
+        if _FIRST in text:
+            return [_FIRST + text]
         if not self.keeps_space:
+            try:  # letters of this range are made small one by one, as the tokenizer does
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
             return text.replace("\n", " ").split(" ")
         if _SPACE_THEN_BLANK.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [_FIRST + x if x[:1] != " " or x[1:2] in ("", " ") else x[1:] for x in _CUT.split(text)]
+        out = text.split(" ")
+        out[0] = _FIRST + out[0]
+        return out
+
+    def _edges(self):
+        """For each id whether it ends a word (or, with kept spaces, begins one); None if the vocabulary doesn't say so."""
+        import numpy as np
+
+        flags = np.zeros(self.model.get_vocab_size(), bool)
+        for token, k in self.model.get_vocab().items():
+            flags[k] = token.startswith("Ġ") if self.keeps_space else token.endswith("</w>")
+        return flags if flags.any() else None
+
+    def _encode_words(self, words: list[str], rest: set[str]) -> None:
+        """Encode words of letters as one text and part its ids at words' edges; words that don't come out even go to rest."""
+        import numpy as np
+
+        ids = np.asarray(self.model.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.nonzero(self.edge[ids])[0]
+        if len(at) != len(words):
+            rest.update(words)
+            return
+        raw = ids.tobytes()
+        bounds = [*(4 * at).tolist(), len(raw)] if self.keeps_space else [0, *(4 * (at + 1)).tolist()]
+        for w, a, b in zip(words, bounds, bounds[1:], strict=False):
+            self.kept[w] = raw[a:b]
+
+    @staticmethod
+    def _latin(words: list[str], rest: set[str]) -> list[str]:
+        """Words of letters up to U+00FF; the others go to rest."""
+        try:
+            "".join(words).encode("latin-1")
+        except UnicodeEncodeError:
+            rest.update(w for w in words if not w.isascii() and max(w) > "ÿ")
+            return [w for w in words if w not in rest]
+        return words
+
+    def _text_of(self, piece: str) -> str:
+        return piece[1:] if piece[:1] == _FIRST else " " + piece if self.keeps_space else piece
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         import numpy as np
 
         cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.kept) > CACHE_PIECES:
-            self.kept.clear()
-        new = [p for p in {p for c in cut for p in c} if p not in self.kept]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[p] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.kept.__getitem__
+            self.kept = {}
+        kept = self.kept
+        new = set().union(*cut).difference(kept)
+        rest: set[str] = set()
+        # letters and the signs after them are never joined, so each is kept once for all their pairs
+        whole = self._latin([p for p in new if p.isalpha()], rest)
+        pairs = []
+        for p in new.difference(whole, rest):
+            bare = p.rstrip(_SIGNS)
+            if len(bare) < len(p) and bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
+                pairs.append((p, bare, _FIRST + p[len(bare) :]))
+            else:
+                rest.add(p)
+        known = set(whole)
+        for _, a, b in pairs:
+            if a not in kept and a not in known:
+                known.add(a)
+                whole.append(a)
+            if b not in kept:
+                rest.add(b)
+        if self.edge is None:
+            rest.update(whole)
+            whole = []
+        for k in range(0, len(whole), 1000):
+            self._encode_words(whole[k : k + 1000], rest)
+        coded = list(rest)
+        for k in range(0, len(coded), 20_000):
+            part = coded[k : k + 20_000]
+            for p, e in zip(part, self.model.encode_batch_fast([self._text_of(p) for p in part], add_special_tokens=False), strict=True):
+                kept[p] = np.asarray(e.ids, "<u4").tobytes()
+        for p, a, b in pairs:
+            kept[p] = kept[a] + kept[b]
+        get = kept.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
@@ -70,7 +144,7 @@ def encoder(path: str) -> PieceEncoder:
     return _loaded[path]
 
 
-def by_bytes(texts: list[str | None], most: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def by_bytes(texts: list[str | None], most: int = 3_000_000) -> Iterable[tuple[int, int]]:
     """Slices [a, b) of texts that hold about `most` characters each, so that very long texts come alone."""
     a = held = 0
     for b, t in enumerate(texts):
