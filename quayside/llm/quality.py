@@ -28,7 +28,7 @@ DIMS = 1 << BITS
 TRAIN_ROWS = 5000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 FOLDS, HELD_OUT = 3, 1
 
 _known: "dict | None" = None
