@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SPACE_RE, written
+from quayside.llm.common import SPACE_RE, sent_if_small, written
 
 K = 2
 SKETCHES = 64
 LONG_WORD = 24
+HASH_BITS = 26
+#: Up to so many documents the table of next documents is broadcast; beyond, texts are joined by shuffle.
+SENT_ROWS = 2_000_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -37,7 +40,7 @@ def tokens_of(text: Column) -> Column:
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
     """keys and fp, of texts (keys, text): a sorted array of one number for each sketch that has k-mers, its
-    place in the upper 32 bits and its hash in the lower. Texts without words have no row."""
+    place in the upper 6 of 32 bits and its hash in the lower. Texts without words have no row."""
     # the generator keeps the words from being split anew for each k-mer
     w = texts.select(*keys, F.explode(F.array(tokens_of(F.col("text")))).alias("w"))
     last = F.greatest(F.size("w") - (K - 1), F.least(F.size("w"), F.lit(1)))
@@ -52,18 +55,18 @@ def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
     none = F.lit(0).cast("long")
     a, b = F.coalesce("h1", none), F.coalesce("h2", none)
     pair = F.when(F.col("p2") < F.col("p1"), F.xxhash64(b, a)).otherwise(F.xxhash64(a, b))
-    value = F.shiftleft(F.col("sketch").cast("long"), 32).bitwiseOR(pair.bitwiseAND(F.lit((1 << 32) - 1)))
+    value = (F.shiftleft(F.col("sketch").cast("long"), HASH_BITS).bitwiseOR(pair.bitwiseAND(F.lit((1 << HASH_BITS) - 1))) - (1 << 31)).cast("int")
     return least.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("fp"))  # SKETCHES numbers at most
 
 
 def text_form(fp: Column) -> Column:
-    """A fingerprint as hexadecimal digits, ten for each sketch; empty for a text without words."""
-    return F.coalesce(F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 10, "0")), "")), F.lit(""))
+    """A fingerprint as hexadecimal digits, eight for each sketch; empty for a text without words."""
+    return F.coalesce(F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0")), "")), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal sketches among those that either text has."""
-    place = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
+    place = lambda x: F.transform(x, lambda v: F.shiftright(v, HASH_BITS))
     some = F.size(F.array_union(place(a), place(b)))
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.size(F.array_intersect(a, b)) / some)
 
@@ -86,14 +89,14 @@ def next_rows(rows: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, follow: DataFrame) -> DataFrame:
-    """key, doc_id, n_chars, text, next_key and the edited text of docs (key, doc_id, n_chars, text), dealt by key.
+    """key, n_chars, text and the edited text of docs (key, n_chars, text), dealt by key.
 
-    Each document gives the one before it as much of its text as that one needs. Both joins read one exchange of the texts."""
+    Each document gives the one before it as much of its text as that one needs. All uses read one exchange of the texts."""
     wanted = follow.select(F.col("next_key").alias("giver"), F.col("key").alias("taker"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
-    given = docs.join(wanted, F.col("key") == F.col("giver")).select("taker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("gift"), F.struct("doc_id", "n_chars").alias("next"))
+    given = docs.join(sent_if_small(wanted, SENT_ROWS), F.col("key") == F.col("giver")).select("taker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("gift"))
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
     joined = docs.join(given, F.col("key") == F.col("taker"))
-    return joined.select("key", "doc_id", "n_chars", "text", F.concat(F.substring(F.col("text"), F.lit(1), keep), "gift").alias("edited"), F.col("next.doc_id").alias("next_doc_id"))
+    return joined.select("key", "n_chars", "text", F.concat(F.substring(F.col("text"), F.lit(1), keep), "gift").alias("edited"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -101,16 +104,16 @@ def compare(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     own = own.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("th"))).withColumn("n_chars", F.length("text").cast("long"))
     narrow = written(own.groupBy("key", "doc_id", "th", "n_chars").agg(F.count("*").alias("copies")), "order-keys")
-    follow = written(next_rows(narrow).join(narrow.select("key", "n_chars", "copies"), "key"), "order-follow")
-    own = own.select("key", "doc_id", "n_chars", "text")
+    follow = written(next_rows(narrow).join(narrow.select("key", "doc_id", "n_chars", "copies"), "key"), "order-follow")
+    own = own.select("key", "n_chars", "text")
     if not follow.filter("copies > 1").isEmpty():
         own = own.dropDuplicates(["key"])
-    edits = with_edits(own.repartition("key"), follow)
+    edits = with_edits(own, follow)
     both = edits.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")).select("key", "t.which", "t.text")
     fps = fingerprints(both, "key", "which").groupBy("key").agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
-    rows = edits.select("key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_doc_id").join(fps, "key", "left")
+    rows = edits.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(fps, "key", "left")
     rows = written(rows, "order-fingerprints")
     after = rows.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp"))
-    out = rows.join(follow.select("key", "next_key", "copies"), "key").join(after, "next_key")
+    out = rows.join(follow, "key").join(after, "next_key")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("fp")).alias("fingerprint"), text_form(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
