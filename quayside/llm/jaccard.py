@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.llm import worker
 from quayside.llm.common import sent_if_small, written
 
 WIDTH = 3
@@ -40,12 +41,11 @@ LEADER_ROUNDS = 2
 SMALL_GROUP = 12
 #: Shingles that a block of sets holds about, and its least and most sets.
 BLOCK = (800_000, 32, 2048)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Up to so many sets that need verifying, their ids are broadcast to find their texts; beyond, texts are joined by shuffle.
 SENT_IDS = 4_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_word_hashes: "WordHashes | None" = None
 
 
 class WordHashes(dict):
@@ -69,13 +69,11 @@ def shingles(text: str | None, width: int = WIDTH):
     """Sorted distinct hashes of the text's shingles."""
     import numpy as np
 
-    global _word_hashes
-    if _word_hashes is None or len(_word_hashes) > CACHE_WORDS:
-        _word_hashes = WordHashes()
+    known = worker.table("shingles", WordHashes, CACHE_WORDS)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.llm import worker
 from quayside.llm.common import id_hash, remainder_of
 
 DIMS = 4096
@@ -39,6 +40,7 @@ def profile(text: str | None):
     import numpy as np
 
     global _letters
+    worker.table("language")
     if _letters is None:
         _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     if not text:

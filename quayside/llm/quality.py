@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.llm import worker
 from quayside.llm.common import id_hash, remainder_of
 
 BITS = 16
@@ -31,7 +32,6 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 CACHE_WORDS = 150_000
 FOLDS, HELD_OUT = 3, 1
 
-_known: "dict | None" = None
 
 
 class Words(dict):
@@ -51,13 +51,11 @@ def features(text: str | None):
     """Indices (ascending, below DIMS) and values of a text's features."""
     import numpy as np
 
-    global _known
-    if _known is None or len(_known) > CACHE_WORDS:
-        _known = Words()
+    known = worker.table("quality", Words, CACHE_WORDS)
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint32), np.empty(0, np.float32)
-    both = np.array([_known[w] for w in words], np.uint64)
+    both = np.array([known[w] for w in words], np.uint64)
     idx, val = [], []
     for kind, orders in ((0, 2), (1, 3)):
         h = one = both[:, kind]

@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from quayside.llm import worker
+
 #: Most pieces kept by a worker; the table is emptied when full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 
 _SPACE_THEN_BLANK = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
@@ -36,7 +38,7 @@ class PieceEncoder:
         self.model.encode_special_tokens = True
         self.keeps_space = self._keeps_space()
         self.edge = self._edges()
-        self.kept: dict[str, bytes] = {}
+        self.name = f"tokens {path}"
 
     def _keeps_space(self) -> bool:
         """Whether a space belongs to the word after it; else white space leaves no ids."""
@@ -98,8 +100,7 @@ class PieceEncoder:
         import numpy as np
 
         cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.kept) > CACHE_PIECES:
-            self.kept = {}
+        self.kept = worker.table(self.name, most=CACHE_PIECES)
         kept = self.kept
         new = set().union(*cut).difference(kept)
         rest: set[str] = set()
