@@ -17,11 +17,14 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
+#: Rows of an Arrow batch; texts may be long.
+BATCH_ROWS = 1000
+
 _written: dict[str, list[str]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where the driver runs from a checkout."""
+    """Let Python workers import this package where the driver runs from a checkout, and keep Arrow batches of whole texts small."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -29,6 +32,8 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
     if root not in sys.path:
         sys.path.append(root)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

@@ -41,7 +41,7 @@ LEADER_ROUNDS = 2
 SMALL_GROUP = 12
 #: Shingles that a block of sets holds about, and its least and most sets.
 BLOCK = (800_000, 32, 2048)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Up to so many sets that need verifying, their ids are broadcast to find their texts; beyond, texts are joined by shuffle.
 SENT_IDS = 4_000_000
 
