@@ -63,3 +63,39 @@ def test_names_and_codes(spark):
     df = spark.createDataFrame([("S+U München Hauptbahnhof", "12345678:7654321"), ("Łódź Ostbahnhof", "de:1234567:1"), ("Bahnhof", "x")], "n string, c string")
     rows = df.select(text.merge_name(F.col("n")), text.code_of(F.col("c"))).collect()
     assert [tuple(r) for r in rows] == [("munchenhbf", None), ("lodzost", "1234567"), ("bahnhof", None)]
+
+
+def test_every_station_is_an_origin(spark):
+    sf = "/root/testdata/sf0.01"
+    calls = [tuple(r) for r in registry.june(spark, sf).select("trip_id", "idx", "station", "arr", "dep").collect()]
+    trips, deps = {}, {}
+    for t, i, s, a, d in sorted(calls):
+        trips.setdefault(t, []).append((s, a, d))
+        deps.setdefault(s, []).append(d)
+    walks = [(x, y, r.minutes) for r in registry.tt.footpaths(spark, sf).collect() for x, y in ((r.a, r.b), (r.b, r.a))]
+    want = set()
+    for origin in (r.id for r in registry.tt.stations(spark, sf).collect()):
+        # floors with the same next departure count once, as the least
+        floors = {}
+        for f in reach.FLOORS:
+            if nxt := [d for d in deps.get(origin, ()) if d >= f]:
+                floors.setdefault(min(nxt), f)
+        for floor in floors.values():
+            best, ready = {}, {origin: floor}
+            for _ in range(reach.ROUNDS):
+                got = dict(best)
+                for stops in trips.values():
+                    on = False
+                    for s, a, d in stops:
+                        if on and s != origin:
+                            got[s] = min(a, got.get(s, a))
+                        on = on or ready.get(s, d + 1) <= d
+                best = got
+                ready = {s: a + reach.TRANSFER for s, a in best.items()}
+                for x, y, m in walks:
+                    if x in best:
+                        ready[y] = min(ready.get(y, best[x] + m), best[x] + m)
+                ready[origin] = floor
+            want |= {(origin, floor, s, a) for s, a in best.items()}
+    got = {tuple(r) for r in registry.QUERIES["reach_round3"](spark, sf).select("origin", "floor", "station", "arr").collect()}
+    assert got == want and max(r[0] for r in got) >= 10
