@@ -15,6 +15,8 @@ from quayside.llm import common, jaccard, langid, mixing, packing, quality, toke
 
 #: Predictions below this score are no language that the model knows.
 LEAST_LANGUAGE_SCORE = 0.25
+#: Near duplicates share so many per cent of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 _made: list[str] = []
 
@@ -51,7 +53,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least doc_id. Rows that repeat one doc_id and text are one."""
-    kept = jaccard.link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = jaccard.link(docs, NEAR_WIDTH, NEAR_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     out = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
     repeats = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     return out if repeats.isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -203,3 +203,15 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
+
+
+def test_pipeline_takes_near_copies_by_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(500)]
+    edited = [f"x{k}" if k % 50 == 25 else w for k, w in enumerate(words)]
+    far = [f"x{k}" if k % 40 == 20 else w for k, w in enumerate(words)]
+    # of 5 words 0.82 and of 3 words 0.89; far from both, 0.77 and less
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(far[::-1])), (4, " ".join(words[::-1]))]
+    got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4]
