@@ -320,11 +320,12 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     narrow = written(narrow_sets(docs, width), "jaccard-narrow")
     classes = narrow.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("did").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = written(classes, "jaccard-classes")
-    sizes = {r["n"]: r["c"] for r in classes.groupBy((F.floor(F.log("n") * 200)).alias("g")).agg(F.max("n").alias("n"), F.count("*").alias("c")).collect()}  # a row for each half per cent of size
-    bands = band_limits(max(sizes, default=0), percent)
+    bands = band_limits(classes.agg(F.max("n")).first()[0] or 0, percent)
     held = [0] * (len(bands) + 1)
-    for n, c in sizes.items():
-        held[next(k for k, b in enumerate(bands) if n <= b[1])] += c
+    lows = F.array(*[F.lit(b[0]).cast("long") for b in bands])
+    band = F.size(F.filter(lows, lambda low: low <= F.col("n"))) - 1
+    for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("c")).collect() if bands else ():  # a row for each band
+        held[r["band"]] = r["c"]
     # instance j compares band j with itself and with band j + 1; without a difference, equal sets alone link
     plan = {j: allocation(b[1], max(2, held[j] + held[j + 1]), percent) for j, b in enumerate(bands) if differences(b[1], percent) and held[j]}
     entries = written(index_entries(docs, bands, plan, width), "jaccard-index")

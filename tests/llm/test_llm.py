@@ -215,3 +215,16 @@ def test_pipeline_takes_near_copies_by_five_words_and_80_percent(spark):
     rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(far[::-1])), (4, " ".join(words[::-1]))]
     got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(r.doc_id for r in got) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_links_across_band_limits(spark, percent):
+    limits = [high for _, high in jaccard.band_limits(10_000, percent) if high > 200][::2]
+    rows, pairs = [], []
+    for k, high in enumerate(limits):
+        words = [f"w{k}-{i}" for i in range(high + 3)]
+        # high and high + 1 shingles, one on each side of the limit and no other in either band
+        rows += [(2 * k, " ".join(words[: high + 2])), (2 * k + 1, " ".join(words))]
+        pairs += [(2 * k, high, 2 * k), (2 * k + 1, high + 1, 2 * k)]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == pairs
