@@ -99,3 +99,53 @@ def test_every_station_is_an_origin(spark):
             want |= {(origin, floor, s, a) for s, a in best.items()}
     got = {tuple(r) for r in registry.QUERIES["reach_round3"](spark, sf).select("origin", "floor", "station", "arr").collect()}
     assert got == want and max(r[0] for r in got) >= 10
+
+
+def test_queries_take_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    table, run = lambda n: registry.tt.table(spark, sf, n), lambda n: registry.QUERIES[n](spark, sf)
+    assert registry.tt.raw_stops(spark, sf).count() == table("supplier").count() + table("customer").count()
+    pairs = {tuple(r) for r in run("unmerged_duplicates").collect()}
+    assert pairs == {tuple(r) for r in run("proximity_pairs").collect()} and any(a % 2 and b % 2 for a, b in pairs)
+    assert run("overlap_rank").count() == table("supplier").count()
+    nations = {r.n_nationkey: r.n_name for r in table("nation").collect()}
+    lived = {nations[r.c_nationkey] for r in table("customer").collect()}
+    assert all(r.covered == (r.country in lived) for r in run("coverage_sets").collect())
+    assert run("service_week_dates").select("anchor").distinct().count() == table("orders").select(F.to_date("o_orderdate")).distinct().count()
+
+
+def test_through_and_daily_queries_take_all_dates(spark):
+    run = lambda n: registry.QUERIES[n](spark, SF)
+    calls, trips = {}, {r.trip_id: r.train for r in registry.tt.trips(spark, SF).collect()}
+    for r in registry.tt.stop_times(spark, SF).orderBy("trip_id", "idx").collect():
+        calls.setdefault(r.trip_id, []).append(r)
+    own = [t for t, label in trips.items() if any(c.isdigit() for c in label) and len(calls[t]) >= 2]
+    starts = {}
+    for t in own:
+        starts.setdefault((trips[t], calls[t][0].station), []).append(t)
+    want = set()
+    for a in own:
+        x = calls[a]
+        for b in starts.get((trips[a], x[-1].station), ()):
+            y = calls[b]
+            if a != b and 0 <= y[0].dep - x[-1].arr <= 60 and not {c.station for c in x[:-1]} & {c.station for c in y[1:]}:
+                want.add((a, b))
+    assert {(r.a, r.b) for r in run("through_candidates").collect()} == want
+    joined = [t for r in run("through_join").collect() for t in r.members]
+    assert sorted(joined) == sorted(own)
+    least, rides = {}, 0
+    for x in calls.values():
+        first = {}
+        for c in x:
+            first.setdefault(c.station, c)
+        found = {}
+        for s, c in first.items():
+            for d in x:
+                if d.idx > c.idx and d.station != s:
+                    found[s, d.station] = min(d.arr - c.dep, found.get((s, d.station), d.arr - c.dep))
+        rides += len(found)
+        for k, v in found.items():
+            least[k] = min(v, least.get(k, v))
+    assert {(r.origin, r.dest): r.duration for r in run("best_journeys_across_days").collect()} == least
+    summary = run("frequency_summary").collect()
+    assert {(r.origin, r.dest) for r in summary} == set(least) and sum(r.direct_trips for r in summary) == rides
