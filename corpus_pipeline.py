@@ -52,11 +52,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id. Rows that repeat one doc_id and text are one."""
-    kept = jaccard.link(docs, NEAR_WIDTH, NEAR_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
-    repeats = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates: that with the least doc_id, rows without one last, then with the least row key.
+
+    A row's key is the hash of its doc_id and text, so rows that repeat both are one, and a row without doc_id is decided like others."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    groups = jaccard.link(keyed.withColumn("doc_id", F.col("row_key")), NEAR_WIDTH, NEAR_PERCENT).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    kept = groups.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(least).select("m.row_key")
+    out = keyed.join(kept, "row_key", "left_semi")
+    repeats = keyed.groupBy("row_key").count().filter("count > 1")
+    return (out if repeats.isEmpty() else out.dropDuplicates(["row_key"])).select(docs.columns)
 
 
 @_stage

@@ -228,3 +228,12 @@ def test_jaccard_links_across_band_limits(spark, percent):
         pairs += [(2 * k, high, 2 * k), (2 * k + 1, high + 1, 2 * k)]
     got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == pairs
+
+
+def test_pipeline_keeps_one_row_of_a_group_with_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    rows = [(5, a), (None, a), (None, a + " more"), (7, a), (None, b), (None, b + " more"), (None, b), (9, c), (9, c), (9, b + " other"), (11, ""), (None, None)]
+    got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a), (9, c), (9, b + " other"), (11, ""), (None, None)]))
