@@ -1,24 +1,43 @@
-"""Cached encoding with a public byte-pair tokenizer file.
+"""Cached encoding with a public byte-pair tokenizer file; the ids equal those of `tokenizers` on the whole text.
 
-Both vocabularies in use never join characters over certain spaces, so a text is cut there, each
-piece is encoded once per worker and kept in a bounded table. The ids equal those of the whole text.
+Both vocabularies in use never join characters over certain spaces, so a text is cut there and each piece is
+coded once per worker and kept in a bounded table. Pieces of Latin letters, digits and signs are cut further
+by the vocabulary's own pattern, and each part's merges are made by `tiktoken` on ranks that are built from
+the tokenizer file; all other pieces are coded by `tokenizers` itself.
+
+Strings of special tokens in a text are ordinary text (`encode_special_tokens`, as the tokenizer files'
+own description asks), so no text can forge a document's end.
+
+Memory: pieces of over LONG_PIECE characters are coded each time they occur, so the table holds at most
+CACHE_PIECES pieces of that length, under 200 MB whatever the texts are.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterable
 
 from quayside.llm import worker
 
-#: Most pieces kept by a worker; the table is emptied when full.
-CACHE_PIECES = 350_000
+#: Most pieces kept by a worker, and their greatest length; the table is emptied when full.
+CACHE_PIECES = 300_000
+LONG_PIECE = 48
 
 _SPACE_THEN_BLANK = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 #: Marks a piece that no space comes before.
 _FIRST = "\x00"
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
+#: Stands for a word's end where the vocabulary has one; no UTF-8 text holds this byte.
+_WORD_END = b"\xff"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# The pre-tokenizers' patterns, for ASCII and the Latin letters of one byte more.
+_KEEPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\r{_LETTERS}0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
+_DROPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\x0b\x0c\r{_LETTERS}0-9]+")
+#: Characters beyond these patterns; a piece that has one is coded by the tokenizer itself.
+_OTHER = re.compile("[^\t-\r -~À-ÿ]")
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
@@ -28,6 +47,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes_of_signs() -> dict[str, int]:
+    """The bytes that byte-level vocabularies write as signs: printable Latin-1 as it is, all others from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
+    signs = {chr(b): b for b in plain}
+    for b in range(256):
+        if b not in plain:
+            signs[chr(0x100 + len(signs) - len(plain))] = b
+    return signs
+
+
+class Pieces(dict):
+    """piece: its ids as bytes; pieces that aren't there are coded, and kept if they are short."""
+
+    encoder: "PieceEncoder"
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.code(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
@@ -36,13 +77,30 @@ class PieceEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.keeps_space = self._keeps_space()
-        self.edge = self._edges()
+        # a space belongs to the word after it, or else white space leaves no ids
+        self.keeps_space = bool(self.model.encode(" ", add_special_tokens=False).ids)
+        self.merges = self._merges(path)
         self.name = f"tokens {path}"
 
-    def _keeps_space(self) -> bool:
-        """Whether a space belongs to the word after it; else white space leaves no ids."""
-        return bool(self.model.encode(" ", add_special_tokens=False).ids)
+    @staticmethod
+    def _merges(path: str):
+        """The file's byte-pair merges as ranks; a word's end is a byte of its own."""
+        import tiktoken
+
+        signs = _bytes_of_signs()
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+        special = {t["content"] for t in conf["added_tokens"]}
+        end = conf["model"]["end_of_word_suffix"] or ""
+        ranks: dict[bytes, int] = {}
+        for token, k in conf["model"]["vocab"].items():
+            if token in special:
+                continue
+            last = bool(end) and token.endswith(end)
+            ranks[bytes(map(signs.__getitem__, token[: -len(end)] if last else token)) + (_WORD_END if last else b"")] = k
+        if end:  # the byte for a word's end is an id that no text reaches
+            ranks[_WORD_END] = max(ranks.values()) + len(special) + 1
+        return tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def pieces(self, text: str) -> list[str]:
         if _FIRST in text:
@@ -60,80 +118,35 @@ class PieceEncoder:
         out[0] = _FIRST + out[0]
         return out
 
-    def _edges(self):
-        """For each id whether it ends a word (or, with kept spaces, begins one); None if the vocabulary doesn't say so."""
-        import numpy as np
-
-        flags = np.zeros(self.model.get_vocab_size(), bool)
-        for token, k in self.model.get_vocab().items():
-            flags[k] = token.startswith("Ġ") if self.keeps_space else token.endswith("</w>")
-        return flags if flags.any() else None
-
-    def _encode_words(self, words: list[str], rest: set[str]) -> None:
-        """Encode words of letters as one text and part its ids at words' edges; words that don't come out even go to rest."""
-        import numpy as np
-
-        ids = np.asarray(self.model.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.nonzero(self.edge[ids])[0]
-        if len(at) != len(words):
-            rest.update(words)
-            return
-        raw = ids.tobytes()
-        bounds = [*(4 * at).tolist(), len(raw)] if self.keeps_space else [0, *(4 * (at + 1)).tolist()]
-        for w, a, b in zip(words, bounds, bounds[1:], strict=False):
-            self.kept[w] = raw[a:b]
-
-    @staticmethod
-    def _latin(words: list[str], rest: set[str]) -> list[str]:
-        """Words of letters up to U+00FF; the others go to rest."""
-        try:
-            "".join(words).encode("latin-1")
-        except UnicodeEncodeError:
-            rest.update(w for w in words if not w.isascii() and max(w) > "ÿ")
-            return [w for w in words if w not in rest]
-        return words
-
-    def _text_of(self, piece: str) -> str:
-        return piece[1:] if piece[:1] == _FIRST else " " + piece if self.keeps_space else piece
+    def code(self, piece: str) -> bytes:
+        """Ids of one piece. Letters and the signs after them are never joined, so each is kept once for all their pairs."""
+        bare = piece.rstrip(_SIGNS)
+        if bare.isalpha() and (bare.isascii() or not _OTHER.search(bare)):
+            if len(bare) < len(piece):
+                return self.kept[bare] + self.kept[_FIRST + piece[len(bare) :]]
+            word = (" " + piece).encode() if self.keeps_space else piece.lower().encode() + _WORD_END
+            return array("I", self.merges(word)).tobytes()
+        text = piece[1:] if piece[:1] == _FIRST else " " + piece if self.keeps_space else piece
+        if _OTHER.search(text):
+            return array("I", self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        ids: list[int] = []
+        if self.keeps_space:
+            for part in _KEEPS_SPACE.findall(text):
+                ids += self.merges(part.encode())
+        else:
+            for part in _DROPS_SPACE.findall(text.lower()):
+                ids += self.merges(part.encode() + _WORD_END)
+        return array("I", ids).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        import numpy as np
-
-        cut = [self.pieces(t) if t else [] for t in texts]
-        self.kept = worker.table(self.name, most=CACHE_PIECES)
-        kept = self.kept
-        new = set().union(*cut).difference(kept)
-        rest: set[str] = set()
-        # letters and the signs after them are never joined, so each is kept once for all their pairs
-        whole = self._latin([p for p in new if p.isalpha()], rest)
-        pairs = []
-        for p in new.difference(whole, rest):
-            bare = p.rstrip(_SIGNS)
-            if len(bare) < len(p) and bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ"):
-                pairs.append((p, bare, _FIRST + p[len(bare) :]))
-            else:
-                rest.add(p)
-        known = set(whole)
-        for _, a, b in pairs:
-            if a not in kept and a not in known:
-                known.add(a)
-                whole.append(a)
-            if b not in kept:
-                rest.add(b)
-        if self.edge is None:
-            rest.update(whole)
-            whole = []
-        for k in range(0, len(whole), 1000):
-            self._encode_words(whole[k : k + 1000], rest)
-        coded = list(rest)
-        for k in range(0, len(coded), 20_000):
-            part = coded[k : k + 20_000]
-            for p, e in zip(part, self.model.encode_batch_fast([self._text_of(p) for p in part], add_special_tokens=False), strict=True):
-                kept[p] = np.asarray(e.ids, "<u4").tobytes()
-        for p, a, b in pairs:
-            kept[p] = kept[a] + kept[b]
-        get = kept.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        kept = self.kept = worker.table(self.name, Pieces)
+        kept.encoder = self
+        get, out = kept.__getitem__, []
+        for t in texts:
+            out.append(b"".join(map(get, self.pieces(t))) if t else b"")
+            if len(kept) > CACHE_PIECES:
+                kept.clear()
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
