@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters that compatibility decomposition leaves whole.
-STROKES = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE"}
+STROKES = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "œ": "oe", "Œ": "Oe", "æ": "ae", "Æ": "Ae"}
 BOOKING_LETTERS = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i"}
-#: Code points that are folded in the JVM: Latin letters with marks, and combining marks.
+#: Letters that a table folds; names with others (of ROUGH) are decomposed by the JVM's Unicode library.
 FOLDED = range(0xC0, 0x250)
+#: Characters beyond FOLDED that decomposition could change.
+ROUGH = "[^\\x00-\\x9f\\xa1-\\xa7\\xa9\\xab-\\xae\\xb0\\xb1\\xb6\\xb7\\xbb\\xbf-\\u024f\\u0300-\\u034e\\u0350-\\u036f]"
 
 
-def _decomposed() -> tuple[str, str]:
-    """Letters whose decomposition is one letter and marks, and those letters, from the Unicode tables."""
-    pairs = []
-    for c in map(chr, FOLDED):
-        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
-            pairs.append((c, bare))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+def bare(name: str) -> str:
+    """Compatibility decomposition without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
 
 
-_FROM, _TO = _decomposed()
+def _marks() -> str:
+    """A class of all characters that combine, as ranges, from the Unicode tables."""
+    out: list[list[int]] = []
+    for c in range(0x300, 0x1E950):
+        if unicodedata.combining(chr(c)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
-def fold(name: Column) -> Column:
-    """Marks dropped from Latin letters, in the JVM; fold_any is for names in any script."""
-    return F.regexp_replace(F.translate(name, _FROM, _TO), "[\\u0300-\\u036f]", "")
+_LETTERS = {c: bare(c) for c in map(chr, FOLDED) if bare(c) != c}
+_MARKS = _marks()
 
 
-@F.pandas_udf(T.StringType())
-def fold_any(names):
-    """Full compatibility decomposition, as an Arrow UDF."""
-    return names.map(lambda n: None if n is None else "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)))
+def fold(name: Column) -> Column:
+    """Compatibility decomposition without marks, in the JVM: Latin letters by a table, names that hold others by its Unicode library."""
+    plain = F.regexp_replace(replaced(name, _LETTERS), "[\\u0300-\\u034e\\u0350-\\u036f]", "")
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), name, F.lit(True))
+    return F.when(F.rlike(name, F.lit(ROUGH)), F.regexp_replace(whole, _MARKS, "")).otherwise(plain)
 
 
 def replaced(name: Column, letters: dict[str, str]) -> Column:
@@ -50,11 +56,18 @@ def replaced(name: Column, letters: dict[str, str]) -> Column:
 
 def merge_name(name: Column) -> Column:
     """Form of a station's name that is equal across feeds."""
-    bare = F.when(F.lower(F.substring(name, 1, 4)) == "s+u ", F.substring(name, 5, 10_000)).otherwise(name)
+    bare = F.when(F.lower(F.substring(name, 1, 4)) == "s+u ", F.substring(name, F.lit(5), F.length(name))).otherwise(name)
     flat = F.regexp_replace(F.lower(fold(replaced(bare, STROKES))), "[^a-z0-9]", "")
     return F.regexp_replace(F.replace(flat, F.lit("hauptbahnhof"), F.lit("hbf")), "^(.+)bahnhof$", "$1")
 
 
+def merged_text(name: str) -> str:
+    """merge_name of a configured text, on the driver."""
+    flat = name[4:] if name[:4].lower() == "s+u " else name
+    flat = re.sub("[^a-z0-9]", "", bare("".join(STROKES.get(c, c) for c in flat)).lower()).replace("hauptbahnhof", "hbf")
+    return re.sub("^(.+)bahnhof$", r"\1", flat)
+
+
 def booking_name(name: Column) -> Column:
     """Form that a booking catalogue's names are compared in."""
     return F.regexp_replace(F.lower(fold(replaced(name, BOOKING_LETTERS))), "[^a-z0-9]", "")

@@ -6,24 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _keys(*frames: DataFrame) -> list[str]:
+    """Service ids are a feed's own where the frames name it."""
+    return ["feed", "service_id"] if all("feed" in f.columns for f in frames) else ["service_id"]
+
+
 def window(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """first_day, last_day over calendar ranges and exception dates; null without rows."""
-    days = calendar.select(F.explode(F.array("start_date", "end_date")).alias("d")).unionByName(exceptions.select(F.col("date").alias("d")))
-    return days.agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+    """first_day, last_day over calendar ranges and exception dates, of each feed where it is named; null without rows."""
+    feed = _keys(calendar, exceptions)[:-1]
+    days = calendar.select(*feed, F.explode(F.array("start_date", "end_date")).alias("d")).unionByName(exceptions.select(*feed, F.col("date").alias("d")))
+    return days.groupBy(*feed).agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"))
 
 
 def active(calendar: DataFrame, exceptions: DataFrame, days: DataFrame) -> DataFrame:
-    """date, service_id that run: any calendar row, overruled by the last exception of the date in file order."""
+    """date, service_id (of each feed where it is named) that run: any calendar row, overruled by the last exception of the date in file order."""
+    key = ["date", *_keys(calendar, exceptions)]
     bit = F.expr("shiftright(days, weekday(date)) & 1") == 1
-    base = calendar.join(F.broadcast(days), (F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date"))).groupBy("date", "service_id").agg(F.max(bit).alias("base"))  # a row for each sampled day
-    last = exceptions.join(F.broadcast(days), "date").groupBy("date", "service_id").agg(F.max(F.struct("ts", "row_order", "is_add")).alias("m")).select("date", "service_id", F.col("m.is_add").alias("exc"))
-    return base.join(last, ["date", "service_id"], "full").filter(F.coalesce("exc", "base", F.lit(False))).select("date", "service_id")
+    base = calendar.join(F.broadcast(days), (F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date"))).groupBy(*key).agg(F.max(bit).alias("base"))  # a row for each sampled day
+    last = exceptions.join(F.broadcast(days), "date").groupBy(*key).agg(F.max(F.struct("ts", "row_order", "is_add")).alias("m")).select(*key, F.col("m.is_add").alias("exc"))
+    return base.join(last, key, "full").filter(F.coalesce("exc", "base", F.lit(False))).select(*key)
 
 
 def absent(calendar: DataFrame, exceptions: DataFrame, running: DataFrame) -> DataFrame:
     """Services that are named but run on none of the days."""
-    named = calendar.select("service_id").unionByName(exceptions.select("service_id")).distinct()
-    return named.join(running.select("service_id").distinct(), "service_id", "left_anti")
+    key = _keys(calendar, exceptions, running)
+    named = calendar.select(*key).unionByName(exceptions.select(*key)).distinct()
+    return named.join(running.select(*key).distinct(), key, "left_anti")
 
 
 def week(anchor: Column, first: Column, last: Column) -> Column:

@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quayside.functions.text import clock
 from quayside.sources.scratch import written
 
 TRANSFER = 10
@@ -21,14 +23,30 @@ FLOORS = range(300, 1260, 60)
 ROUNDS = 3
 
 SEARCH = ["origin", "floor"]
+# Minutes of a country's clock ahead of the reference clock; all others share it.
+OFFSETS = {"PT": -60, "GB": -60, "IE": -60, "BG": 60, "CY": 60, "EE": 60, "FI": 60, "GR": 60, "LT": 60, "LV": 60, "MD": 60, "RO": 60, "UA": 60}
+
+
+def local_offsets(stations: DataFrame) -> DataFrame:
+    """id, offset of stations (id, country) whose clock isn't the reference clock."""
+    known = F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv])
+    return stations.select("id", known[F.coalesce("country", F.lit(""))].alias("offset")).filter("offset is not null")
+
+
+def _day(*frames: DataFrame) -> list[str]:
+    """The day as a key where all frames have it: days never share a journey."""
+    return ["day"] if all("day" in f.columns for f in frames) else []
 
 
 def departure_floors(calls: DataFrame, origins: DataFrame) -> DataFrame:
-    """origin, floor, dep: hourly floors with a departure at or after them; floors with the same next departure count once."""
-    own = calls.join(origins.select(F.col("origin").alias("station")), "station").select(F.col("station").alias("origin"), "dep")
-    every = F.explode(F.array(*[F.lit(f) for f in FLOORS])).alias("floor")
-    nxt = own.select("origin", "dep").distinct().select("origin", "dep", every).filter("dep >= floor").groupBy("origin", "floor").agg(F.min("dep").alias("dep"))
-    return nxt.groupBy("origin", "dep").agg(F.min("floor").alias("floor")).select("origin", "floor", "dep")
+    """origin, floor, dep: hourly floors of the origin's own clock with a departure at or after them, on the reference clock;
+    floors with the same next departure count once. origins may have an offset; calls may have a day."""
+    key = [*_day(calls), "origin"]
+    offset = F.coalesce("offset", F.lit(0)) if "offset" in origins.columns else F.lit(0)
+    own = calls.join(origins.select(F.col("origin").alias("station"), offset.alias("offset")), "station").select(*key[:-1], F.col("station").alias("origin"), "dep", "offset")
+    every = F.explode(F.array(*[F.lit(f) - F.col("offset") for f in FLOORS])).alias("floor")
+    nxt = own.distinct().select(*key, "dep", every).filter("dep >= floor").groupBy(*key, "floor").agg(F.min("dep").alias("dep"))
+    return nxt.groupBy(*key, "dep").agg(F.min("floor").alias("floor")).select(*key, "floor", "dep")
 
 
 def directed(footpaths: DataFrame) -> DataFrame:
@@ -49,13 +67,13 @@ def ready_from(labels: DataFrame, paths: DataFrame | None, keys: list[str], tran
 
 def board(ready: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
     """The earliest call of each trip that can be boarded."""
-    hits = ready.join(calls, "station").filter("ready <= dep")
+    hits = ready.join(calls, [*_day(ready, calls), "station"]).filter("ready <= dep")
     return hits.groupBy(*keys, "trip_id").agg(F.min(F.struct(F.col("idx").alias("board_idx"), F.col("station").alias("board"), F.col("dep").alias("board_dep"), "prev", "mode")).alias("b")).select(*keys, "trip_id", "b.*")
 
 
 def ride(boarded: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
     """The best ride to each station: least arrival, then trip, then call."""
-    rides = boarded.join(calls, "trip_id").filter("idx > board_idx")
+    rides = boarded.join(calls, [*_day(boarded, calls), "trip_id"]).filter("idx > board_idx")
     best = F.min(F.struct("arr", "trip_id", F.col("idx").alias("alight_idx"), "board_idx", "board", "board_dep", "prev", "mode")).alias("r")
     return rides.groupBy(*keys, "station").agg(best).select(*keys, "station", "r.*")
 
@@ -71,18 +89,19 @@ def improved(before: DataFrame | None, rides: DataFrame, keys: list[str]) -> Dat
 
 
 def rounds(calls: DataFrame, searches: DataFrame, footpaths: DataFrame | None = None, n: int = ROUNDS) -> list[DataFrame]:
-    """Labels after 1, 2, ... n trains, of searches (origin, floor). The origin itself is never a label."""
+    """Labels after 1, 2, ... n trains, of searches (origin, floor), each of its day where there are several. The origin itself is never a label."""
     paths = directed(footpaths) if footpaths is not None else None
-    calls, searches = written(calls, "calls"), written(searches.select(*SEARCH), "searches")
-    start = searches.select("origin", "floor", F.col("origin").alias("station"), F.col("floor").cast("long").alias("ready"), F.col("origin").alias("prev"), F.lit(None).cast("string").alias("mode"))
+    keys = [*_day(calls, searches), *SEARCH]
+    calls, searches = written(calls, "calls"), written(searches.select(*keys), "searches")
+    start = searches.select(*keys, F.col("origin").alias("station"), F.col("floor").cast("long").alias("ready"), F.col("origin").alias("prev"), F.lit(None).cast("string").alias("mode"))
     out: list[DataFrame] = []
     for k in range(n):
         ready = start
         if k:
             # the origin stays boardable from the floor on, without a buffer
-            ready = ready_from(out[-1], paths, SEARCH).filter("station <> origin").unionByName(start)
-        rides = ride(board(ready, calls, SEARCH), calls, SEARCH).filter("station <> origin")
-        out.append(written(improved(out[-1] if out else None, rides, SEARCH), f"labels{k + 1}"))
+            ready = ready_from(out[-1], paths, keys).filter("station <> origin").unionByName(start)
+        rides = ride(board(ready, calls, keys), calls, keys).filter("station <> origin")
+        out.append(written(improved(out[-1] if out else None, rides, keys), f"labels{k + 1}"))
     return out
 
 
@@ -90,12 +109,13 @@ def walked(labels: list[DataFrame]) -> DataFrame:
     """origin, floor, k, station, arr, trains, first_dep: every label followed back through the rounds below it."""
     done: list[DataFrame] = []
     before: DataFrame | None = None
+    keys = [*_day(*labels), *SEARCH]
     for k, rows in enumerate(labels, 1):
-        at_origin = rows.filter("prev = origin").select(*SEARCH, "station", "arr", F.lit(1).alias("trains"), F.col("board_dep").alias("first_dep"))
+        at_origin = rows.filter("prev = origin").select(*keys, "station", "arr", F.lit(1).alias("trains"), F.col("board_dep").alias("first_dep"))
         here = at_origin
         if before is not None:
-            below = before.select(*SEARCH, F.col("station").alias("prev"), (F.col("trains") + 1).alias("trains"), "first_dep")
-            here = here.unionByName(rows.filter("prev <> origin").join(below, [*SEARCH, "prev"]).select(*SEARCH, "station", "arr", "trains", "first_dep"))
+            below = before.select(*keys, F.col("station").alias("prev"), (F.col("trains") + 1).alias("trains"), "first_dep")
+            here = here.unionByName(rows.filter("prev <> origin").join(below, [*keys, "prev"]).select(*keys, "station", "arr", "trains", "first_dep"))
         before = here
         done.append(here.withColumn("k", F.lit(k)))
     return reduce(DataFrame.unionByName, done)
@@ -113,39 +133,66 @@ def journeys(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None =
 
 
 def best_journeys(labels: list[DataFrame]) -> DataFrame:
+    key = [*_day(*labels), "origin", "dest"]
     paths = walked(labels).withColumn("duration", F.col("arr") - F.col("first_dep"))
-    best = paths.groupBy("origin", F.col("station").alias("dest"), "trains").agg(F.min(F.struct("duration", "floor", "k")).alias("m")).select("origin", "dest", "trains", "m.*")
-    return strictly_improving(best, ["origin", "dest"], "trains", "duration")
+    best = paths.withColumnRenamed("station", "dest").groupBy(*key, "trains").agg(F.min(F.struct("duration", "floor", "k")).alias("m")).select(*key, "trains", "m.*")
+    return strictly_improving(best, key, "trains", "duration")
 
 
 def legs(labels: list[DataFrame], best: DataFrame) -> DataFrame:
-    """origin, dest, trains, leg, trip_id, board, alight, board_dep, arr, mode of the chosen journeys, first leg first; mode is the footpath walked before a leg."""
-    at = best.select("origin", "floor", "k", F.col("dest").alias("station"), "dest", "trains", F.col("trains").alias("leg"))
+    """origin, dest, trains, leg, trip_id, board, alight, board_dep, arr, mode of the chosen journeys, first leg first; mode is
+    the footpath walked, from prev to board, before a leg; board_idx and alight_idx are places in the trip."""
+    day = _day(*labels)
+    at = best.select(*day, "origin", "floor", "k", F.col("dest").alias("station"), "dest", "trains", F.col("trains").alias("leg"))
     out: list[DataFrame] = []
     for k in range(len(labels), 0, -1):
         own = labels[k - 1].withColumn("k", F.lit(k))
-        hit = at.join(own, ["origin", "floor", "k", "station"])
-        out.append(hit.select("origin", "dest", "trains", "leg", "trip_id", "board", F.col("station").alias("alight"), "board_dep", "arr", "mode"))
-        rest = hit.filter("prev <> origin").select("origin", "floor", (F.col("k") - 1).alias("k"), F.col("prev").alias("station"), "dest", "trains", (F.col("leg") - 1).alias("leg"))
+        hit = at.join(own, [*day, "origin", "floor", "k", "station"])
+        out.append(hit.select(*day, "origin", "dest", "trains", "leg", "trip_id", "prev", "board", F.col("station").alias("alight"), "board_idx", "alight_idx", "board_dep", "arr", "mode"))
+        rest = hit.filter("prev <> origin").select(*day, "origin", "floor", (F.col("k") - 1).alias("k"), F.col("prev").alias("station"), "dest", "trains", (F.col("leg") - 1).alias("leg"))
         at = at.filter(F.col("k") < k).unionByName(rest)
     return reduce(DataFrame.unionByName, out)
 
 
+def displayed(leg_rows: DataFrame, calls: DataFrame, trips: DataFrame, footpaths: DataFrame | None, offsets: DataFrame) -> DataFrame:
+    """origin, dest, trains, pos, type, train, dep, arr, from_id, to_id, via, feeds, mode, minutes: legs as they are shown, each
+    time on its station's clock, via the stations between, and a row for the way between stations before the train it leads to.
+
+    trips: trip_id, train, feeds; offsets: id, offset."""
+    day = _day(leg_rows, calls)
+    key = [*day, "origin", "dest", "trains", "leg"]
+    between = leg_rows.select(*key, "trip_id", "board_idx", "alight_idx").join(calls, [*day, "trip_id"]).filter("idx > board_idx and idx < alight_idx")
+    via = between.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "station"))).alias("v")).select(*key, F.transform("v", lambda x: x["station"]).alias("via"))  # the calls of a ride
+    offset = lambda c: offsets.select(F.col("id").alias(c), F.col("offset").alias(f"{c}_offset"))
+    rows = leg_rows.join(trips.select(*_day(leg_rows, trips), "trip_id", "train", "feeds"), [*_day(leg_rows, trips), "trip_id"]).join(via, key, "left").join(offset("board"), "board", "left").join(offset("alight"), "alight", "left")
+    local = lambda t, c: clock(F.col(t) + F.coalesce(f"{c}_offset", F.lit(0)))
+    none = lambda t: F.lit(None).cast(t)
+    ids = leg_rows.schema["board"].dataType
+    ride = rows.select(*key, F.lit(1).alias("part"), F.lit("train").alias("type"), "train", local("board_dep", "board").alias("dep"), local("arr", "alight").alias("arr"), F.col("board").alias("from_id"), F.col("alight").alias("to_id"), F.coalesce("via", F.array().cast(T.ArrayType(ids))).alias("via"), "feeds", none("string").alias("mode"), none("int").alias("minutes"))
+    if footpaths is not None:
+        paths = directed(footpaths).groupBy(F.col("source").alias("prev"), F.col("target").alias("board"), "mode").agg(F.min("minutes").alias("minutes"))
+        way = leg_rows.filter("mode is not null").join(paths, ["prev", "board", "mode"])
+        ride = ride.unionByName(way.select(*key, F.lit(0).alias("part"), F.lit("transfer").alias("type"), none("string").alias("train"), none("string").alias("dep"), none("string").alias("arr"), F.col("prev").alias("from_id"), F.col("board").alias("to_id"), none(T.ArrayType(ids)).alias("via"), none("array<string>").alias("feeds"), "mode", F.col("minutes").cast("int").alias("minutes")))
+    order = W.partitionBy(*key[:-1]).orderBy("leg", "part")
+    return ride.withColumn("pos", F.row_number().over(order)).drop("leg", "part")
+
+
 def evidence(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None = None) -> DataFrame:
-    """origin, trip (its departure), departure, dest and arr1 to arr3: earliest arrivals by trains for every trip that calls at the origin."""
-    keys = ["origin", "start"]
+    """origin, trip (its departure), departure, dest and arr1 to arr3: earliest arrivals by trains for every trip that calls at the origin, by day where calls have one."""
+    day = _day(calls)
+    keys = [*day, "origin", "start"]
     calls = written(calls, "calls")
-    first = calls.join(origins.select(F.col("origin").alias("station")), "station").groupBy(F.col("station").alias("origin"), F.col("trip_id").alias("start")).agg(F.min(F.struct("idx", "dep")).alias("f"))
-    first = first.select("origin", "start", F.col("f.idx").alias("from_idx"), F.col("f.dep").alias("departure"))
+    first = calls.join(origins.select(F.col("origin").alias("station")), "station").groupBy(*day, F.col("station").alias("origin"), F.col("trip_id").alias("start")).agg(F.min(F.struct("idx", "dep")).alias("f"))
+    first = first.select(*keys, F.col("f.idx").alias("from_idx"), F.col("f.dep").alias("departure"))
     paths = directed(footpaths) if footpaths is not None else None
-    later = first.join(calls.withColumnRenamed("trip_id", "start"), "start").filter("idx > from_idx and station <> origin")
+    later = first.join(calls.withColumnRenamed("trip_id", "start"), [*day, "start"]).filter("idx > from_idx and station <> origin")
     labels = [written(later.groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence")]
     for _ in range(ROUNDS - 1):
         rides = ride(board(ready_from(labels[-1], paths, keys), calls, keys), calls, keys).select(*keys, "station", "arr")
         labels.append(written(labels[-1].unionByName(rides).groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence"))
     tiers = reduce(DataFrame.unionByName, [x.select(*keys, "station", *[(F.col("arr") if i >= k else F.lit(None).cast("long")).alias(f"arr{i + 1}") for i in range(ROUNDS)]) for k, x in enumerate(labels)])
     out = tiers.filter("station <> origin").groupBy(*keys, "station").agg(*[F.min(f"arr{i + 1}").alias(f"arr{i + 1}") for i in range(ROUNDS)])
-    return out.join(first.select(*keys, "departure"), keys).select("origin", F.col("start").alias("trip"), "departure", F.col("station").alias("dest"), *[f"arr{i + 1}" for i in range(ROUNDS)])
+    return out.join(first.select(*keys, "departure"), keys).select(*day, "origin", F.col("start").alias("trip"), "departure", F.col("station").alias("dest"), *[f"arr{i + 1}" for i in range(ROUNDS)])
 
 
 def useful(evidence_rows: DataFrame) -> DataFrame:
@@ -154,8 +201,9 @@ def useful(evidence_rows: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(t).alias("trains"), F.col(f"arr{t}").alias("arr"), (F.lit(True) if t == 1 else F.col(f"arr{t - 1}").isNull() | (F.col(f"arr{t}") < F.col(f"arr{t - 1}"))).alias("better")) for t in (1, 2, 3)]),
         lambda p: p["arr"].isNotNull() & p["better"],
     )
-    points = evidence_rows.select("origin", "dest", "trip", "departure", F.explode(step).alias("p")).select("origin", "dest", "trip", "departure", "p.trains", "p.arr")
-    order = W.partitionBy("origin", "dest").orderBy(F.desc("departure"), "trains", "arr", "trip").rowsBetween(W.unboundedPreceding, -1)
+    key = [*_day(evidence_rows), "origin", "dest"]
+    points = evidence_rows.select(*key, "trip", "departure", F.explode(step).alias("p")).select(*key, "trip", "departure", "p.trains", "p.arr")
+    order = W.partitionBy(*key).orderBy(F.desc("departure"), "trains", "arr", "trip").rowsBetween(W.unboundedPreceding, -1)
 
     def beaten(t: int) -> Column:
         return F.min(F.when(F.col("trains") <= t, F.col("arr"))).over(order)
@@ -163,4 +211,4 @@ def useful(evidence_rows: DataFrame) -> DataFrame:
     seen = points.withColumns({"b2": beaten(2), "b3": beaten(3)})
     seen = seen.withColumn("b", F.when(F.col("trains") == 2, F.col("b2")).otherwise(F.col("b3")))
     kept = seen.filter((F.col("trains") == 1) | F.col("b").isNull() | (F.col("arr") < F.col("b")))
-    return kept.groupBy("origin", "dest", "trip", "departure").agg(F.min("trains").alias("tier"))
+    return kept.groupBy(*key, "trip", "departure").agg(F.min("trains").alias("tier"))

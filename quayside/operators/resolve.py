@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quayside.functions.geo import flat_m, great_circle_m, grid_km
-from quayside.functions.text import booking_name, code_of, merge_name
+from quayside.functions.text import booking_name, code_of, merge_name, merged_text
 from quayside.sources.scratch import written
 
 NEAR_M = 500
@@ -30,52 +30,215 @@ def merge_one_hop(stops: DataFrame) -> DataFrame:
     return stops.select("ord").join(first, "ord", "left").select("ord", F.coalesce("canonical", "ord").alias("canonical"))
 
 
-def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}") -> DataFrame:
-    """ord, canonical: stops registered in order of ord. A known code joins its station; else the first registered
-    station of equal name less than NEAR_M away; else the stop is a new station. Only registered stations' places
-    count, so a chain of near stops isn't one station.
-
-    Decisions never leave a block of stops that are linked by equal names or codes; blocks are folded apart."""
-    rows = stops.select("ord", merge_name(F.col("name")).alias("norm"), code_of(F.col("stop_id"), code_pattern).alias("code"), "lat", "lon")
-    block = rows.groupBy("norm").agg(F.min("ord").alias("block"))
-    labels = rows.join(block, "norm")
-    while True:  # names and codes alternate until no block moves
-        by_code = labels.filter("code is not null").groupBy("code").agg(F.min("block").alias("b"))
-        step = labels.join(by_code, "code", "left").withColumn("new", F.least("block", F.coalesce("b", "block"))).drop("b")
-        by_name = step.groupBy("norm").agg(F.min("new").alias("b"))
-        step = step.join(by_name, "norm").withColumn("new", F.least("new", "b")).drop("b")
-        step = written(step, "blocks")
-        moved = not step.filter("new <> block").isEmpty()
-        labels = step.drop("block").withColumnRenamed("new", "block")
-        if not moved:
-            break
+def connected(links: DataFrame) -> DataFrame:
+    """node, group: the least node reached over links (a, b). Labels pass over links and then point at their label's label, so a chain of n takes log n rounds."""
+    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
+    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
+        step = written(labels.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l")), "labels")
+        ahead = step.select(F.col("u").alias("l"), F.col("l").alias("further"))
+        step = written(step.join(ahead, "l").select("u", "old", F.least("l", "further").alias("l")), "labels")
+        labels = step.select("u", "l")
+        if step.filter("old <> l").isEmpty():
+            return labels.select(F.col("u").alias("node"), F.col("l").alias("group"))
+
+
+class Aliases:
+    """Hand-written identities of stops: {key: target}.
+
+    A key is "feed:stop id" or "feed@name"; a target is a station's id, or "feed@name" of another stop, perhaps with
+    "~lat,lon" near which it must be. This is configuration: it is small and read on the driver."""
+
+    def __init__(self, entries: dict[str, str]):
+        self.entries = dict(entries)
+        self.by_name = {n[:2]: t for k, t in self.entries.items() if (n := self.named(k))}
+
+    @staticmethod
+    def named(text: str) -> tuple[str, str, tuple[float, float] | None] | None:
+        """(feed, folded name, position) of a text "feed@name~lat,lon"; None for ids."""
+        feed, sign, rest = text.partition("@")
+        name, _, near = rest.partition("~")
+        if not (sign and feed and rest) or ":" in feed:
+            return None
+        return feed, merged_text(name), tuple(float(x) for x in near.split(",")) if near else None
+
+    def of(self, feed: str, stop_id: str, norm: str) -> str | None:
+        own = self.entries.get(f"{feed}:{stop_id}")
+        return own if own is not None else self.by_name.get((feed, norm))
+
+
+#: Metres around a target's position in which its stop must be.
+HINT_M = 2000
+_FOLDED = "ord long, canonical string, first_ord long, target string, hits array<string>"
+
+
+def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
+    import math
+
+    x = math.radians(b[1] - a[1]) * math.cos(math.radians((a[0] + b[0]) / 2))
+    return 6_371_000.0 * math.hypot(x, math.radians(b[0] - a[0]))
+
+
+def fold_block(rows: list[tuple], aliases: Aliases, feed_order: dict[str, int]) -> list[tuple]:
+    """Stations of one block: rows (ord, feed, stop_id, norm, code, lat, lon) in any order.
+
+    Gives (ord, canonical id, ord of the stop that made the station, alias target that was a name, ids it met)."""
+    places: dict[str, tuple[int, float, float]] = {}  # of stations
+    named: dict[str, list[str]] = {}
+    by_code: dict[str, str] = {}
+    landed: dict[tuple[str, str], list[str]] = {}
+    out = []
+    for ord_, feed, stop_id, norm, code, lat, lon in sorted(rows):
+        twin = lambda: next((x for x in named.get(norm, ()) if _metres(places[x][1:], (lat, lon)) < NEAR_M), None)  # noqa: B023, E731
+        target, met, said = aliases.of(feed, stop_id, norm), None, None
+        station = target
+        if target is not None and (ref := Aliases.named(target)):
+            met = [x for x in landed.get(ref[:2], ()) if ref[2] is None or _metres(ref[2], places[x][1:]) < HINT_M]
+            station, said = met[0] if met else None, target
+        if station is not None and station not in places and station.startswith("x:"):
+            # an id of a feed that is read whole and didn't have it is stale
+            owner = station[2:].partition(":")[0]
+            if owner in feed_order and feed_order[owner] < feed_order[feed]:
+                station = twin() or station
+        if station is None and code is not None:
+            if code in by_code or code in places:
+                station = by_code.get(code, code)
+            elif near := twin():
+                station = by_code[code] = near
+            else:
+                station = code
+        if station is None:
+            station = twin() or f"x:{feed}:{stop_id}"
+        if station not in places:
+            places[station] = (ord_, lat, lon)
+            named.setdefault(norm, []).append(station)
+        at = landed.setdefault((feed, norm), [])
+        if station not in at:
+            at.append(station)
+        out.append((ord_, station, places[station][0], said, met))
+    return out
+
+
+def merge_stations(stops: DataFrame, aliases: Aliases, feed_order: dict[str, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stations, mapping, issues) of stops (ord, feed, stop_id, name, code, country, lat, lon) of all feeds, in the order of ord.
+
+    A stop with a position joins, in this order: its alias's station; that of its code; the first station of equal name
+    less than NEAR_M away; else it makes a station, whose name, place and country are its own. Only makers' places count, so
+    a chain of near stops isn't one station. A stop without a position joins its alias's station if there is one, else the
+    station of its name if just one has it, else none: it never makes a station and isn't in mapping.
+
+    stations: id, name, country, lat, lon, ord; mapping: feed, stop_id, station; issues: kind, detail. Decisions never
+    leave a block of stops that may see each other: equal names within reach, codes, and what aliases name. Blocks are
+    folded apart, in order."""
+    spark = stops.sparkSession
+    rows = written(stops.withColumn("norm", merge_name(F.col("name"))), "stops")
+    real = rows.filter("lat is not null and lon is not null")
+    blocks = connected(_block_links(real, aliases))
 
     def fold(frame):
-        import math
-
         import pandas as pd
 
-        frame = frame.sort_values("ord")
-        codes: dict[str, int] = {}
-        names: dict[str, list[tuple[int, float, float]]] = {}
-        out = []
-        for r in frame.itertuples():
-            station = codes.get(r.code) if r.code is not None else None
-            if station is None:
-                for s, lat, lon in names.get(r.norm, ()):
-                    x = math.radians(r.lon - lon) * math.cos(math.radians((r.lat + lat) / 2))
-                    if 6_371_000.0 * math.hypot(x, math.radians(r.lat - lat)) < NEAR_M:
-                        station = s
-                        break
-            if station is None:
-                station = r.ord
-                names.setdefault(r.norm, []).append((r.ord, r.lat, r.lon))
-            if r.code is not None:
-                codes.setdefault(r.code, station)
-            out.append((r.ord, station))
-        return pd.DataFrame(out, columns=["ord", "canonical"]).astype("int64")
-
-    return labels.groupBy("block").applyInPandas(fold, "ord long, canonical long")
+        cells = [tuple(None if v is None or v != v else v for v in r) for r in frame[["ord", "feed", "stop_id", "norm", "code", "lat", "lon"]].itertuples(index=False)]
+        return pd.DataFrame(fold_block(cells, aliases, feed_order), columns=["ord", "canonical", "first_ord", "target", "hits"])
+
+    folded = written(real.join(blocks, F.col("ord") == F.col("node")).groupBy("group").applyInPandas(fold, _FOLDED), "folded")
+    makers = folded.groupBy("canonical").agg(F.min("first_ord").alias("ord"))
+    stations = written(makers.join(real.select("ord", "name", "country", "lat", "lon"), "ord").select(F.col("canonical").alias("id"), "name", "country", "lat", "lon", "ord"), "stations")
+    mapping = folded.join(real.select("ord", "feed", "stop_id"), "ord").select("feed", "stop_id", F.col("canonical").alias("station"), "ord")
+    # stops without a position
+    stubs = rows.filter("lat is null or lon is null").select("ord", "feed", "stop_id", "norm")
+    lone = stations.groupBy(merge_name(F.col("name")).alias("norm")).agg(F.count("*").alias("n"), F.min("id").alias("by_name")).filter("n = 1")
+    wanted, stub_issues = _stub_targets(spark, stubs, aliases, folded.join(real.select("ord", "feed", "norm"), "ord"), stations)
+    found = stubs.join(wanted, "ord", "left").join(lone, "norm", "left").select("feed", "stop_id", F.coalesce("by_alias", "by_name").alias("station")).filter("station is not null")
+    # what aliases say of no stop, or of several
+    text = F.concat(F.lit("alias target '"), F.col("target"), F.lit("' (for "), F.col("feed"), F.lit(":"), F.col("stop_id"), F.lit(")"))
+    told = folded.filter("target is not null").join(real.select("ord", "feed", "stop_id"), "ord").select("ord", "feed", "stop_id", "target", "hits").unionByName(stub_issues)
+    issues = told.filter(F.size("hits") != 1).select(F.lit("alias").alias("kind"), F.when(F.size("hits") == 0, F.concat(text, F.lit(" matches no stop"))).otherwise(F.concat(text, F.lit(" is ambiguous: "), F.array_join("hits", ", "))).alias("detail")).distinct()
+    keys = spark.createDataFrame([(k, *n[:2]) for k in aliases.entries if (n := Aliases.named(k))], "key string, feed string, norm string")
+    by_id = [k for k in aliases.entries if not Aliases.named(k)]
+    used = rows.filter(~F.concat_ws(":", "feed", "stop_id").isin(by_id)).select("feed", "norm").distinct() if by_id else rows.select("feed", "norm").distinct()
+    unused = keys.join(used, ["feed", "norm"], "left_anti").select(F.lit("alias").alias("kind"), F.concat(F.lit("alias key '"), F.col("key"), F.lit("' matches no stop")).alias("detail"))
+    return stations, mapping.select("feed", "stop_id", "station").unionByName(found), issues.unionByName(unused)
+
+
+def _block_links(real: DataFrame, aliases: Aliases) -> DataFrame:
+    """(a, b) of stops that may see each other: each stop and the first with which it shares a token."""
+    reach = NEAR_M / 111_000  # degrees of latitude, a little more than NEAR_M
+    wide = F.lit(reach) / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs("lat") + reach)))
+    cells = lambda c, d: F.array_distinct(F.array(F.floor((F.col(c) - d) / CELL), F.floor((F.col(c) + d) / CELL)))
+    near = real.select("ord", "norm", F.explode(cells("lat", F.lit(reach))).alias("y"), "lat", "lon").select("ord", "norm", "y", F.explode(cells("lon", wide)).alias("x"))
+    token = lambda kind, *c: F.concat_ws("|", F.lit(kind), *c)
+    tokens = near.select("ord", token("n", "norm", F.col("y").cast("string"), F.col("x").cast("string")).alias("token"))
+    tokens = tokens.unionByName(real.filter("code is not null").select("ord", token("i", "code").alias("token")))
+    if aliases.entries:
+        names = {n[:2] for t in aliases.entries.values() if (n := Aliases.named(t))}
+        ids = {t for t in aliases.entries.values() if not Aliases.named(t)}
+        conf = []  # what stops of a key see
+        for key, target in aliases.entries.items():
+            ref, own = Aliases.named(target), Aliases.named(key)
+            seen = "|".join(("r", *ref[:2])) if ref else f"i|{target}"
+            conf.append((*(own[:2] if own else (None, None)), None if own else key, seen))
+        conf = F.broadcast(real.sparkSession.createDataFrame(conf, "k_feed string, k_norm string, k_id string, token string"))  # configuration
+        hit = ((F.col("k_feed") == F.col("feed")) & (F.col("k_norm") == F.col("norm"))) | (F.col("k_id") == F.concat_ws(":", "feed", "stop_id"))
+        tokens = tokens.unionByName(real.join(conf, hit).select("ord", "token"))
+        if names:
+            tokens = tokens.unionByName(real.withColumn("token", token("r", "feed", "norm")).filter(F.col("token").isin(["|".join(("r", *n)) for n in names])).select("ord", "token"))
+        if ids:
+            tokens = tokens.unionByName(real.withColumn("id", F.concat_ws(":", F.lit("x"), "feed", "stop_id")).filter(F.col("id").isin(sorted(ids))).select("ord", token("i", "id").alias("token")))
+    tokens = written(tokens, "tokens")
+    return tokens.join(tokens.groupBy("token").agg(F.min("ord").alias("a")), "token").select("a", F.col("ord").alias("b")).distinct()
+
+
+def _stub_targets(spark, stubs: DataFrame, aliases: Aliases, landed: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, by_alias) of stops without a position whose alias names a station, and what their targets by name met."""
+    told = "ord long, feed string, stop_id string, target string, hits array<string>"
+    conf = []
+    for key, target in aliases.entries.items():
+        own, ref = Aliases.named(key), Aliases.named(target)
+        conf.append((*(own[:2] if own else (None, None)), None if own else key, target, *(ref[:2] if ref else (None, None)), *((ref[2] or (None, None)) if ref else (None, None))))
+    if not conf:
+        return spark.createDataFrame([], "ord long, by_alias string"), spark.createDataFrame([], told)
+    conf = F.broadcast(spark.createDataFrame(conf, "k_feed string, k_norm string, k_id string, target string, r_feed string, r_norm string, r_lat double, r_lon double"))  # configuration
+    by_id = F.col("k_id") == F.concat_ws(":", "feed", "stop_id")
+    hit = by_id | ((F.col("k_feed") == F.col("feed")) & (F.col("k_norm") == F.col("norm")))
+    # an entry for the stop's id comes before one for its name
+    mine = stubs.join(conf, hit).groupBy("ord", "feed", "stop_id").agg(F.min(F.struct(F.col("k_id").isNull(), "target", "r_feed", "r_norm", "r_lat", "r_lon")).alias("m")).select("ord", "feed", "stop_id", "m.target", "m.r_feed", "m.r_norm", "m.r_lat", "m.r_lon")
+    plain = mine.filter("r_feed is null").join(stations.select(F.col("id").alias("target")), "target").select("ord", F.col("target").alias("by_alias"))
+    first = landed.groupBy(F.col("feed").alias("r_feed"), F.col("norm").alias("r_norm"), F.col("canonical").alias("id")).agg(F.min("ord").alias("at")).join(stations.select("id", "lat", "lon"), "id")
+    near = F.col("id").isNotNull() & (F.col("r_lat").isNull() | (flat_m(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon")) < HINT_M))
+    # stations of one name in one feed
+    met = mine.filter("r_feed is not null").join(first, ["r_feed", "r_norm"], "left").groupBy("ord", "feed", "stop_id", "target").agg(F.array_sort(F.collect_list(F.when(near, F.struct("at", "id")))).alias("h"))
+    met = met.withColumn("hits", F.transform("h", lambda x: x["id"])).drop("h")
+    return plain.unionByName(met.filter(F.size("hits") > 0).select("ord", F.col("hits")[0].alias("by_alias"))), met
+
+
+def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}") -> DataFrame:
+    """ord, canonical: for stops (ord, stop_id, name, lat, lon) of one feed without aliases, the ord of the stop that made the station it joins."""
+    rows = stops.select("ord", F.lit("").alias("feed"), F.col("ord").cast("string").alias("stop_id"), "name", code_of(F.col("stop_id"), code_pattern).alias("code"), F.lit(None).cast("string").alias("country"), "lat", "lon")
+    stations, mapping, _ = merge_stations(rows, Aliases({}), {"": 0})
+    return mapping.join(stations.select(F.col("id").alias("station"), F.col("ord").alias("canonical")), "station").select(F.col("stop_id").cast("long").alias("ord"), "canonical")
+
+
+def renamed(stations: DataFrame, names: dict[str, str], mapping: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stations, issues): stations under the names that configuration gives them. Keys are ids, or "feed@name~lat,lon" of a
+    stop; of several stations that a key meets the first is renamed, and a key that meets none is reported.
+
+    stops: ord, feed, stop_id, name."""
+    spark = stations.sparkSession
+    conf = [(k, n, *((*ref[:2], *(ref[2] or (None, None))) if (ref := Aliases.named(k)) else (None, None, None, None)), i) for i, (k, n) in enumerate(names.items())]
+    conf = F.broadcast(spark.createDataFrame(conf, "key string, new string, r_feed string, r_norm string, r_lat double, r_lon double, pos int"))  # configuration
+    landed = mapping.join(stops.select("ord", "feed", "stop_id", merge_name(F.col("name")).alias("norm")), ["feed", "stop_id"]).groupBy("feed", "norm", "station").agg(F.min("ord").alias("at"))
+    ids = stations.select("id", "lat", "lon")
+    by_id = conf.filter("r_feed is null").join(ids, F.col("key") == F.col("id")).select("key", "new", "pos", "id", F.lit(0).cast("long").alias("at"))
+    by_name = conf.join(landed, (F.col("r_feed") == F.col("feed")) & (F.col("r_norm") == F.col("norm"))).join(ids, F.col("station") == F.col("id"))
+    by_name = by_name.filter(F.col("r_lat").isNull() | (flat_m(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon")) < HINT_M)).select("key", "new", "pos", "id", "at")
+    met = written(by_id.unionByName(by_name).groupBy("key", "new", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("h")), "renamed")  # stations of one name
+    given = met.groupBy(F.col("h")[0]["id"].alias("id")).agg(F.max_by("new", "pos").alias("new"))
+    stale = F.lit("stale_override")
+    detail = F.concat(F.lit("name of '"), F.col("key"), F.lit("' is ambiguous: "), F.array_join(F.transform("h", lambda x: x["id"]), ", "))
+    issues = met.filter(F.size("h") > 1).select(stale.alias("kind"), detail.alias("detail")).unionByName(conf.join(met.select("key"), "key", "left_anti").select(stale.alias("kind"), F.concat(F.lit("name of '"), F.col("key"), F.lit("' matches no station")).alias("detail")))
+    return stations.join(F.broadcast(given), "id", "left").withColumn("name", F.coalesce("new", "name")).drop("new"), issues  # configuration
 
 
 def through_candidates(trips: DataFrame, ends: DataFrame, calls: DataFrame, most_gap: int = 60) -> DataFrame:
@@ -98,69 +261,155 @@ def through_ends(calls: DataFrame) -> DataFrame:
     return calls.groupBy("trip_id").agg(F.count("*").alias("n"), first.alias("f"), last.alias("l")).select("trip_id", "n", F.col("f.station").alias("first_station"), F.col("f.dep").alias("first_dep"), F.col("l.station").alias("last_station"), F.col("l.arr").alias("last_arr"))
 
 
+def fold_through(trips: list[tuple], passes: int, most_gap: int) -> tuple[list[tuple], list[tuple[int, int, bool]]]:
+    """Services of trips (ord, trip_id, stations, first departure, last arrival): (members in order), and for each pass how many
+    pairs it left for being ambiguous and whether it joined any."""
+    live = {t[0]: ([t[1]], list(t[2]), t[3], t[4]) for t in sorted(trips)}
+    left = []
+    for pass_ in range(1, passes + 1):
+        starts: dict = {}
+        for k, s in live.items():
+            starts.setdefault(s[1][0], []).append(k)
+        found = []
+        for i, s in live.items():
+            for j in starts.get(s[1][-1], ()):
+                gap = live[j][2] - s[3]
+                if i != j and 0 <= gap <= most_gap and not set(s[1][:-1]) & set(live[j][1][1:]):
+                    found.append((gap, i, j))
+        seen: dict[tuple, int] = {}
+        for gap, i, j in found:
+            seen[gap, "a", i] = seen.get((gap, "a", i), 0) + 1
+            seen[gap, "b", j] = seen.get((gap, "b", j), 0) + 1
+        doubtful = {p for p in found if seen[p[0], "a", p[1]] > 1 or seen[p[0], "b", p[2]] > 1}
+        touched: set[int] = set()
+        for gap, i, j in sorted(set(found) - doubtful):
+            if i in touched or j in touched:
+                continue
+            touched |= {i, j}
+            a, b = live[i], live.pop(j)
+            live[i] = (a[0] + b[0], a[1] + b[1][1:], a[2], b[3])
+        left.append((pass_, len(doubtful), bool(touched)))
+        if not touched:
+            break
+    return [tuple(s[0]) for s in live.values()], left
+
+
 def join_through(trips: DataFrame, calls: DataFrame, passes: int = 5, most_gap: int = 60) -> DataFrame:
-    """head, members: joined trips in order of travel. Candidates by gap, then trips' order; a trip joins once a pass;
-    labels never mix, so each is folded apart."""
-    stops = calls.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("idx", "station", "arr", "dep"))).alias("stops"))
-    rows = trips.filter(F.col("train").rlike("(?U)\\d")).select("trip_id", "train").join(stops.filter(F.size("stops") >= 2), "trip_id")
+    """head, members: joined trips in order of travel. Candidates by gap, then trips' order; a trip joins once a pass.
+
+    A service's later candidates begin where its last trip ends, so they were candidates of that trip: decisions stay
+    within trips connected by candidates, and each such group is folded apart. Trips without one are left as they are."""
+    folded = _through_groups(trips, calls, passes, most_gap)
+    return folded.filter("members is not null").select(F.col("members")[0].alias("head"), "members")
+
+
+def ambiguous_labels(trips: DataFrame, calls: DataFrame, passes: int = 5, most_gap: int = 60, top: int = 5) -> DataFrame:
+    """train, n: labels with the most pairs that were left for being ambiguous. Passes go on while any label joins, and a pair that stays is counted in each."""
+    rows = _through_groups(trips, calls, passes, most_gap).filter("members is null")
+    last = F.broadcast(rows.agg(F.least(F.lit(passes), F.coalesce(F.max(F.when(F.col("joined"), F.col("pass"))), F.lit(0)) + 1).alias("passes")))  # one row
+    each = rows.groupBy("train", "group").agg(F.sum("n").alias("n"), F.max("pass").alias("own"), F.max_by("n", "pass").alias("stays"))
+    counts = each.join(last, F.lit(True)).withColumn("n", F.col("n") + F.greatest(F.col("passes") - F.col("own"), F.lit(0)) * F.col("stays"))
+    return counts.groupBy("train").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("n"), "train").limit(top)
+
+
+def _through_groups(trips: DataFrame, calls: DataFrame, passes: int, most_gap: int) -> DataFrame:
+    """train and either members of a service, or of a group's pass the pairs n that it left and whether it joined any."""
+    ends = through_ends(calls)
+    own = written(trips.filter(F.col("train").rlike("(?U)\\d")).select("trip_id", "train").join(ends.filter("n >= 2"), "trip_id"), "through")
+    pairs = written(through_candidates(trips, ends, calls, most_gap).select("a", "b"), "through-pairs")
+    groups = written(connected(pairs), "through-groups")
+    rows = own.join(groups, F.col("trip_id") == F.col("node"))
+    stations = calls.join(groups.select(F.col("node").alias("trip_id")), "trip_id", "left_semi").groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "station"))), lambda x: x["station"]).alias("stations"))
 
     def fold(frame):
         import pandas as pd
 
-        # a service: members, its stations in order, first departure, last arrival
-        live = {r.trip_id: ([r.trip_id], [s["station"] for s in r.stops], r.stops[0]["dep"], r.stops[-1]["arr"]) for r in frame.sort_values("trip_id").itertuples()}
-        for _ in range(passes):
-            starts: dict[int, list[int]] = {}
-            for k, s in live.items():
-                starts.setdefault(s[1][0], []).append(k)
-            found = []
-            for i, s in live.items():
-                for j in starts.get(s[1][-1], ()):
-                    gap = live[j][2] - s[3]
-                    if i != j and 0 <= gap <= most_gap and not set(s[1][:-1]) & set(live[j][1][1:]):
-                        found.append((gap, i, j))
-            seen: dict[tuple, int] = {}
-            for gap, i, j in found:
-                seen[gap, "a", i] = seen.get((gap, "a", i), 0) + 1
-                seen[gap, "b", j] = seen.get((gap, "b", j), 0) + 1
-            touched: set[int] = set()
-            for gap, i, j in sorted(found):
-                if i in touched or j in touched or seen[gap, "a", i] > 1 or seen[gap, "b", j] > 1:
-                    continue
-                touched |= {i, j}
-                a, b = live[i], live.pop(j)
-                live[i] = (a[0] + b[0], a[1] + b[1][1:], a[2], b[3])
-            if not touched:
-                break
-        return pd.DataFrame([(k, s[0]) for k, s in live.items()], columns=["head", "members"])
-
-    return rows.groupBy("train").applyInPandas(fold, "head long, members array<long>")
+        got, left = fold_through([(r.trip_id, r.trip_id, r.stations, r.first_dep, r.last_arr) for r in frame.itertuples()], passes, most_gap)
+        train, group = frame["train"].iloc[0], frame["group"].iloc[0]
+        said = [(train, group, list(m), None, None, None) for m in got] + [(train, group, None, *x) for x in left]
+        return pd.DataFrame(said, columns=["train", "group", "members", "pass", "n", "joined"]).astype({"pass": "Int64", "n": "Int64", "joined": "boolean"})
+
+    several = rows.join(stations, "trip_id").groupBy("group").applyInPandas(fold, "train string, group long, members array<long>, pass long, n long, joined boolean")
+    none = lambda t: F.lit(None).cast(t)
+    alone = own.join(groups.select(F.col("node").alias("trip_id")), "trip_id", "left_anti").select("train", none("long").alias("group"), F.array("trip_id").alias("members"), none("long").alias("pass"), none("long").alias("n"), none("boolean").alias("joined"))
+    return written(alone.unionByName(several), "services")
+
+
+def through_calls(services: DataFrame, calls: DataFrame) -> DataFrame:
+    """head, idx, station, arr, dep of joined trips: where one trip hands over to the next, arrival is the first's and departure the second's."""
+    m = services.select("head", F.size("members").alias("n"), F.posexplode("members").alias("pos", "trip_id"))
+    rows = calls.join(m, "trip_id").withColumn("last", F.max("idx").over(W.partitionBy("trip_id")) == F.col("idx"))
+    order = W.partitionBy("head").orderBy("pos", "idx")
+    rows = rows.withColumns({"next_dep": F.lead("dep").over(order), "first": F.min("idx").over(W.partitionBy("trip_id")) == F.col("idx")})
+    ends = F.col("last") & (F.col("pos") < F.col("n") - 1)
+    rows = rows.filter(~(F.col("first") & (F.col("pos") > 0))).withColumn("dep", F.when(ends, F.col("next_dep")).otherwise(F.col("dep")))
+    return rows.select("head", F.row_number().over(order).alias("idx"), "station", "arr", "dep")
+
+
+def through_trips(services: DataFrame, trips: DataFrame) -> DataFrame:
+    """head, trip_id (the members' ids joined by +), train (the first's) and feeds (each once, in order of travel) of joined trips."""
+    m = services.select("head", F.posexplode("members").alias("pos", "id")).join(trips.select(F.col("trip_id").alias("id"), "train", "feed"), "id")
+    held = F.array_sort(F.collect_list(F.struct("pos", "id", "train", "feed"))).alias("m")  # the members of one service
+    return m.groupBy("head").agg(held).select("head", F.array_join(F.transform("m", lambda x: x["id"].cast("string")), "+").alias("trip_id"), F.col("m")[0]["train"].alias("train"), F.array_distinct(F.transform("m", lambda x: x["feed"])).alias("feeds"))
 
 
 def in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     """id, iso: the first polygon whose exterior holds a point and none of whose holes does. edges: iso, ord, ring (0 is
-    the exterior), x1, y1, x2, y2. Crossings are counted for each ring, by the half-open rule."""
-    box = edges.groupBy("iso", "ord").agg(F.min("x1").alias("x_min"), F.max("x1").alias("x_max"), F.min("y1").alias("y_min"), F.max("y1").alias("y_max"))
-    near = points.join(F.broadcast(box), F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max")))  # polygons are configuration
-    at = near.join(F.broadcast(edges), ["iso", "ord"])
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < F.try_divide((F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1"))
-    rings = at.groupBy("id", "iso", "ord", "ring").agg((F.count_if(crosses) % 2 == 1).alias("inside"))
-    polys = rings.groupBy("id", "iso", "ord").agg(F.bool_or((F.col("ring") == 0) & F.col("inside")).alias("out"), F.bool_or((F.col("ring") > 0) & F.col("inside")).alias("hole"))
-    return polys.filter("out and not hole").groupBy("id").agg(F.min(F.struct("ord", "iso")).alias("m")).select("id", "m.iso")
+    the exterior), x1, y1, x2, y2. Crossings are counted for each ring, by the half-open rule.
+
+    Rings are arrays, joined on the degree cells that their polygon's box covers; a point counts crossings in its row."""
+    side = F.struct("x1", "y1", "x2", "y2")
+    rings = edges.groupBy("iso", "ord", "ring").agg(F.collect_list(side).alias("e"), F.min("x1").alias("x_min"), F.max("x1").alias("x_max"), F.min("y1").alias("y_min"), F.max("y1").alias("y_max"))  # a ring of the map
+    polys = rings.groupBy("iso", "ord").agg(F.collect_list(F.struct("ring", "e")).alias("rings"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
+    cells = polys.withColumn("cx", F.explode(F.sequence(F.floor("x_min"), F.floor("x_max")))).withColumn("cy", F.explode(F.sequence(F.floor("y_min"), F.floor("y_max"))))
+    at = points.withColumns({"cx": F.floor("lon"), "cy": F.floor("lat")}).join(cells, ["cx", "cy"])
+    at = at.filter(F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max")))
+
+    def crosses(e):
+        up = (e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))
+        return up & F.coalesce(F.col("lon") < F.try_divide((e["x2"] - e["x1"]) * (F.col("lat") - e["y1"]), e["y2"] - e["y1"]) + e["x1"], F.lit(False))
+
+    inside = lambda r: F.size(F.filter(r["e"], crosses)) % 2 == 1
+    holds = F.exists("rings", lambda r: (r["ring"] == 0) & inside(r)) & ~F.exists("rings", lambda r: (r["ring"] > 0) & inside(r))
+    return at.filter(holds).groupBy("id").agg(F.min(F.struct("ord", "iso")).alias("m")).select("id", "m.iso")
 
 
 def nearest_override(overrides: DataFrame, stations: DataFrame, most_m: float = NEAR_M) -> DataFrame:
-    """ord, id, n: the nearest station within most_m of each override, and how many are within."""
+    """ord, id, n: the nearest station within most_m of each override, and how many are within. Joined on grid cells."""
+    own = overrides.withColumns({"cy": F.floor(F.col("o_lat") / CELL), "cx": F.floor(F.col("o_lon") / CELL)})
+    wide = own.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
     d = great_circle_m(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
-    near = stations.join(F.broadcast(overrides), F.abs(F.col("lat") - F.col("o_lat")) < 0.01).withColumn("d", d).filter(F.col("d") <= most_m)  # overrides are configuration
+    placed = stations.withColumns({"cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lon") / CELL)})
+    near = placed.join(wide, ["cy", "cx"]).withColumn("d", d).filter(F.col("d") <= most_m)
     return near.groupBy("ord").agg(F.min(F.struct("d", "id")).alias("m"), F.count("*").alias("n")).select("ord", "m.id", "n")
 
 
+def assign_countries(stations: DataFrame, edges: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stations, audit): countries by override, else by polygon, else as the feed says; and a row (kind, subject, old, new) for
+    each change, each station in no polygon, and each override that met no station or several.
+
+    stations: id, name, country, lat, lon; overrides: ord, o_name, o_lat, o_lon, country. Of overrides of one station the last counts."""
+    met = written(nearest_override(overrides.drop("country"), stations), "overrides")
+    said = met.join(overrides.select("ord", "o_name", F.col("country").alias("o_country")), "ord")
+    forced = said.groupBy("id").agg(F.max_by("o_country", "ord").alias("o_country"))
+    both = stations.join(forced, "id", "left").join(in_polygons(stations, edges), "id", "left")
+    both = written(both.withColumn("new", F.coalesce("o_country", "iso", "country")), "countries")
+    audit = both.filter("o_country is not null or not (new <=> country)").select(F.lit("changed").alias("kind"), F.col("id").cast("string").alias("subject"), F.col("country").alias("old"), "new")
+    audit = audit.unionByName(both.filter("o_country is null and iso is null").select(F.lit("no polygon").alias("kind"), F.col("id").cast("string").alias("subject"), F.col("country").alias("old"), F.col("country").alias("new")))
+    audit = audit.unionByName(overrides.join(met, "ord", "left_anti").select(F.lit("unused override").alias("kind"), F.col("o_name").alias("subject"), F.lit(None).cast("string").alias("old"), F.col("country").alias("new")))
+    audit = audit.unionByName(said.filter("n > 1").select(F.lit("ambiguous override").alias("kind"), F.col("o_name").alias("subject"), F.col("id").cast("string").alias("old"), F.col("o_country").alias("new")))
+    return both.withColumn("country", F.col("new")).select(*stations.columns), audit
+
+
+def is_border(name: Column) -> Column:
+    """Whether a station is a point on a border, which no catalogue sells."""
+    return F.contains(name, F.lit("(Gr)"))
+
+
 def match_catalogue(stations: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """id, candidate, how: by equal name within 5 km, else a name that holds the other (4 letters or more), else the nearest within 0.5 km."""
-    border = F.contains(F.col("c_name"), F.lit("(Gr)"))
-    c = catalogue.select(F.col("id").alias("candidate"), F.col("name").alias("c_name"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).filter(~border).withColumns({"y": F.floor(F.col("c_lat") / CELL), "x": F.floor(F.col("c_lon") / CELL), "cn": booking_name(F.col("c_name"))})
-    s = stations.withColumn("sn", booking_name(F.col("name"))).withColumn("y", F.explode(F.sequence(F.floor(F.col("lat") / CELL) - 1, F.floor(F.col("lat") / CELL) + 1))).withColumn("x", F.explode(F.sequence(F.floor(F.col("lon") / CELL) - 2, F.floor(F.col("lon") / CELL) + 2)))
+    """id, candidate, how: by equal name within 5 km, else a name that holds the other (4 letters or more), else the nearest within 0.5 km. Points on borders match nothing."""
+    c = catalogue.select(F.col("id").alias("candidate"), F.col("name").alias("c_name"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).withColumns({"y": F.floor(F.col("c_lat") / CELL), "x": F.floor(F.col("c_lon") / CELL), "cn": booking_name(F.col("c_name"))})
+    s = stations.filter(~is_border(F.col("name"))).withColumn("sn", booking_name(F.col("name"))).withColumn("y", F.explode(F.sequence(F.floor(F.col("lat") / CELL) - 1, F.floor(F.col("lat") / CELL) + 1))).withColumn("x", F.explode(F.sequence(F.floor(F.col("lon") / CELL) - 2, F.floor(F.col("lon") / CELL) + 2)))
     near = s.join(c, ["y", "x"]).withColumn("km", grid_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).filter("km <= 5")
     holds = (F.length("sn") >= 4) & (F.length("cn") >= 4) & (F.contains("sn", "cn") | F.contains("cn", "sn"))
     how = F.when(F.col("sn") == F.col("cn"), 1).when(holds, 2).when(F.col("km") <= 0.5, 3)
@@ -168,6 +417,12 @@ def match_catalogue(stations: DataFrame, catalogue: DataFrame) -> DataFrame:
     return best.select("id", "m.candidate", "m.how")
 
 
+def match_counts(stations: DataFrame, matches: DataFrame) -> DataFrame:
+    """kind, n: stations matched by name, by place alone, and left out as points on borders."""
+    kinds = stations.join(matches.select("id", "how"), "id", "left").select(F.when(is_border(F.col("name")), "border").when(F.col("how") <= 2, "name").when(F.col("how") == 3, "coord").alias("kind"))
+    return kinds.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def duplicates(stations: DataFrame) -> DataFrame:
     """Pairs of stations that look like one and weren't merged."""
     return proximity_pairs(stations)

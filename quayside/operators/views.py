@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quayside.functions.geo import path_km
-from quayside.functions.text import search_name
+from quayside.functions.text import bare, search_name
 
 
 def shown(journeys: DataFrame, most_trains: int, most_minutes: int) -> DataFrame:
@@ -35,6 +37,11 @@ def segments(hop_rows: DataFrame) -> DataFrame:
     return hop_rows.filter("a <> b").groupBy(hop_key(F.col("a"), F.col("b")).alias("hop")).agg(F.min("minutes").alias("minutes"), F.count("*").alias("n"), F.min("trip_id").alias("first_trip"))
 
 
+def hop_weights(hop_rows: DataFrame) -> DataFrame:
+    """a, b, w: how often each hop is travelled; hops of no length are left out."""
+    return hop_rows.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
 def curves(hop_rows: DataFrame, stations: DataFrame) -> DataFrame:
     """hop, points: each hop as a curve that leaves its stations along one tangent, that of the weightiest way through."""
     at = stations.select("id", "lat", "lon")
@@ -77,20 +84,21 @@ def along_paths(calls: DataFrame, stations: DataFrame) -> DataFrame:
     return at.withColumn("step", F.coalesce(step, F.lit(0.0))).select("trip_id", "idx", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("km"))
 
 
-def query_variants(query: Column, exonyms: DataFrame | list[tuple[str, str]]) -> Column:
-    """The folded query and its translations, from 3 letters on."""
-    q = search_name(query)
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in exonyms])
-    hit = F.filter(table, lambda e: F.startswith(e["k"], q) | F.startswith(q, e["k"]))
-    other = F.transform(hit, lambda e: F.when(F.startswith(e["k"], q), e["v"]).otherwise(F.concat(e["v"], F.substring(q, F.length(e["k"]) + 1, F.lit(1000)))))
-    return F.when(F.length(q) >= 3, F.array_distinct(F.concat(F.array(q), other))).otherwise(F.array(q))
+def query_variants(query: str, exonyms: list[tuple[str, str]]) -> list[str]:
+    """The folded query and, from 3 letters on, its translations: of names that it begins, and of names that begin it."""
+    q = bare(query).lower()
+    out = [q]
+    if len(q) >= 3:
+        out += [native if name.startswith(q) else q.replace(name, native, 1) for name, native in exonyms if name.startswith(q) or q.startswith(name)]
+    return list(dict.fromkeys(out))
 
 
-def search(stations: DataFrame, query: str, exonyms: list[tuple[str, str]], limit: int = 10) -> DataFrame:
-    """Top stations (id, name, is_capital, n_dest) for a query: prefix before substring, capitals, reach, short names."""
-    name = search_name(F.col("name"))
-    rows = stations.withColumn("v", query_variants(F.lit(query), exonyms)).withColumn("norm", name)
-    tier = F.when(F.exists("v", lambda v: F.startswith(F.col("norm"), v)), 0).when(F.exists("v", lambda v: F.contains(F.col("norm"), v)), 1)
+def search(stations: DataFrame, query: str, exonyms: list[tuple[str, str]], limit: int = 10, reach: DataFrame | None = None) -> DataFrame:
+    """Top stations (id, name, is_capital, n_dest) for a query: prefix before substring, capitals, reach, short names; only those of reach (id) if it is given."""
+    rows = stations.join(reach.select("id"), "id", "left_semi") if reach is not None else stations
+    rows = rows.withColumn("norm", search_name(F.col("name")))
+    some = lambda f: reduce(lambda a, b: a | b, [f(F.col("norm"), F.lit(v)) for v in query_variants(query, exonyms)])
+    tier = F.when(some(F.startswith), 0).when(some(F.contains), 1)
     return rows.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.when(F.col("is_capital"), 0).otherwise(1), F.desc("n_dest"), F.length("norm"), "id").limit(limit).select("id", "name", "tier", "n_dest")
 
 
@@ -111,10 +119,18 @@ def transfer_checks(transfers: DataFrame, groups: DataFrame, stations: DataFrame
     return rows.select("city", "a", "b", "minutes", "mode", reason.alias("reason"))
 
 
+def coverage(stations: DataFrame, feeds: DataFrame) -> DataFrame:
+    """country, covered of all countries with a station: whether a feed is of the country, or it is only reached."""
+    there = feeds.select("country").distinct().withColumn("covered", F.lit(True))
+    return stations.select("country").distinct().join(there, "country", "left").select("country", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
 def city_union(reaches: DataFrame) -> DataFrame:
-    """dest, origin, trains, duration: the best of a city's origins for each destination; rows (reach_ord, origin, dest, trains, duration)."""
-    first = reaches.groupBy("reach_ord", "origin", "dest").agg(F.min(F.struct("trains", "duration")).alias("j"))
-    return first.groupBy("dest").agg(F.min(F.struct(F.col("j.trains"), F.col("j.duration"), F.col("reach_ord"), F.col("origin"))).alias("m")).select("dest", "m.origin", "m.trains", "m.duration")
+    """The best row of a city's origins for each destination, with all its columns: fewest trains, then least time, then the
+    first origin; a row without a journey (trains is null) loses to any with one. Rows (reach_ord, origin, dest, trains, duration, ...)."""
+    rank = F.struct(F.col("trains").isNull(), "trains", "duration", "reach_ord", "origin")
+    whole = F.struct(*[c for c in reaches.columns if c not in ("dest", "reach_ord")])
+    return reaches.groupBy("dest").agg(F.min_by(whole, rank).alias("m")).select("dest", "m.*")
 
 
 def destination_options(stations: DataFrame, journeys: DataFrame, same_city: DataFrame, origin: int, query: str, most_minutes: int, limit: int = 12) -> DataFrame:
@@ -132,4 +148,6 @@ def booking_links(rows: DataFrame, ids: DataFrame, today: Column, home: str, res
     day = F.try_to_date("day", "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.col("day").try_cast("date")
     ok = F.coalesce(F.col("o").isNotNull() & F.col("d").isNotNull() & (day >= F.date_sub(today, 1)), F.lit(False))
     url = F.concat(F.lit(results), F.lit("?origin="), F.url_encode(F.concat(F.lit("loc:"), F.col("o"))), F.lit("&destination="), F.url_encode(F.concat(F.lit("loc:"), F.col("d"))), F.lit("&outwardDate="), F.url_encode(F.concat(day.cast("string"), F.lit("T06:00:00"))))
+    # a passenger of thirty years
+    url = F.concat(url, F.lit("&passengers%5B%5D="), (F.year(today) - 30).cast("string"), F.lit("-01-01"))
     return r.select("req", ok.alias("matched"), F.when(ok, url).otherwise(home).alias("url"))

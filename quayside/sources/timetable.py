@@ -93,7 +93,7 @@ VIEWS = {
     "tt_footpaths": "SELECT id AS a, id + 1 AS b, 15 + id % 30 AS minutes, ['walk','metro','tram','bus','rail','ferry','taxi'][id % 7 + 1] AS mode, id AS ord FROM tt_stations WHERE id % 7 = 0",
     "tt_calendar": "SELECT p_partkey // 2 AS service_id, ((p_size * 2 + p_partkey % 2) % 128)::INT AS days, DATE '2024-01-01' AS start_date, DATE '2024-01-30' AS end_date FROM part",
     "tt_calendar_dates": "SELECT user_id AS service_id, ts::DATE AS date, event_type = 'signup' AS is_add, ts, event_id AS row_order FROM events WHERE event_type IN ('signup', 'error')",
-    "tt_raw_keys": "SELECT 0::BIGINT AS feed, s_suppkey AS k FROM supplier UNION ALL SELECT 1 + c_custkey % 3, c_custkey FROM customer WHERE c_custkey < 400",
+    "tt_raw_keys": "SELECT 0::BIGINT AS feed, s_suppkey AS k FROM supplier UNION ALL SELECT 1 + c_custkey % 3, c_custkey FROM customer",
     "tt_raw_stops": "SELECT feed, k AS stop_ord, 'st:' || (1000000 + k % 300) || CASE WHEN k % 4 = 0 THEN '9' ELSE '' END AS stop_id, ['München','Zürich','Łódź','Köln','Praha'][k % 5 + 1] || ' ' || (k % 40) || ['',' Hbf',' Hauptbahnhof'][k % 3 + 1] AS name, 47 + (k % 40) * 0.05 + (k % 7) * 0.001 AS lat, 8 + (k % 40) * 0.05 + (k % 5) * 0.001 AS lon FROM tt_raw_keys",
 }
 

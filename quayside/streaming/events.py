@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
     """hour, event_type, n, total: late is the watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events  # a watermark needs a time zone
     g = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
