@@ -131,7 +131,7 @@ def publication_days(spark: SparkSession, paths: dict[str, str], conf: dict[str,
         daily = written(daily, "publication-days")
         calls = daily.select("feed", "day", "day_ord", "trip_id", F.explode("calls").alias("c")).select("feed", "day", "day_ord", "trip_id", "c.idx", "c.stop_id", "c.arr", "c.dep")
         places = netex.stops(netex.elements(spark, path, "StopPlace"), netex.elements(spark, path, "ScheduledStopPoint")).drop("feed")
-        at = places.withColumn("row_order", F.dense_rank().over(W.orderBy("stop_id")).cast("long"))  # a publication's stops
+        at = places.withColumn("row_order", F.lit(0).cast("long"))
         stops = calls.select("feed", "day_ord", "stop_id").distinct().join(at, "stop_id").select("feed", "day_ord", "row_order", "stop_id", "name", "lat", "lon")
         trips = daily.select("feed", "trip_id", "train", F.col("row_order").alias("trip_ord"), "day")
         out.append((trips, calls.select("feed", "day", "trip_id", "idx", "stop_id", "arr", "dep"), stops))
@@ -174,7 +174,7 @@ def build(spark: SparkSession, archives: str | list[str] | None, conf: dict[str,
             code = F.when(F.col("feed") == n, code_of(F.col("stop_id"), f.code_pattern)).otherwise(code)
     country = F.create_map(*[F.lit(x) for n, f in conf.items() for x in (n, f.country or "")])
     once = feeds.first_seen(stops).withColumn("feed_ord", place[F.col("feed")])
-    rank = F.row_number().over(W.partitionBy("feed_ord").orderBy("day_ord", "row_order"))
+    rank = F.row_number().over(W.partitionBy("feed_ord").orderBy("day_ord", "row_order", "stop_id"))
     once = once.select((F.col("feed_ord").cast("long") * (1 << 40) + rank).alias("ord"), "feed", "stop_id", "name", code.alias("code"), F.nullif(country[F.col("feed")], F.lit("")).alias("country"), "lat", "lon")
     once = written(once, "registry")
     stations, mapping, issues = resolve.merge_stations(once, resolve.Aliases(aliases or {}), feed_order)
@@ -187,9 +187,10 @@ def build(spark: SparkSession, archives: str | list[str] | None, conf: dict[str,
     lost = feeds.unmapped(calls, mapping)
     calls = written(feeds.remapped(calls, mapping), "remapped")
     trips = written(trips.join(calls.select("feed", "day", "trip_id").distinct(), ["feed", "day", "trip_id"], "left_semi"), "trips")
-    # trips of all days as numbers, in the order of feeds and files; days never join, since numbers part them
-    order = W.partitionBy("day").orderBy(place[F.col("feed")], "trip_ord", "trip_id")
-    ids = written(trips.withColumn("num", F.row_number().over(order)).withColumn("n", F.dense_rank().over(W.orderBy("day")).cast("long") * (1 << 40) + F.col("num")), "numbers")  # a day's trips, bounded by the network
+    # trips of all days as numbers, in the order of days, feeds and files
+    own = F.row_number().over(W.partitionBy("day", "feed").orderBy("trip_ord", "trip_id"))
+    number = (F.create_map(*[F.lit(x) for kv in day_order.items() for x in kv])[F.col("day")].cast("long") * 1024 + place[F.col("feed")]) * (1 << 40) + own
+    ids = written(trips.withColumn("n", number), "numbers")
     numbered = calls.join(ids.select("feed", "day", "trip_id", F.col("n").alias("num")), ["feed", "day", "trip_id"]).select(F.col("num").alias("trip_id"), "idx", "station", "arr", "dep", "day")
     numbered = written(numbered, "numbered")
     labels = ids.select(F.col("n").alias("trip_id"), F.concat_ws("|", "train", "day").alias("train"))

@@ -144,8 +144,10 @@ def test_curves_leave_and_reach_their_stations(spark):
 
 
 def test_stream_counts_as_the_batch_does(spark, tmp_path):
-    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = events.stream(spark, "/root/testdata/sf0.001/events.parquet", batch.schema, late="1000 days")
+    folder = f"file://{tmp_path}/events"
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(folder)
+    batch = spark.read.parquet(folder)
+    stream = events.stream(spark, folder, batch.schema, late="1000 days")
     q = stream.writeStream.format("memory").queryName("hourly").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c").start()
     q.processAllAvailable()
     q.stop()
