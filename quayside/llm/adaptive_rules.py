@@ -7,7 +7,8 @@ are joined back, and a text outside any fence of its group goes.
 Groups of fewer than LEAST_ROWS rows take the fences of their language's merged sketches, then of all.
 
 Cases: null and empty texts have no words and fail the base; null language and source are groups of their
-own; repeated rows are judged each; other columns are ignored; an empty table gives no rows.
+own; repeated rows are judged each; a measure at its fence is within; long texts are read whole, in memory of their words
+and one hash a word; other columns are ignored and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations

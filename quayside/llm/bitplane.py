@@ -10,7 +10,8 @@ Executors write files under names of their own and report them in a manifest tha
 files of lost or repeated attempts are never read.
 
 Cases: null and empty texts hold the end id only; rows with equal doc_id keep the order of their
-texts' hashes; null doc_id comes first; other columns are ignored; an empty table gives no files.
+texts' hashes; null doc_id comes first; long texts are coded alone and written block by block; strings of special
+tokens are ordinary text (see tokens); other columns are ignored and may have any name; an empty table gives no files.
 """
 
 from __future__ import annotations

@@ -6,15 +6,16 @@ sketch); every cell selects its minimal k-mer, two neighbouring cells form a ske
 in the order they have in the text, and the pair is hashed. Two texts agree in a sketch if the same k-mers
 were selected and stand in the same order, so the share of equal sketches follows edit distance.
 
-A word of over LONG_WORD characters is cut into words of that length, which also parts texts without spaces.
+A word of over LONG_WORD characters, as texts without spaces are, is cut after each character of a fixed quarter of
+the characters, or after LONG_WORD others: the cuts depend on what stands there, so an edit moves only those near it.
 
 The k-mers of a document stay in the task that explodes it: documents are dealt by key once, and numbering
 and selection keep that partitioning. The next document is found on a narrow table of keys.
 
 Cases: null and empty texts, and texts without words, have the empty fingerprint; two such texts are alike
 to 1, one such and another to 0; rows with equal doc_id are ordered by their texts' hashes; a null doc_id
-comes last; equal rows stand at one place of the order and each of them is returned; other columns are
-ignored; an empty table gives no rows.
+comes last; equal rows stand at one place of the order and each of them is returned; long texts
+are read whole, a row for each k-mer; other columns are ignored and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SPACE_RE, sent_if_small, written
+from quayside.llm.common import SPACE_RE, repeated, sent_if_small, written
 
 K = 2
 SKETCHES = 64
@@ -33,9 +34,22 @@ HASH_BITS = 26
 SENT_ROWS = 2_000_000
 
 
+def _cut_pattern() -> str:
+    """A stretch that ends in a cutting character: of Latin-1 every fourth, else the third quarter of each 128 code points."""
+    latin = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100, 4))
+    others = "".join(f"\\u{c:04x}-\\u{c + 31:04x}" for c in range(0x140, 0x10000, 128) if not 0xD7E0 <= c < 0xE000)
+    return f"(?s)(.{{0,{LONG_WORD - 1}}}?[{latin}{others}]|.{{{LONG_WORD}}})"
+
+
+CUT = _cut_pattern()
+
+
 def tokens_of(text: Column) -> Column:
-    cut = F.when(F.rlike(text, F.lit(f"[^\\x20\\x09-\\x0D]{{{LONG_WORD + 1}}}")), F.regexp_replace(text, f"([^\\x20\\x09-\\x0D]{{{LONG_WORD}}})", "$1 ")).otherwise(text)
-    return F.filter(F.split(cut, SPACE_RE), lambda w: w != "")
+    """Words of a text, long ones as their parts."""
+    words = F.filter(F.split(text, SPACE_RE), lambda w: w != "")
+    parts = lambda w: F.filter(F.split(F.regexp_replace(w, CUT, "$1 "), " "), lambda x: x != "")
+    several = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, parts(w)).otherwise(F.array(w))))
+    return F.when(F.rlike(text, F.lit(f"[^\\x20\\x09-\\x0D]{{{LONG_WORD + 1}}}")), several).otherwise(words)
 
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
@@ -106,7 +120,8 @@ def compare(docs: DataFrame) -> DataFrame:
     narrow = written(own.groupBy("key", "doc_id", "th", "n_chars").agg(F.count("*").alias("copies")), "order-keys")
     follow = written(next_rows(narrow).join(narrow.select("key", "doc_id", "n_chars", "copies"), "key"), "order-follow")
     own = own.select("key", "n_chars", "text")
-    if not follow.filter("copies > 1").isEmpty():
+    once = follow.filter("copies > 1").isEmpty()
+    if not once:
         own = own.dropDuplicates(["key"])
     edits = with_edits(own, follow)
     both = edits.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")).select("key", "t.which", "t.text")
@@ -115,5 +130,5 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = written(rows, "order-fingerprints")
     after = rows.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp"))
     out = rows.join(follow, "key").join(after, "next_key")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    out = out if once else repeated(written(out, "order-out"), "copies", "copy")
     return out.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("fp")).alias("fingerprint"), text_form(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

@@ -10,7 +10,9 @@ bounded by the window, not by the data. Documents find their place through their
 of one length, counted for each task and summed over tasks, so no length is ever gathered or sorted.
 
 Cases: null and empty texts hold the end id only; repeated rows and null doc_id are packed as rows of
-their own; other columns are ignored; an empty table gives no rows.
+their own; of remainders of one length the first by task and row is placed first; long texts are whole windows and one
+remainder; strings of special tokens are ordinary text (see tokens); other columns are ignored and may have any name; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ Rows that no bit tells apart (equal doc_id and text) are interchangeable: they a
 and their copies are dealt to consecutive parts within the limit. A single row above the limit is a shard
 of its own, marked oversized.
 
-Cases: a null text has OVERHEAD bytes, like an empty one; null doc_id is hashed by its text; other columns
-are ignored; an empty table gives no rows.
+Cases: a null text has OVERHEAD bytes, like an empty one; null doc_id is hashed by its text; a text above the
+limit is a shard of its own however long; repeated rows are dealt to parts, and which of them goes where makes
+no difference; other columns are ignored, and may have any name when shards are written; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quayside.llm.common import id_hash, written
+from quayside.llm.common import id_hash, repeated, written
 
 SHARD_BYTES = 16 << 20
 #: Bytes that a row costs besides its text.
@@ -30,9 +33,13 @@ BITS = 60
 SPARE = 5
 
 
+def hash_of(doc_id: Column, text: Column) -> Column:
+    return id_hash(doc_id, F.md5(F.coalesce(text, F.lit(""))))
+
+
 def weighed(docs: DataFrame) -> DataFrame:
     """doc_id, hash and bytes; equal rows as one with their number."""
-    h = id_hash("doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("h")
+    h = hash_of(F.col("doc_id"), F.col("text")).alias("h")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("bytes")
     return docs.select("doc_id", h, size).groupBy("h", "doc_id", "bytes").agg(F.count("*").alias("copies"))
 
@@ -47,6 +54,11 @@ def buckets(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """doc_id, bytes, shard (prefix in hexadecimal, its depth, and a part where rows can't be told apart), depth, shard_bytes, oversized."""
+    return _assigned(docs, limit).drop("h", "copy")
+
+
+def _assigned(docs: DataFrame, limit: int) -> DataFrame:
+    keys = ("h", "copy")
     rows = written(weighed(docs), "sharding-rows")
     total = rows.agg(F.sum(F.col("bytes") * F.col("copies"))).first()[0] or 0
     high = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + SPARE))
@@ -62,13 +74,13 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     both = placed.filter("leaf is not null").unionByName(deep)
     # rows that no bit parts: each copy goes to a part of the bucket of all bits
     per_part = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes")))
-    copy = both.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    copy = repeated(written(both, "sharding-leaves"), "copies", "copy")
     stuck = F.col("leaf").isNull()
     part = F.when(stuck, F.floor(F.col("copy") / per_part)).otherwise(0)
     own = F.least(per_part, F.col("copies") - part * per_part) * F.col("bytes")
     depth = F.coalesce("leaf.depth", F.lit(BITS))
     name: Column = F.concat_ws("-", depth.cast("string"), F.hex(F.coalesce("leaf.prefix", "h")), F.when(stuck, part.cast("string")))
-    return copy.select("doc_id", "bytes", name.alias("shard"), depth.alias("depth"), F.coalesce("leaf.shard_bytes", own).cast("long").alias("shard_bytes"), (F.coalesce("leaf.shard_bytes", own) > limit).alias("oversized"))
+    return copy.select(*keys, "doc_id", "bytes", name.alias("shard"), depth.alias("depth"), F.coalesce("leaf.shard_bytes", own).cast("long").alias("shard_bytes"), (F.coalesce("leaf.shard_bytes", own) > limit).alias("oversized"))
 
 
 def directory(assigned: DataFrame) -> DataFrame:
@@ -76,6 +88,25 @@ def directory(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("shard", "depth").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_docs"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write docs as Parquet, a folder for each shard; for tables whose doc_id is unique."""
-    docs.join(assigned.select("doc_id", "shard"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> DataFrame:
+    """Write the rows of docs as Parquet, a folder for each shard; the shards' directory.
+
+    Equal rows are numbered and each takes the place of its number, so ids may be null or repeated."""
+    places = written(_assigned(docs, limit), "sharding-places")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row).withColumn("h", hash_of(F.col("row.doc_id"), F.col("row.text")))
+    few = places.groupBy("h").agg(F.count("*").alias("n"), F.min("shard").alias("shard"))
+    alone = rows.join(few.filter("n = 1").select("h", "shard"), "h").select("shard", "row")
+    several = rows.join(few.filter("n > 1").select("h"), "h", "left_semi")
+    # numbered in each task, after the equal rows of the tasks before
+    several = written(several.withColumn("task", F.spark_partition_id()), "sharding-equal")
+    counts = several.groupBy("h", "task").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(W.partitionBy("h").orderBy("task")) - F.col("c")).select("h", "task", "before")  # a row for each task
+    own = F.row_number().over(W.partitionBy("h", "task").orderBy(F.lit(1))) - 1
+    numbered = several.withColumn("own", own).join(counts, ["h", "task"]).select("h", "row", (F.col("before") + F.col("own")).alias("copy"))
+    placed = numbered.join(places.select("h", "copy", "shard"), ["h", "copy"]).select("shard", "row")
+    out = alone.unionByName(placed)
+    names = [c for c in docs.columns]
+    folder = "shard" if "shard" not in names else "shard_"
+    out.select(F.col("shard").alias(folder), "row").repartition(folder).select(folder, "row.*").write.partitionBy(folder).parquet(path)
+    return directory(places)

@@ -1,14 +1,16 @@
 """URL filter: a trie over reversed host labels, then path segments, with the longest rule winning.
 
 Rules are (host, path, verdict). A rule fits its host and all subdomains where the url's path starts
-with the rule's path; a path's last segment may end inside a segment of the url. More host labels win,
-then the longer path; an allow entry wins over a block entry for the same place. Urls that no rule fits are allowed.
+with the rule's path; a path's last segment may end inside a segment of the url. Of the rules that fit, that of most
+characters (host and path) wins, of equally long ones that of more host labels; an allow entry wins over a block entry for
+the same place. Urls that no rule fits are allowed.
 
 The trie is sent to the workers only up to MAX_TRIE_RULES rules; larger lists are joined on host suffixes
-instead, with the same answers.
+instead, with the same answers; each suffix is dealt to SALTS tasks, since a top-level label may hold most urls.
 
 Cases: null urls and urls without "://" have an empty host and path, no rule and the default verdict;
-repeated rows are judged each; other columns are ignored.
+repeated rows are judged each; long urls are read whole; other columns are ignored and may have any name; an empty table,
+or an empty list of rules, is no special case.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 #: Rules a broadcast trie may hold, about 100 MB in a worker.
 MAX_TRIE_RULES = 200_000
 DEFAULT = "allow"
+SALTS = 16
 
 Rule = tuple[str, str, str]
 
@@ -51,8 +54,9 @@ def match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         node = node.get(label)
         if node is None:
             break
-        if "/" in node:
-            found = match_path(node["/"], segments) or found
+        best = match_path(node["/"], segments) if "/" in node else None
+        if best and (found is None or len(best[0]) >= len(found[0])):
+            found = best
     return found
 
 
@@ -103,8 +107,9 @@ def judge_by_join(cut: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     """The same without a broadcast: each distinct (host, path) meets the rules of its host suffixes."""
     n = F.size(F.split("host", "\\."))
     places = cut.select("host", "path").distinct()
-    tails = places.withColumn("k", F.explode(F.sequence(F.lit(1), n))).withColumn("rule_host", F.expr("substring_index(host, '.', -k)"))
-    fits = tails.join(rules, "rule_host").filter(F.startswith("path", "rule_path"))
-    rank = F.struct("k", F.length("rule_path").alias("n"), (F.col("rule_verdict") == "allow").alias("first"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
+    tails = places.withColumn("k", F.explode(F.sequence(F.lit(1), n))).withColumns({"rule_host": F.expr("substring_index(host, '.', -k)"), "salt": F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")})
+    dealt = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = tails.join(dealt, ["rule_host", "salt"]).filter(F.startswith("path", "rule_path"))
+    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), "k", (F.col("rule_verdict") == "allow").alias("first"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("m"))
     return cut.join(best, ["host", "path"], "left").select("page_id", "host", "path", "m.rule", F.coalesce("m.verdict", F.lit(default)).alias("verdict"))
