@@ -5,12 +5,15 @@ classifier predicts the family; within it, one-versus-one linear support vector
 closely related languages. Features are square roots of hashed counts of 1- to 3-grams of the
 lower-cased whole text, in which all but letters is a space.
 
-The model is fitted on the driver on a bounded sample: at most about MAX_ROWS rows in all and PER_LANGUAGE
-of each language, chosen by hash of doc_id, as profiles of DIMS numbers that executors make.
-
-Cases: null texts and texts without letters are "und" with score 0; languages beyond MAX_LANGUAGES (by
-rows) are not learned; without labelled rows every text is "und"; repeated rows are predicted each; only
-text enters a prediction; other columns are ignored; an empty table gives no rows.
+The model is fitted in one executor task on a bounded sample of distinct rows: at most PER_LANGUAGE of each
+language, and about MAX_ROWS in all while that leaves each language LEAST_ROWS. All languages are learned; a
+family holds at most FAMILY of them, so the model grows by about 100 KB a language. The driver gets weights alone.
+
+Cases: null texts and texts without letters are "und" with score 0; without labelled rows every text is
+"und"; of repeated rows one is learned from and each is predicted; rows that share an id or have none are
+sampled by their texts; of equal votes the larger share wins, of equal shares the language first by name; long
+texts are read whole, in memory of some 20 bytes a character; only text enters a prediction; other columns are
+ignored and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm import worker
-from quayside.llm.common import id_hash, remainder_of
+from quayside.llm.common import SHARES, fitted_in_task, packed_rows, remainder_of, share_hash, texts_of
 
 DIMS = 4096
 PER_LANGUAGE = 800
 MAX_ROWS = 6000
-MAX_LANGUAGES = 200
+LEAST_ROWS = 20
+#: Most languages of a family.
+FAMILY = 10
 STEPS = 100
 NONE = "und"
 
@@ -83,17 +89,26 @@ def fit_linear(x, y, steps: int = STEPS, c: float = 10.0):
     return w.astype(np.float32), float(b)
 
 
-def families(names: list[str], means) -> list[list[int]]:
-    """Average linkage of languages' mean profiles until about as many families as the square root of languages are left."""
+def families(means, most: int = FAMILY) -> list[list[int]]:
+    """Average linkage of languages' mean profiles until about as many families as the square root of languages are
+    left, or all pairs would make a family of over `most`."""
     import numpy as np
 
-    groups = [[k] for k in range(len(names))]
-    like = means @ means.T
-    while len(groups) > max(1, math.ceil(math.sqrt(len(names)))):
-        _, i, j = max((float(np.mean(like[np.ix_(a, b)])), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        groups[-i] += groups[-j]
-        del groups[-j]
-    return groups
+    n = len(means)
+    groups: list[list[int]] = [[k] for k in range(n)]
+    like = (means @ means.T).astype(np.float64)
+    size = np.ones(n)
+    left = n
+    while left > max(1, math.ceil(math.sqrt(n))):
+        open_ = np.triu((size[:, None] + size[None, :] <= most) & (size[:, None] > 0) & (size[None, :] > 0), 1)
+        if not open_.any():
+            break
+        i, j = divmod(int(np.where(open_, like, -np.inf).argmax()), n)
+        like[i] = like[:, i] = (size[i] * like[i] + size[j] * like[j]) / (size[i] + size[j])
+        groups[i] += groups[j]
+        size[i], size[j], groups[j] = size[i] + size[j], 0, []
+        left -= 1
+    return [sorted(g) for g in groups if g]
 
 
 @dataclass
@@ -142,7 +157,7 @@ def train(names: list[str], labels, x) -> Model:
 
     means = np.stack([x[labels == k].mean(0) for k in range(len(names))])
     means /= np.linalg.norm(means, axis=1, keepdims=True)
-    groups = families(names, means)
+    groups = families(means)
     family_of = np.zeros(len(names), np.int64)
     for f, g in enumerate(groups):
         family_of[g] = f
@@ -163,35 +178,49 @@ def train(names: list[str], labels, x) -> Model:
     return Model(names, groups, *stack(fitted), pairs, *stack(machines))
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """lang, text and h (a hash of the row) of about as many distinct rows of each language as learn takes."""
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", share_hash("doc_id", "text", F.lit("langid")).alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n"))
+    each = F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(PER_LANGUAGE), F.floor(F.lit(MAX_ROWS) / F.count("*").over(W.partitionBy()))))  # a row for each language
+    # a fifth more than wanted, which the task cuts to the number wanted
+    shares = counts.select(F.col("lang").alias("l"), each.cast("int").alias("each"), (F.least(F.lit(1.0), 1.2 * each / F.col("n")) * SHARES).alias("share"))
+    return rows.join(F.broadcast(shares), F.col("lang") == F.col("l")).filter("h < share").select("lang", "text", "h", "each").dropDuplicates(["lang", "h"])
+
+
 def learn(labelled: DataFrame) -> Model | None:
     """Fit on rows (doc_id, text, lang); lang is the label."""
-    import numpy as np
-
-    counts = {r["lang"]: r["n"] for r in labelled.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return None
-    each = min(PER_LANGUAGE, MAX_ROWS // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    chosen = labelled.filter(F.col("lang").isin(list(counts)) & F.col("text").isNotNull() & (id_hash("doc_id", F.lit("langid")) < share[F.col("lang")] * (1 << 60)))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(lang, p.astype("<f2").tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (p := profile(text)) is not None]
+            rows = [(lang, p.astype("<f2").tobytes(), h, each) for lang, text, h, each in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if (p := profile(text)) is not None]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "p"])
+                langs, profiles, hashes, wanted = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(profiles, pa.binary()), pa.array(hashes), pa.array(wanted, pa.int32())], names=["lang", "p", "h", "each"])
 
-    got = chosen.select("lang", "text").mapInArrow(run, "lang string, p binary").orderBy("lang", "p").toArrow()
-    if not got.num_rows:
-        return None
-    langs = got.column("lang").to_pylist()
-    x = np.stack([np.frombuffer(p.as_py(), "<f2") for p in got.column("p")]).astype(np.float32)
-    names = sorted(set(langs))
-    return train(names, np.array([names.index(k) for k in langs]), x)
+    def fit(table) -> Model:
+        import numpy as np
+
+        langs, each = table.column("lang").to_pylist(), table.column("each").to_pylist()
+        taken: dict[str, int] = {}
+        keep = []
+        for k, lang in enumerate(langs):  # in the order of h
+            taken[lang] = taken.get(lang, 0) + 1
+            if taken[lang] <= each[k]:
+                keep.append(k)
+        x = np.empty((len(keep), DIMS), np.float32)
+        profiles = table.column("p").combine_chunks()
+        for at, k in enumerate(keep):
+            x[at] = np.frombuffer(profiles[k].as_py(), "<f2")
+        names = sorted(taken)
+        place = {n: k for k, n in enumerate(names)}
+        return train(names, np.array([place[langs[k]] for k in keep]), x)
+
+    return fitted_in_task(sample(labelled).mapInArrow(run, "lang string, p binary, h long, each int"), ["lang", "h", "p"], fit)
 
 
-PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -200,10 +229,10 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def score_with(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """keep, lang_pred and score of docs; keep are columns to carry."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES and DIMS
-    rows = docs.select(*keep, F.col("text").alias("text__"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    """row (a struct of the columns to keep), lang_pred and lang_score of docs."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the languages and DIMS
+    rows = packed_rows(docs, keep)
+    schema = T.StructType([rows.schema.fields[0], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(batches):
         import numpy as np
@@ -212,7 +241,7 @@ def score_with(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+                texts = texts_of(batch)
                 names, scores = [NONE] * len(texts), np.zeros(len(texts))
                 profiles = [profile(t) for t in texts] if held.value else []
                 some = [i for i, p in enumerate(profiles) if p is not None]
@@ -221,7 +250,7 @@ def score_with(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
                     scores[some] = s
                     for i, g in zip(some, got, strict=True):
                         names[i] = g
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -229,4 +258,5 @@ def score_with(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     out = score_with(docs, learn(train_rows(docs)), ["doc_id"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    doc_id = F.col("row.doc_id")
+    return out.select(doc_id.cast("long").alias("doc_id"), (remainder_of(doc_id, FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
