@@ -4,12 +4,14 @@ Words are cut at white space. Features are hashed word 1- and 2-grams, 1- to 3-g
 capitals, small letters and digits as one sign each, other signs as they are), and for each of these
 orders the share of n-grams that repeat in the text. A text's score is a sparse dot product.
 
-The model is fitted on the driver on a bounded sample of TRAIN_ROWS labelled rows, chosen by hash of
-doc_id, whose features executors make: at most DIMS numbers a row. Scoring reads whole texts.
+The model is fitted in one executor task on a bounded sample of at most TRAIN_ROWS distinct labelled rows,
+chosen by hash, as their features: at most DIMS numbers a row. The driver gets weights alone. Scoring reads whole
+texts, whatever their length.
 
 Cases: null and empty texts have the bias alone and its score; rows without a label are scored; a doc_id
-with several labels counts with its greatest; without labels every score is 0.5; repeated rows are scored
-each; other columns are ignored; an empty table gives no rows.
+with several labels counts with its greatest; rows that share a doc_id are sampled by their texts, and of
+repeated rows one is learned from; without labels every score is 0.5; repeated rows are scored each; a score of
+0.5 counts as good; other columns are ignored and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm import worker
-from quayside.llm.common import id_hash, remainder_of
+from quayside.llm.common import SHARES, fitted_in_task, packed_rows, remainder_of, share_hash, texts_of
 
 BITS = 16
 DIMS = 1 << BITS
 TRAIN_ROWS = 5000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
-CACHE_WORDS = 150_000
+#: Most words kept by a worker, and their greatest length: under 100 MB whatever the texts are.
+CACHE_WORDS, LONG_WORD = 150_000, 64
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -43,7 +46,9 @@ class Words(dict):
         shape = re.sub(r"\d+", "0", word)
         shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", shape)
         shape = re.sub(r"([^\w\s])\1+", r"\1", shape)
-        got = self[word] = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(shape[:12].encode("utf-8", "surrogatepass"), 1))
+        got = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass"), 1))
+        if len(word) <= LONG_WORD:
+            self[word] = got
         return got
 
 
@@ -109,40 +114,51 @@ def fit(rows: list, epochs: int = EPOCHS) -> Model:
     return Model(weights_at(z, n).astype(np.float32), -zb / ((BETA + np.sqrt(nb)) / ALPHA))
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, y and h (a hash of the row) of about TRAIN_ROWS distinct rows with a label that isn't held out."""
+    own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder_of("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    own = own.select(F.col("doc_id").alias("l"), "y", share_hash("doc_id", F.lit("quality")).alias("s"))
+    share = min(1.0, 1.2 * TRAIN_ROWS / max(1, own.count()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(own.filter(F.col("s") < share * SHARES)), F.col("doc_id") == F.col("l"))  # the sample is bounded by TRAIN_ROWS
+    # a doc_id may stand in many rows
+    again = min(1.0, 1.2 * TRAIN_ROWS / max(1, rows.count()))
+    rows = rows.select("text", "y", share_hash("doc_id", "text", F.lit("quality rows")).alias("h"))
+    return rows.filter(F.col("h") < again * SHARES).dropDuplicates(["h"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on docs whose label is known and whose doc_id is not held out."""
-    import numpy as np
-
-    own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder_of("doc_id", FOLDS) != HELD_OUT))
-    share = min(1.0, TRAIN_ROWS / max(1, own.count()))
-    sample = own.filter(id_hash("doc_id", F.lit("quality")) < share * (1 << 60)).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded by TRAIN_ROWS
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [(d, y, *features(t)) for d, t, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2].astype("<u2").tobytes() for r in out], pa.binary()), pa.array([r[3].astype("<f2").tobytes() for r in out], pa.binary())], names=["doc_id", "y", "i", "v"])
+            out = [(h, y, *features(t)) for t, y, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2].astype("<u2").tobytes() for r in out], pa.binary()), pa.array([r[3].astype("<f2").tobytes() for r in out], pa.binary())], names=["h", "y", "i", "v"])
+
+    def learned(table) -> Model:
+        import numpy as np
+
+        cols = [table.column(c).slice(0, TRAIN_ROWS).to_pylist() for c in ("i", "v", "y")]
+        return fit([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f2").astype(np.float32), y) for i, v, y in zip(*cols, strict=True)])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, i binary, v binary").orderBy("doc_id").toArrow()
-    cols = [got.column(c).to_pylist() for c in ("i", "v", "y")]
-    return fit([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f2").astype(np.float32), y) for i, v, y in zip(*cols, strict=True)])
+    found = fitted_in_task(sample(docs, labels).mapInArrow(run, "h long, y int, i binary, v binary"), ["h", "i", "v"], learned)
+    return found or fit([])
 
 
 def score_with(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep and quality_score of docs; keep are columns to carry."""
+    """row (a struct of the columns to keep) and quality_score of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers
-    rows = docs.select(*keep, F.col("text").alias("text__"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())])
+    rows = packed_rows(docs, keep)
+    schema = T.StructType([rows.schema.fields[0], T.StructField("quality_score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         model = held.value
         for batch in batches:
-            scores = [model.score(*features(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=schema.names)
+            scores = [model.score(*features(t)) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -150,4 +166,5 @@ def score_with(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     out = score_with(docs, learn(docs, labels), ["doc_id"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    doc_id = F.col("row.doc_id")
+    return out.select(doc_id.cast("long").alias("doc_id"), (remainder_of(doc_id, FOLDS) == HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"))
