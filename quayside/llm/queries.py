@@ -89,10 +89,10 @@ edges AS (
   SELECT s.source, min(h + CASE WHEN n - (target - repeats * source_size - below) < target - repeats * source_size - below THEN 1 ELSE 0 END) AS threshold
   FROM sums s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
   WHERE below <= target - repeats * source_size AND below + n > target - repeats * source_size GROUP BY s.source)
-SELECT doc_id, d.source, size, source_size, target, (repeats + CASE WHEN h < coalesce(threshold, 0) THEN 1 ELSE 0 END)::INT AS copies,
-  (repeats + CASE WHEN h < coalesce(threshold, 0) THEN 1 ELSE 0 END) * size AS taken
+SELECT doc_id, d.source, size, source_size, target, least(3, repeats + CASE WHEN h < coalesce(threshold, 0) THEN 1 ELSE 0 END)::INT AS copies,
+  least(3, repeats + CASE WHEN h < coalesce(threshold, 0) THEN 1 ELSE 0 END) * size AS taken
 FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
-""".replace("HASH", _HASH.format("coalesce(doc_id::VARCHAR, '-')")),
+""".replace("HASH", _HASH.format("coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))")),
     "op7_extendible_shards": """
 WITH docs AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS bytes, HASH AS h FROM documents),
 every AS (SELECT doc_id, h, bytes, d, h >> (60 - d) AS prefix FROM docs, range(0, 61) AS r(d)),

@@ -30,7 +30,7 @@ def encoded(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # as the tokenizer files' description says
     return [struct.pack(f"<{len(e.ids) + 1}I", *e.ids, 1) for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -129,15 +129,15 @@ def test_shards(spark, docs, odd):
     assert sharding.assign(odd).count() == 8 and sharding.assign(odd.limit(0)).count() == 0
 
 
-def brute_components(rows):
+def brute_components(rows, width=3, percent=90):
     def shingles(t):
         w = (t or "").encode().lower().split()
-        return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
     sets = [(i, shingles(t)) for i, t in rows]
     comp = {i: i for i, _ in sets}
     changed = True
-    links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and 100 * len(a & b) >= 90 * len(a | b)]
+    links = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and 100 * len(a & b) >= percent * len(a | b)]
     while changed:
         changed = False
         for i, j in links:
@@ -162,16 +162,41 @@ def test_jaccard(spark, odd):
     assert jaccard.link(odd).count() == 8 and jaccard.link(odd.limit(0)).count() == 0
 
 
-def test_deletion_segments_find_every_link():
+def test_segments_find_every_link():
     import numpy as np
 
     r = np.random.default_rng(1)
-    for k1, k2 in ((4, 0), (2, 1), (0, 2)):
-        for _ in range(200):
-            a = np.unique(r.integers(0, 1 << 60, 30).astype(np.uint64))
-            b = np.unique(np.concatenate([a[r.integers(0, 3) :], r.integers(0, 1 << 60, 1).astype(np.uint64)]))
-            if len(np.setxor1d(a, b)) <= k1 + 2 * k2 - 1:
-                assert len(np.intersect1d(jaccard.signatures(a, 1, k1, k2), jaccard.signatures(b, 1, k1, k2)))
+    for k1, k2, spare in ((4, 0, 0), (2, 1, 0), (0, 2, 0), (9, 0, 4), (30, 0, 3), (3, 4, 2), (0, 12, 5)):
+        for _ in range(300):
+            a = np.unique(r.integers(0, 1 << 60, r.integers(1, 40)).astype(np.uint64))
+            b = np.unique(np.concatenate([a[r.integers(0, 3) :], r.integers(0, 1 << 60, r.integers(0, 3)).astype(np.uint64)]))
+            if len(b) and len(np.setxor1d(a, b)) <= k1 + 2 * k2 - 1 - spare:
+                assert len(np.intersect1d(jaccard.signatures(a, 1, k1, k2, spare), jaccard.signatures(b, 1, k1, k2, spare)))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_differences_bound_every_link_of_an_instance(percent):
+    bands = jaccard.band_limits(400)
+    for a in range(1, 301):
+        for b in range(a, 100 * a // percent + 1):
+            # the least common part that links
+            common = next(i for i in range(a + 1) if 100 * i >= percent * (a + b - i))
+            shared = set(jaccard.instances(a, bands, percent)) & set(jaccard.instances(b, bands, percent))
+            assert shared and all(a + b - 2 * common <= jaccard.differences(bands[j][1], percent) for j in shared if bands[j][0] <= a <= bands[j][1])
+            assert any(bands[j][0] <= a <= bands[j][1] for j in shared)
+
+
+@pytest.mark.parametrize("width,percent", [(5, 80), (3, 90)])
+def test_jaccard_on_random_near_copies(spark, width, percent):
+    r = random.Random(percent)
+    rows = []
+    for k in range(60):
+        words = [f"w{k % 12}-{i}" for i in range(3 + 7 * (k % 12))]
+        for _ in range(r.randrange(4)):
+            words[r.randrange(len(words))] = f"x{r.randrange(40)}"
+        rows.append((k, " ".join(words[r.randrange(3) :] + ["end"] * r.randrange(3))))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert {tuple(x) for x in got} == brute_components(rows, width, percent)
 
 
 def test_order_minhash(spark, docs, odd):
@@ -219,7 +244,7 @@ def test_pipeline_takes_near_copies_by_five_words_and_80_percent(spark):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_jaccard_links_across_band_limits(spark, percent):
-    limits = [high for _, high in jaccard.band_limits(10_000, percent) if high > 200][::2]
+    limits = [high for _, high in jaccard.band_limits(10_000) if high > 200][::2]
     rows, pairs = [], []
     for k, high in enumerate(limits):
         words = [f"w{k}-{i}" for i in range(high + 3)]
