@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quayside.sources import sinks
+from quayside.sources import scratch, sinks
 
 CALLS = "day string, trip_id long, idx int, station string, arr int, dep int"
 
@@ -45,3 +45,16 @@ def test_histograms_of_zeros_are_left_out(spark):
 def test_small_table(spark, tmp_path):
     sinks.write_small(spark.range(3), f"file://{tmp_path}/s")
     assert len(glob.glob(f"{tmp_path}/s/plain/*.json")) == len(glob.glob(f"{tmp_path}/s/gzip/*.json.gz")) == 1
+
+
+def test_intermediate_tables_are_released(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        held = scratch._written.pop(spark.sparkContext.applicationId, [])
+        assert scratch.written(spark.range(3), "t").count() == 3 and glob.glob(f"{tmp_path}/quayside-t/*")
+        scratch.release(spark)
+        assert not glob.glob(f"{tmp_path}/quayside-t/*")
+        scratch._written[spark.sparkContext.applicationId] = held
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
