@@ -3,20 +3,24 @@
 Sets of shingles are put in size bands such that linked sets lie in one band or in neighbouring ones. For
 a band the largest symmetric difference H of a link is known, so the universe of shingles is cut by hash
 into segments: if k1 segments are compared as they are and k2 by their one-deletion neighbourhoods, with
-k1 + 2 * k2 = H + 1, every link agrees in some segment (a segment that differs costs one difference, one
-whose neighbourhoods are disjoint costs two). k2 is chosen for each band by cost: rows of the index
-against the candidates that chance agreement would give among the band's sets.
+k1 + 2 * k2 = H + 1 + spare, the segments in which a link agrees weigh over `spare` (a segment that differs costs one
+difference, one whose neighbourhoods are disjoint costs two). Segments without tokens agree by chance, so a set
+whose empty segments weigh at most `spare` leaves them out of the index: some other one must agree. Only sets with
+more of them index these too. spare and k2 are chosen for each band by cost: rows of the index against the
+candidates that chance agreement of empty segments would give among the band's sets.
 
 Sets in one index entry are compared with the entry's leader, all links found so far are closed to
 components, and entries that still hold several components are compared again with another leader. What is
 then still open is compared in blocks of bounded size, each set outside its group's main component with all
-sets of the group, and only links leave a block. Pairs inside a component can't change the result, so they
+sets of the group. Before whole sets are fetched for a pair, its sketches are compared: they hold how many shingles fall
+in each of SKETCH cells, and sets that differ by more than a link allows in these counts can't link. Pairs inside a component can't change the result, so they
 are left out, and no link is lost. Equal sets are one set throughout. Links are decided exactly on the 64-bit hashes
-of whole sets.
+of whole sets. A leader that many sets meet is dealt out with them by hash, so no leader's sets stand in one task.
 
 Cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words
 than WIDTH are one shingle; equal rows are copies of each other; a document without doc_id takes part and
-its component is null if nothing else is in it; other columns are ignored; an empty table gives no rows.
+its component is null if nothing else is in it; long texts are read whole, in memory of some 100 bytes a word; other
+columns are ignored and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,24 +28,30 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm import worker
-from quayside.llm.common import sent_if_small, written
+from quayside.llm.common import delete, scratch, sent_if_small, tidy, written
 
 WIDTH = 3
 PERCENT = 90
-#: Share of its shingles that a document has in common with an unrelated one, for the cost model.
-COMMON = 0.05
+#: Greatest over least size of a band. A set stands in its own band's instance and, near its lower end, in that below; at 1.5 both together take about the least rows.
+BAND = 1.5
 #: Rows of the index that verifying one candidate is worth.
 VERIFY = 50
+#: Sets that meet one leader in one task.
+SPLIT = 500
 LEADER_ROUNDS = 2
 #: Groups of at most so many sets are compared pair by pair, larger ones in blocks.
 SMALL_GROUP = 12
-#: Shingles that a block of sets holds about, and its least and most sets.
-BLOCK = (800_000, 32, 2048)
-CACHE_WORDS = 200_000
+#: Sets of a block.
+BLOCK = 1024
+#: Bits of a set's cell; counts above 127 are held as 127, which can only hide differences.
+SKETCH_BITS = 9
+#: Most words kept by a worker, and their greatest length: under 100 MB whatever the texts are.
+CACHE_WORDS, LONG_WORD = 200_000, 64
 #: Up to so many sets that need verifying, their ids are broadcast to find their texts; beyond, texts are joined by shuffle.
 SENT_IDS = 4_000_000
 
@@ -52,7 +62,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 
@@ -81,56 +93,96 @@ def shingles(text: str | None, width: int = WIDTH):
     return np.unique(mix(out))
 
 
-def band_limits(most: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+def band_limits(most: int) -> list[tuple[int, int]]:
     """Least and greatest size of each band, up to the one that holds `most`."""
     bands, low = [], 1
     while low <= most:
-        high = low * 100 // percent
+        high = int(low * BAND)
         bands.append((low, high))
         low = high + 1
     return bands
 
 
-def differences(high: int, percent: int = PERCENT) -> int:
-    """Largest symmetric difference of a set of at most `high` shingles and a linked set that is not smaller by more than its band."""
+def differences(high: int, percent: int) -> int:
+    """Largest symmetric difference of a set of at most `high` shingles and a linked set that is not smaller.
+
+    For sizes a <= b, 100 * common >= percent * union gives a difference of at most (a + b) * (100 - percent) / (100 +
+    percent), and b is at most 100 * a / percent."""
     return high * (100 - percent) // percent
 
 
-def allocation(high: int, sets: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(k1, k2): segments compared as they are, and by one-deletion neighbourhoods."""
+def instances(size: int, bands: list[tuple[int, int]], percent: int) -> list[int]:
+    """Numbers of the instances in which a set of that size stands: its own band's, and the one below if a set of that may link."""
+    import bisect
+
+    j = bisect.bisect_right([b[0] for b in bands], size) - 1
+    return [j - 1, j] if j and percent * size <= 100 * bands[j - 1][1] else [j]
+
+
+def allocation(low: int, high: int, sets: int, percent: int) -> tuple[int, int, int]:
+    """(k1, k2, spare): segments compared as they are, those by one-deletion neighbourhoods, and what empty segments may weigh."""
     need = differences(high, percent) + 1
-    best = (math.inf, (need, 0))
-    for k2 in range(need // 2 + 1):
-        k1 = need - 2 * k2
-        m = k1 + k2
-        differing = 2 * high / m * (1 - COMMON)
-        rows = sets * (m + k2 * high / m)
-        chance = sets * sets / 2 * math.exp(-differing) * (k1 + k2 * (1 + differing))
-        best = min(best, (rows + VERIFY * chance, (k1, k2)))
+    best = (math.inf, (need, 0, 0))
+    for k2 in sorted({*range(min(need // 2, 16) + 1), need // 4, need // 2}):
+        for spare in sorted({*range(9), *(need * x // 40 for x in range(21))}):
+            k1 = need + spare - 2 * k2
+            if k1 < 0:
+                continue
+            m = k1 + k2
+            full, least = high / m, low / m
+            # weights of empty segments of the least sets, as if normal
+            empty, lone = math.exp(-least), math.exp(-least) * (1 + least)
+            mean = k1 * empty + 2 * k2 * lone
+            spread = math.sqrt(k1 * empty * (1 - empty) + 4 * k2 * lone * (1 - lone))
+            over = 0.5 * math.erfc((spare + 0.5 - mean) / max(spread, 1e-9) / math.sqrt(2))
+            rows = sets * (m + k2 * full)
+            chance = (over * sets) ** 2 / 2 * (k1 * empty**2 + k2 * lone**2)
+            best = min(best, (rows + VERIFY * chance, (k1, k2, spare)))
     return best[1]
 
 
-def signatures(tokens, instance: int, k1: int, k2: int):
-    """Index entries of a set in one instance: its segments' subsets, and of the last k2 segments also each subset less one token."""
+def signatures(tokens, instance: int, k1: int, k2: int, spare: int):
+    """Index entries of a set in one instance: its segments' subsets, and of the last k2 segments also each subset less one
+    token. Those of no token are left out unless they weigh over `spare`."""
     import numpy as np
 
     m = k1 + k2
     seg = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(m)).astype(np.int64)
     value = mix(tokens + np.uint64(0x2545F4914F6CDD1D))
     order = np.argsort(seg, kind="stable")
-    sums = np.zeros(m, np.uint64)
-    np.add.at(sums, seg, value)
-    salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(instance << 32))
+    seg, value = seg[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    held, sums = seg[first], np.add.reduceat(value, first)
+    salt = mix(held.astype(np.uint64) + np.uint64(instance << 32))
     out = [mix(sums ^ salt)]
+    weight = k1 - int((held < k1).sum())  # of empty segments
     if k2:
-        late = order[seg[order] >= k1]
-        out.append(mix((sums[seg[late]] - value[late]) ^ salt[seg[late]]))
+        size = np.diff(np.concatenate([first, [len(seg)]]))
+        weight += 2 * (k2 - int((size[held >= k1] > 1).sum()))
+        of = np.repeat(np.arange(len(held)), size)
+        late = (seg >= k1) & (size[of] > 1)
+        out.append(mix((sums[of[late]] - value[late]) ^ salt[of[late]]))
+    if weight > spare:
+        bare = np.ones(m, bool)
+        bare[held[held < k1]] = False
+        if k2:
+            bare[held[(held >= k1) & (size > 1)]] = False
+        out.append(mix(mix(np.flatnonzero(bare).astype(np.uint64) + np.uint64(instance << 32))))
     return np.unique(np.concatenate(out))
 
 
 NARROW = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "did", "n", "k1", "k2")])
 ENTRIES = T.StructType([T.StructField("sig", T.LongType()), T.StructField("k1", T.LongType())])
-TOKENS = T.StructType([T.StructField("did", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("toks", T.ArrayType(T.LongType()))])
+MARKS = T.StructType([T.StructField("did", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.ByteType()))])
+TOKENS = T.StructType([*MARKS.fields[:3], T.StructField("toks", T.ArrayType(T.LongType()))])
+
+
+def sketch(toks):
+    """Number of a set's shingles in each cell."""
+    import numpy as np
+
+    cell = (mix(toks ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=1 << SKETCH_BITS), 127).astype(np.int8)
 
 
 def set_keys(toks) -> tuple[int, int]:
@@ -145,13 +197,12 @@ def set_keys(toks) -> tuple[int, int]:
 
 def _over(docs: DataFrame, one, schema: T.StructType) -> DataFrame:
     """Rows of one(doc_id, did, text), for all documents."""
-    kinds = {"bigint": "int64", "array<bigint>": None}
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        types = [pa.int64() if kinds[f.dataType.simpleString()] else pa.list_(pa.int64()) for f in schema]
+        kinds = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<tinyint>": pa.list_(pa.int8())}
+        types = [kinds[f.dataType.simpleString()] for f in schema]
         np.seterr(over="ignore")
         for batch in batches:
             held = [[] for _ in types]
@@ -190,20 +241,16 @@ def narrow_sets(docs: DataFrame, width: int) -> DataFrame:
     return _over(docs, one, NARROW)
 
 
-def index_entries(docs: DataFrame, bands, plan: dict[int, tuple[int, int]], width: int) -> DataFrame:
-    """(sig, k1) of every document in its own band's instance and in the one below."""
-    lows = [b[0] for b in bands]
+def index_entries(docs: DataFrame, bands, plan: dict[int, tuple[int, int, int]], width: int, percent: int) -> DataFrame:
+    """(sig, k1) of every document in all instances in which its set stands."""
 
     def one(doc_id, did, text):
-        import bisect
-
         import numpy as np
 
         toks = shingles(text, width)
         if not len(toks):
             return None
-        band = bisect.bisect_right(lows, len(toks)) - 1
-        parts = [signatures(toks, j, *plan[j]) for j in (band - 1, band) if j in plan]
+        parts = [signatures(toks, j, *plan[j]) for j in instances(len(toks), bands, percent) if j in plan]
         return (set_keys(toks)[0], np.concatenate(parts).view(np.int64)) if parts else None
 
     return _over(docs, one, ENTRIES)
@@ -224,22 +271,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("rep"), F.col("l").alias("comp"))
 
 
-def verified(pairs: DataFrame, toks: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link."""
-    right = pairs.join(toks.select(F.col("rep").alias("b"), F.col("toks").alias("tb")), "b")
-    both = right.join(toks.select(F.col("rep").alias("a"), F.col("toks").alias("ta")), "a")
-    total = F.size("ta") + F.size("tb")
-    near = both.filter((100 * F.least(F.size("ta"), F.size("tb")) >= percent * F.greatest(F.size("ta"), F.size("tb"))))
-    common = near.select("a", "b", total.alias("total"), F.size(F.array_intersect("ta", "tb")).alias("i"))
+def sets_of(docs: DataFrame, reps: DataFrame, schema: T.StructType, width: int, unique: bool) -> DataFrame:
+    """rep and what schema says of the sets of reps (rep, k1), from their texts; unique: whether no id has several rows."""
+    held = sent_if_small(reps.select(F.col("rep").alias("did"), "k1"), SENT_IDS)
+    wanted = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(held.select("did"), "did", "left_semi")
+    part = sketch if schema is MARKS else lambda toks: toks.view("int64")
+
+    def one(doc_id, did, text):
+        toks = shingles(text, width)
+        return did, set_keys(toks)[0], len(toks), part(toks)
+
+    # a doc_id with several texts may stand for several sets, and a set's text may be there repeatedly
+    found = _over(wanted.select("doc_id", "text"), one, schema).join(held, ["did", "k1"]).withColumnRenamed("did", "rep")
+    return written(found if unique else found.dropDuplicates(["rep", "k1"]), "jaccard-sets")
+
+
+def met(pairs: DataFrame, large: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
+    """pairs (a, b) with the columns of both sets, as col_a and col_b. Sets a that stand in many pairs (large) are repeated, and their pairs dealt among the copies by hash of b."""
+    side = lambda x: sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    dealt = pairs.join(large, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    left = side("a").join(large, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(side("b"), "b").join(left, ["a", "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, marks: DataFrame, tokens, percent: int) -> DataFrame:
+    """Those pairs (a, b) that link; tokens(reps) gives whole sets, which only pairs whose sketches are near need."""
+    pairs = written(pairs, "jaccard-pairs")
+    large = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).filter("parts > 1")
+    large = sent_if_small(written(large, "jaccard-large"), SENT_IDS)  # a row for SPLIT pairs at most
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    near = met(pairs, large, marks, "n", "sketch").filter(sizes & ((100 + percent) * apart <= (100 - percent) * total)).select("a", "b")
+    near = written(near, "jaccard-near")
+    both = met(near, large, tokens(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()), "n", "toks")
+    common = both.select("a", "b", total.alias("total"), F.size(F.array_intersect("toks_a", "toks_b")).alias("i"))
     return common.filter(100 * F.col("i") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
 
 
-def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFrame:
+def links_in_blocks(groups: DataFrame, marks: DataFrame, tokens, percent: int) -> DataFrame:
     """Links (a, b) between components of each group; groups (a, rep, comp) are named by their leader a.
 
     Sets of the group's main component and the others are dealt to blocks by hash; each block of others
-    meets every block, in tasks that hold two blocks."""
-    groups = written(groups.join(toks.select("rep", F.size("toks").alias("n")).dropDuplicates(["rep"]), "rep"), "jaccard-groups")
+    meets every block, in tasks that hold two blocks of sketches."""
+    groups = written(groups.join(marks.select("rep", "n"), "rep"), "jaccard-groups")
     main = groups.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     main = main.join(groups.groupBy("a").agg(F.count("*").alias("g")), "a")
     rows = groups.join(main, "a").withColumn("other", F.col("comp") != F.col("main"))
@@ -248,17 +323,14 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
     near = (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (F.col("l.comp") != F.col("r.comp"))
     pairs = left.join(right, "a").filter(near).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
     rows = rows.filter(F.col("g") > SMALL_GROUP)
-    total, least, most = BLOCK
-    per = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.lit(total) / F.max("n"))))
-    blocks = rows.groupBy("a").agg(F.ceil(F.count_if("other") / per).alias("n_other"), F.ceil(F.count_if(~F.col("other")) / per).alias("n_main"))
+    blocks = rows.groupBy("a").agg(F.ceil(F.count_if("other") / BLOCK).alias("n_other"), F.ceil(F.count_if(~F.col("other")) / BLOCK).alias("n_main"))
     rows = rows.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))))
     # blocks 0 to n_other - 1 are the others', the main component's follow
     place = F.when(F.col("other"), F.col("block")).otherwise(F.col("n_other") + F.col("block"))
     partners = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("n_other") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1))
     rows = rows.withColumn("place", place).withColumn("partner", F.explode(partners))
-    dealt = rows.select("a", F.least("place", "partner").alias("x"), F.greatest("place", "partner").alias("y"), "place", "rep", "comp")
-    # blocks get half of each hash, which can only add candidates; these are verified on whole hashes
-    dealt = dealt.join(toks.select("rep", F.transform("toks", lambda x: F.shiftright(x, 32).cast("int")).alias("toks")), "rep")
+    dealt = rows.select("a", F.least("place", "partner").alias("x"), F.greatest("place", "partner").alias("y"), "place", "rep", "comp", "n")
+    dealt = dealt.join(marks.select("rep", "sketch"), "rep")
 
     def compare(frame):
         import pandas as pd
@@ -269,100 +341,82 @@ def links_in_blocks(groups: DataFrame, toks: DataFrame, percent: int) -> DataFra
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
     large = dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long")
-    return verified(large.union(pairs).distinct(), toks, percent)
+    return verified(large.union(pairs).distinct(), marks, tokens, percent)
 
 
 def block_links(left, right, percent: int) -> list[tuple[int, int]]:
-    """Pairs of two frames (rep, comp, toks) that may link and whose components differ; counts common tokens by products
-    of 0/1 matrices. Tokens that fall together in a set could have matched apart, so they count as common."""
+    """Pairs of two frames (rep, comp, n, sketch) that may link by their sketches and whose components differ."""
     import numpy as np
 
     if not len(left) or not len(right):
         return []
-
-    def flat(frame):
-        sizes = np.array([len(t) for t in frame["toks"]])
-        tokens = np.concatenate([np.asarray(t, np.int64) for t in frame["toks"]])
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        both = np.unique((rows << 32) + (tokens & 0xFFFFFFFF))
-        rows = both >> 32
-        return sizes, both & 0xFFFFFFFF, rows, sizes - np.bincount(rows, minlength=len(sizes))
-
-    n1, t1, r1, d1 = flat(left)
-    n2, t2, r2, d2 = flat(right)
-    shared = np.intersect1d(t1, t2)
-    common = np.zeros((len(n1), len(n2)), np.float32)
-    p1, p2 = np.searchsorted(shared, t1), np.searchsorted(shared, t2)
-    ok1, ok2 = shared[np.minimum(p1, len(shared) - 1)] == t1 if len(shared) else t1 != t1, shared[np.minimum(p2, len(shared) - 1)] == t2 if len(shared) else t2 != t2
-    order1, order2 = np.argsort(p1[ok1], kind="stable"), np.argsort(p2[ok2], kind="stable")
-    c1, q1, c2, q2 = p1[ok1][order1], r1[ok1][order1], p2[ok2][order2], r2[ok2][order2]
-    for k in range(0, len(shared), 2048):
-        a, b = np.zeros((len(n1), 2048), np.float32), np.zeros((len(n2), 2048), np.float32)
-        i, j = np.searchsorted(c1, [k, k + 2048]), np.searchsorted(c2, [k, k + 2048])
-        a[q1[i[0] : i[1]], c1[i[0] : i[1]] - k] = 1
-        b[q2[j[0] : j[1]], c2[j[0] : j[1]] - k] = 1
-        common += a @ b.T
-    comp1, comp2 = left["comp"].to_numpy(), right["comp"].to_numpy()
+    theirs = np.stack([np.asarray(x, np.int16) for x in right["sketch"]])
+    reps, comps, sizes = (right[c].to_numpy() for c in ("rep", "comp", "n"))
     found = []
-    for k in range(0, len(n1), 256):
-        both = common[k : k + 256].astype(np.int64) + np.maximum(d1[k : k + 256, None], d2[None, :])
-        union = n1[k : k + 256, None] + n2[None, :] - both
-        x, y = np.nonzero((100 * both >= percent * union) & (comp1[k : k + 256, None] != comp2[None, :]))
-        found.append((x + k, y))
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-    a, b = left["rep"].to_numpy()[x], right["rep"].to_numpy()[y]
-    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    for rep, comp, n, own in left[["rep", "comp", "n", "sketch"]].itertuples(index=False):
+        can = np.flatnonzero((comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+        if len(can):
+            apart = np.abs(theirs[can] - np.asarray(own, np.int16)).sum(1, dtype=np.int64)
+            near = reps[can[(100 + percent) * apart <= (100 - percent) * (sizes[can] + n)]]
+            found += [(min(rep, x), max(rep, x)) for x in near.tolist()]
+    return found
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) and links_verified (those links of its set to other sets that had to be verified)."""
+    with scratch(docs.sparkSession) as made:
+        out = written(_linked(docs, width, percent), "jaccard-result")
+    delete(docs.sparkSession, made[:-1])  # all but the result
+    return out
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     narrow = written(narrow_sets(docs, width), "jaccard-narrow")
     classes = narrow.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("did").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = written(classes, "jaccard-classes")
-    bands = band_limits(classes.agg(F.max("n")).first()[0] or 0, percent)
+    bands = band_limits(classes.agg(F.max("n")).first()[0] or 0)
     held = [0] * (len(bands) + 1)
     lows = F.array(*[F.lit(b[0]).cast("long") for b in bands])
     band = F.size(F.filter(lows, lambda low: low <= F.col("n"))) - 1
     for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("c")).collect() if bands else ():  # a row for each band
         held[r["band"]] = r["c"]
-    # instance j compares band j with itself and with band j + 1; without a difference, equal sets alone link
-    plan = {j: allocation(b[1], max(2, held[j] + held[j + 1]), percent) for j, b in enumerate(bands) if differences(b[1], percent) and held[j]}
-    entries = written(index_entries(docs, bands, plan, width), "jaccard-index")
-    live = entries.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("sig")
-    members = entries.join(live, "sig").join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct()
+    # instance j compares band j with itself and with what may link in band j + 1; without a difference, equal sets alone link
+    plan = {j: allocation(*b, max(2, held[j] + held[j + 1]), percent) for j, b in enumerate(bands) if differences(b[1], percent) and held[j]}
+    entries = index_entries(docs, bands, plan, width, percent)
+    # one exchange of the index: entries of a single set are dropped where they meet
+    same = W.partitionBy("sig")
+    live = entries.select("sig", "k1", F.min("k1").over(same).alias("low"), F.max("k1").over(same).alias("high")).filter("low < high").select("sig", "k1")
+    members = live.join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct()
     members = written(members, "jaccard-members")
-    reps = written(members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep"), "jaccard-reps")
-    wanted = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(sent_if_small(reps.select(F.col("rep").alias("did")).distinct(), SENT_IDS), "did", "left_semi")
+    nothing = members.isEmpty()
+    tidy(spark)
+    reps = written(members.select("rep").distinct().join(classes.select("rep", "k1"), "rep"), "jaccard-reps")
+    unique = narrow.groupBy("did").count().filter("count > 1").isEmpty()
+    marks = sets_of(docs, reps, MARKS, width, unique) if not nothing else None
 
-    def one(doc_id, did, text):
-        import numpy as np
+    def tokens(some):
+        return sets_of(docs, reps.join(some, "rep"), TOKENS, width, unique)
 
-        toks = shingles(text, width)
-        return did, set_keys(toks)[0], toks.view(np.int64)
-
-    toks = _over(wanted.select("doc_id", "text"), one, TOKENS)
-    # a doc_id with several texts may stand for several sets, and a set's text may be there repeatedly
-    toks = toks.join(reps.select(F.col("rep").alias("did"), "k1"), ["did", "k1"]).withColumnRenamed("did", "rep")
-    toks = written(toks if narrow.groupBy("did").count().filter("count > 1").isEmpty() else toks.dropDuplicates(["rep", "k1"]), "jaccard-tokens")
     edges = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "rep long, comp long")
     at = members.withColumn("comp", F.col("rep"))
-    for k in range(LEADER_ROUNDS + 1):
+    for k in range(0 if nothing else LEADER_ROUNDS + 1):
         open_ = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("g"), F.min_by("rep", F.xxhash64("rep", F.lit(k)) if k else F.col("rep")).alias("a")).filter("c1 < c2")
         open_ = written(open_, "jaccard-open")
         if open_.isEmpty():
             break
         inside = at.join(open_.select("sig", "a"), "sig")
         if k == LEADER_ROUNDS:
-            found = written(links_in_blocks(inside.select("a", "rep", "comp").distinct(), toks, percent), "jaccard-links")
+            found = written(links_in_blocks(inside.select("a", "rep", "comp").distinct(), marks, tokens, percent), "jaccard-links")
         else:
             lead = inside.filter("rep = a").select("sig", F.col("comp").alias("ca"))
             # each set meets the leader with which it shares most entries; others are left to the next round
             shared = inside.join(lead, "sig").filter("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("c"))
             best = shared.groupBy("rep").agg(F.max(F.struct("c", "a")).alias("m")).select("rep", "m.a")
             pairs = best.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-            found = written(verified(pairs, toks, percent), "jaccard-links")
+            found = written(verified(pairs, marks, tokens, percent), "jaccard-links")
+        tidy(spark)
         if not found.isEmpty():
             edges = edges.union(found).distinct()
             comps = components(edges)
@@ -371,7 +425,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     links = ends.groupBy("rep").agg(F.count("*").alias("links_verified"))
     by_class = classes.join(comps, "rep", "left").join(links, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = by_class.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    by_class = written(by_class.join(least, "comp").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("links_verified", F.lit(0)).cast("long").alias("links_verified")), "jaccard-result")
+    by_class = (by_class.join(least, "comp").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("links_verified", F.lit(0)).cast("long").alias("links_verified")))
     out = narrow.filter("n > 0").join(by_class, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "links_verified")
     alone = narrow.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links_verified"))
     return out.unionByName(alone)
