@@ -149,3 +149,10 @@ def test_through_and_daily_queries_take_all_dates(spark):
     assert {(r.origin, r.dest): r.duration for r in run("best_journeys_across_days").collect()} == least
     summary = run("frequency_summary").collect()
     assert {(r.origin, r.dest) for r in summary} == set(least) and sum(r.direct_trips for r in summary) == rides
+
+
+def test_frequency_is_not_taken_over_pairs_by_weeks(spark, monkeypatch):
+    given, summary = [], registry.frequency.summary
+    monkeypatch.setattr(registry.frequency, "summary", lambda rows, *more: given.append(rows) or summary(rows, *more))
+    out = registry.frequency_summary(spark, SF)
+    assert given[0].count() <= out.agg(F.sum("direct_trips")).first()[0]  # no row without a ride

@@ -34,6 +34,18 @@ def test_months_are_named_in_the_order_of_their_days(spark):
     assert (got.months, got.covered_days, got.active_days, got.direct_trips, got.requested_sample_days) == ("Dec,Jan", 3, 2, 2, 4)
 
 
+def test_days_without_journeys_may_be_left_out(spark):
+    asked = [(datetime.date(2025, 12, 30), True), (datetime.date(2026, 1, 2), True), (datetime.date(2026, 2, 2), False), (datetime.date(2026, 12, 29), True), (datetime.date(2026, 12, 30), True)]
+    held = {(1, 2): [1, 1, 2, 1, 0], (1, 3): [0, 0, 1, 0, 0], (2, 1): [1, 1, 1, 1, 1]}
+    every = [(*k, *day, n, n) for k, counts in held.items() for day, n in zip(asked, counts, strict=True)]
+    whole = frequency.summary(spark.createDataFrame(every, "origin int, dest int, day date, covered boolean, journeys long, directs long"))
+    few = spark.createDataFrame([(*r[:3], *r[4:]) for r in every if r[-1]], "origin int, dest int, day date, journeys long, directs long")
+    got = frequency.summary(few, spark.createDataFrame(asked, "day date, covered boolean"))
+    assert got.columns == whole.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    by = {(r.origin, r.dest): (r.requested_sample_days, r.covered_days, r.active_days, r.direct_trips, r.months, r.availability) for r in got.collect()}
+    assert by == {(1, 2): (5, 4, 3, 5, "Dec,Jan", "limited"), (1, 3): (5, 4, 0, 1, "", "limited"), (2, 1): (5, 4, 4, 5, "Dec,Jan", "year_round")}
+
+
 CALLS = "day string, trip_id long, idx int, station long, arr long, dep long"
 
 
