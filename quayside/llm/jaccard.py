@@ -12,7 +12,7 @@ candidates that chance agreement of empty segments would give among the band's s
 Sets in one index entry are compared with the entry's leader, all links found so far are closed to
 components, and entries that still hold several components are compared again with another leader. What is
 then still open is compared in blocks of bounded size, each set outside its group's main component with all
-sets of the group. Before whole sets are fetched for a pair, its sketches are compared: they hold how many shingles fall
+sets of the group, and only links that join something are kept. Before whole sets are fetched for a pair, its sketches are compared: they hold how many shingles fall
 in each of SKETCH cells, and sets that differ by more than a link allows in these counts can't link. Pairs inside a component can't change the result, so they
 are left out, and no link is lost. Equal sets are one set throughout. Links are decided exactly on the 64-bit hashes
 of whole sets. A leader that many sets meet is dealt out with them by hash, so no leader's sets stand in one task.
@@ -46,8 +46,8 @@ SPLIT = 500
 LEADER_ROUNDS = 2
 #: Groups of at most so many sets are compared pair by pair, larger ones in blocks.
 SMALL_GROUP = 12
-#: Sets of a block.
-BLOCK = 1024
+#: Sets of a block, and shingles of a block of whole sets.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bits of a set's cell; counts above 127 are held as 127, which can only hide differences.
 SKETCH_BITS = 9
 #: Most words kept by a worker, and their greatest length: under 100 MB whatever the texts are.
@@ -310,55 +310,104 @@ def verified(pairs: DataFrame, marks: DataFrame, tokens, percent: int) -> DataFr
 
 
 def links_in_blocks(groups: DataFrame, marks: DataFrame, tokens, percent: int) -> DataFrame:
-    """Links (a, b) between components of each group; groups (a, rep, comp) are named by their leader a.
+    """Links (a, b) that join all components of each group that any link joins; groups (a, rep, comp) are named by their leader a.
 
-    Sets of the group's main component and the others are dealt to blocks by hash; each block of others
-    meets every block, in tasks that hold two blocks of sketches."""
-    groups = written(groups.join(marks.select("rep", "n"), "rep"), "jaccard-groups")
-    main = groups.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    main = main.join(groups.groupBy("a").agg(F.count("*").alias("g")), "a")
-    rows = groups.join(main, "a").withColumn("other", F.col("comp") != F.col("main"))
+    Small groups are compared pair by pair. In larger ones, sketches are compared first: what may link is joined to near groups
+    by one pair for each set at most. Whole sets are compared within these, again in blocks, and a link between sets that
+    others have joined already is left out. So rows grow with sets, whatever a group's links."""
+    rows = _others(groups, marks)
     few = rows.filter(F.col("g") <= SMALL_GROUP).select("a", "rep", "comp", "other", "n")
     left, right = few.filter("other").alias("l"), few.alias("r")
     near = (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (F.col("l.comp") != F.col("r.comp"))
     pairs = left.join(right, "a").filter(near).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    rows = rows.filter(F.col("g") > SMALL_GROUP)
-    blocks = rows.groupBy("a").agg(F.ceil(F.count_if("other") / BLOCK).alias("n_other"), F.ceil(F.count_if(~F.col("other")) / BLOCK).alias("n_main"))
+    found = verified(pairs, marks, tokens, percent)
+    near = written(_in_blocks(rows.filter(F.col("g") > SMALL_GROUP), marks, "sketch", percent).distinct(), "jaccard-near")
+    if near.isEmpty():
+        return found
+    at = components(near).withColumnRenamed("comp", "a").join(groups.select("rep", "comp").distinct(), "rep")
+    return found.union(_in_blocks(_others(at, marks), tokens(at.select("rep")), "toks", percent)).distinct()
+
+
+def _others(groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of groups (a, rep, comp) with n, the group's number of sets g, and whether a set is outside the group's main component."""
+    groups = written(groups.join(marks.select("rep", "n"), "rep"), "jaccard-groups")
+    main = groups.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    main = main.join(groups.groupBy("a").agg(F.count("*").alias("g")), "a")
+    return groups.join(main, "a").withColumn("other", F.col("comp") != F.col("main"))
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, held: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets between components of each group, by what is held of them (sketch or toks): no more than it takes to join what may link, or links.
+
+    Sets of the group's main component and the others are dealt to blocks by hash; each block of others meets every block, in
+    tasks that hold two blocks. Whole sets are dealt to more blocks if they are long."""
+    size = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_SHINGLES) if held == "toks" else F.lit(1 / BLOCK)
+    many = lambda which: F.ceil(F.round(F.sum(F.when(which, size).otherwise(0.0)), 9))
+    blocks = rows.groupBy("a").agg(many(F.col("other")).alias("n_other"), many(~F.col("other")).alias("n_main"))
     rows = rows.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))))
     # blocks 0 to n_other - 1 are the others', the main component's follow
     place = F.when(F.col("other"), F.col("block")).otherwise(F.col("n_other") + F.col("block"))
     partners = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("n_other") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1))
     rows = rows.withColumn("place", place).withColumn("partner", F.explode(partners))
     dealt = rows.select("a", F.least("place", "partner").alias("x"), F.greatest("place", "partner").alias("y"), "place", "rep", "comp", "n")
-    dealt = dealt.join(marks.select("rep", "sketch"), "rep")
+    dealt = dealt.join(sets.select("rep", held), "rep")
 
     def compare(frame):
         import pandas as pd
 
-        first = frame["place"] == frame["x"].iloc[0]
-        second = frame["place"] == frame["y"].iloc[0]
-        got = block_links(frame[first], frame[second], percent)
+        first = (frame["place"] == frame["x"].iloc[0]).to_numpy()
+        alone = frame["x"].iloc[0] == frame["y"].iloc[0]
+        got = (joining_links if held == "toks" else joining_pairs)(frame, first, first if alone else ~first, percent)
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
-    large = dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long")
-    return verified(large.union(pairs).distinct(), marks, tokens, percent)
+    return dealt.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def block_links(left, right, percent: int) -> list[tuple[int, int]]:
-    """Pairs of two frames (rep, comp, n, sketch) that may link by their sketches and whose components differ."""
+def _near(frame, cells, k: int, right, percent: int):
+    """Places in right of the sets that may link to set k by their sizes and sketches, the nearest first."""
     import numpy as np
 
-    if not len(left) or not len(right):
-        return []
-    theirs = np.stack([np.asarray(x, np.int16) for x in right["sketch"]])
-    reps, comps, sizes = (right[c].to_numpy() for c in ("rep", "comp", "n"))
-    found = []
-    for rep, comp, n, own in left[["rep", "comp", "n", "sketch"]].itertuples(index=False):
-        can = np.flatnonzero((comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-        if len(can):
-            apart = np.abs(theirs[can] - np.asarray(own, np.int16)).sum(1, dtype=np.int64)
-            near = reps[can[(100 + percent) * apart <= (100 - percent) * (sizes[can] + n)]]
-            found += [(min(rep, x), max(rep, x)) for x in near.tolist()]
+    sizes, n = frame["n"].to_numpy()[right], frame["n"].iat[k]
+    can = np.flatnonzero(100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+    apart = np.abs(cells[right[can]] - cells[k]).sum(1, dtype=np.int64)
+    near = (100 + percent) * apart <= (100 - percent) * (sizes[can] + n)
+    return right[can[near][np.argsort(apart[near], kind="stable")]]
+
+
+def joining_pairs(frame, first, second, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets of a frame (rep, comp, n, sketch), one in first and one in second, that join all that may link across components."""
+    import numpy as np
+
+    cells = np.stack([np.asarray(x, np.int16) for x in frame["sketch"]])
+    reps, comps, right = frame["rep"].to_numpy(), frame["comp"].to_numpy(), np.flatnonzero(second)
+    part, found = np.arange(len(frame)), []
+    for k in np.flatnonzero(first):
+        own = right[comps[right] != comps[k]]
+        own = own[part[own] != part[k]]  # what is joined already needs no further pair
+        near = _near(frame, cells, k, own, percent)
+        parts, at = np.unique(part[near], return_index=True)
+        if len(parts):
+            found += [(min(reps[k], x), max(reps[k], x)) for x in reps[near[at]].tolist()]
+            part[np.isin(part, parts)] = part[k]
+    return found
+
+
+def joining_links(frame, first, second, percent: int) -> list[tuple[int, int]]:
+    """Links of sets of a frame (rep, comp, n, toks), one in first and one in second, that join all components which links of these join."""
+    import numpy as np
+
+    toks = [np.asarray(x, np.int64) for x in frame["toks"]]
+    cells = np.stack([sketch(x.view(np.uint64)) for x in toks]).astype(np.int16)
+    reps, right = frame["rep"].to_numpy(), np.flatnonzero(second)
+    part, found = np.unique(frame["comp"].to_numpy(), return_inverse=True)[1], []
+    for k in np.flatnonzero(first):
+        for j in _near(frame, cells, k, right[part[right] != part[k]], percent):
+            if part[j] == part[k]:
+                continue
+            common = len(np.intersect1d(toks[k], toks[j], assume_unique=True))
+            if 100 * common >= percent * (len(toks[k]) + len(toks[j]) - common):
+                found.append((min(reps[k], reps[j]), max(reps[k], reps[j])))
+                part[part == part[j]] = part[k]
     return found
 
 

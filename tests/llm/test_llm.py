@@ -262,3 +262,34 @@ def test_pipeline_keeps_one_row_of_a_group_with_null_ids(spark):
     rows = [(5, a), (None, a), (None, a + " more"), (7, a), (None, b), (None, b + " more"), (None, b), (9, c), (9, c), (9, b + " other"), (11, ""), (None, None)]
     got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a), (9, c), (9, b + " other"), (11, ""), (None, None)]))
+
+
+@pytest.mark.parametrize("small,block,weight", [(12, 1024, 2_000_000), (3, 16, 400), (1, 1, 1)])
+def test_jaccard_in_blocks_alone(spark, monkeypatch, small, block, weight):
+    r = random.Random(block)
+    for name, value in (("LEADER_ROUNDS", 0), ("SMALL_GROUP", small), ("BLOCK", block), ("BLOCK_SHINGLES", weight)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = []
+    for k in range(60 if block > 1 else 16):
+        words = [f"w{k % 2}-{i}" for i in range(40 + 10 * (k % 2))]
+        for _ in range(r.randrange(5)):
+            words[r.randrange(len(words))] = f"x{r.randrange(40)}"
+        rows.append((r.randrange(1 << 60), " ".join(words)))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert {tuple(x) for x in got} == brute_components(rows, 3, 80)
+
+
+def test_links_of_a_group_grow_with_its_sets(spark):
+    base = [f"w{i}" for i in range(80)]
+    # all of a class link with each other: 2 * 80 * 79 / 2 links
+    rows = [(k, " ".join([*(base if k % 2 else base[::-1]), f"x{k}"])) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = jaccard.narrow_sets(docs, 3).selectExpr("did as rep", "k1")
+    marks = jaccard.sets_of(docs, reps, jaccard.MARKS, 3, True)
+    groups = reps.selectExpr("0L as a", "rep", "rep as comp")
+    found = jaccard.links_in_blocks(groups, marks, lambda some: jaccard.sets_of(docs, reps.join(some, "rep"), jaccard.TOKENS, 3, True), 90).collect()
+    assert len(found) <= 2 * len(rows)
+    part = {k: k for k, _ in rows}
+    for a, b in found:
+        part = {k: part[a] if v == part[b] else v for k, v in part.items()}
+    assert len(set(part.values())) == 2 and all(part[k] == part[k % 2] for k in part)
