@@ -2,37 +2,64 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables and, where the session names none, the chosen folder, by application.
 _written: dict[str, list[str]] = {}
+_chosen: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where none is set and the master is local (tests)."""
+    """spark.checkpoint.dir or the context's checkpoint folder; a temporary one where none is set and the master is local (tests).
+
+    The chosen folder is kept here, since a running session doesn't take a value for spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _chosen.get(app) or _chosen.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quayside-"))
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written and read back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/quayside-{label}/{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written and read back: lineage is cut and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application, once its results are written; frames that read them can't be used any more."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables; frames that read them can't be used any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A list that holds, at the end, the intermediate tables written inside."""
+    before, paths = set(_written.get(spark.sparkContext.applicationId, [])), []
+    yield paths
+    paths += [p for p in _written.get(spark.sparkContext.applicationId, []) if p not in before]

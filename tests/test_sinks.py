@@ -3,6 +3,9 @@
 import glob
 import gzip
 import json
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -47,14 +50,26 @@ def test_small_table(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/s/plain/*.json")) == len(glob.glob(f"{tmp_path}/s/gzip/*.json.gz")) == 1
 
 
-def test_intermediate_tables_are_released(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        held = scratch._written.pop(spark.sparkContext.applicationId, [])
-        assert scratch.written(spark.range(3), "t").count() == 3 and glob.glob(f"{tmp_path}/quayside-t/*")
-        scratch.release(spark)
-        assert not glob.glob(f"{tmp_path}/quayside-t/*")
-        scratch._written[spark.sparkContext.applicationId] = held
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_intermediate_tables_are_released(spark):
+    held = scratch._written.pop(spark.sparkContext.applicationId, [])
+    folder = scratch.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    assert scratch.written(spark.range(3), "t").count() == 3 and glob.glob(f"{folder}/quayside-t/*")
+    scratch.release(spark)
+    assert not glob.glob(f"{folder}/quayside-t/*")
+    scratch._written[spark.sparkContext.applicationId] = held
+
+
+def test_sessions_without_presets_have_a_folder(tmp_path):
+    """A plain session, whose configuration folder is empty, keeps one folder; what stands on written tables runs in it."""
+    code = """
+from pyspark.sql import SparkSession
+from quayside.plans import registry
+from quayside.sources import scratch
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert scratch.shared_dir(spark) == scratch.shared_dir(spark)
+assert registry.reach_journeys(spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join([os.getcwd(), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
