@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import os
 import sys
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quayside.sources.scratch import delete, new_path, release, scratch, shared_dir, written  # noqa: F401
+
 #: White space of the word contracts: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
@@ -22,8 +22,6 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch; texts may be long.
 BATCH_ROWS = 1000
 
-_written: dict[str, list[str]] = {}
-
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where the driver runs from a checkout, and keep Arrow batches of whole texts small."""
@@ -39,65 +37,16 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/quayside/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unique() -> str:
     return uuid.uuid4().hex
 
 
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables; frames that read them can't be used any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that nothing refers to any more, which it does when the driver collects garbage; for steps whose results are written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application."""
-    delete(spark, _written.pop(spark.sparkContext.applicationId, []))
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """A list that holds, at the end, the scratch tables written inside."""
-    before, paths = set(_written.get(spark.sparkContext.applicationId, [])), []
-    yield paths
-    paths += [p for p in _written.get(spark.sparkContext.applicationId, []) if p not in before]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
