@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import adaptive_rules, bitplane, jaccard, langid, mixing, order_minhash, packing, quality, sharding, tokens, url_trie
+from quayside.llm import adaptive_rules, bitplane, conversation, jaccard, langid, lloyd, mixing, order_minhash, packing, quality, sharding, tokens, url_trie
 from quayside.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -51,7 +51,15 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane, op2_language_hierarchy, op3_nnls_packing, op4_url_trie, op5_quality_ftrl, op6_hash_threshold_mix, op7_extendible_shards, op8_jaccard_partitions, op9_order_minhash, op10_adaptive_rules)}
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.audited(conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_bitplane, op2_language_hierarchy, op3_nnls_packing, op4_url_trie, op5_quality_ftrl, op6_hash_threshold_mix, op7_extendible_shards, op8_jaccard_partitions, op9_order_minhash, op10_adaptive_rules, op12_lloyd, op13_cost_layers)}
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -130,3 +138,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM rows_ r JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """.replace("WORDS", _WORDS),
 }
+
+
+def _lloyd_sql() -> str:
+    """Rounds of exact integers, written out."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    out = ["v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(least(greatest(x::DOUBLE, -524288), 524288) * 256)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x::DOUBLE), false))))"]
+    out.append("e AS MATERIALIZED (SELECT rid, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v)")
+    out.append("c0 AS MATERIALIZED (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), v) - 1 AS c, v FROM v) WHERE c < 40)")
+    for k in range(6):
+        out.append(f"d{k} AS MATERIALIZED (SELECT rid, c, sum((e.x - c{k}.x) * (e.x - c{k}.x))::BIGINT AS d FROM e JOIN c{k} USING (i) GROUP BY ALL)")
+        out.append(f"a{k} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{k} GROUP BY rid)")
+        if k < 5:
+            out.append(f"m{k} AS MATERIALIZED (SELECT c, i, {floor} AS x FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{k} JOIN e USING (rid) GROUP BY ALL))")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT c, i, coalesce(m{k}.x, c{k}.x)::BIGINT AS x FROM c{k} LEFT JOIN m{k} USING (c, i))")
+    out.append("h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY c)")
+    return "WITH " + ",\n".join(out) + "\nSELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a5 JOIN v USING (rid) JOIN h USING (c)"
+
+
+SQL["op12_lloyd"] = _lloyd_sql()
