@@ -13,9 +13,13 @@ Sets in one index entry are compared with the entry's leader, all links found so
 components, and entries that still hold several components are compared again with another leader. What is
 then still open is compared in blocks of bounded size, each set outside its group's main component with all
 sets of the group, and only links that join something are kept. Before whole sets are fetched for a pair, its sketches are compared: they hold how many shingles fall
-in each of SKETCH cells, and sets that differ by more than a link allows in these counts can't link. Pairs inside a component can't change the result, so they
-are left out, and no link is lost. Equal sets are one set throughout. Links are decided exactly on the 64-bit hashes
-of whole sets. A leader that many sets meet is dealt out with them by hash, so no leader's sets stand in one task.
+in each of SKETCH cells, and sets that differ by more than a link allows in these counts can't link. Pairs inside a component can't change
+components, so they are left out here, and no component is missed. A leader that many sets meet is dealt out with them by hash, so no leader's sets stand in one task.
+
+Links are counted once the components are known, since no link leaves one: all sets of a component are compared,
+in one place if they are few, else in pairs of blocks whose sizes allow links. A task multiplies the incidence of two blocks and gives
+back one count for each set, so that no row for a pair is made, whatever a component's links. A component of N sets beyond a
+block is copied N / BLOCK times at most. Equal sets are one set throughout. Links are decided exactly on the 64-bit hashes of whole sets.
 
 Cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words
 than WIDTH are one shingle; equal rows are copies of each other; a document without doc_id takes part and
@@ -47,13 +51,15 @@ LEADER_ROUNDS = 2
 #: Groups of at most so many sets are compared pair by pair, larger ones in blocks.
 SMALL_GROUP = 12
 #: Sets of a block, and shingles of a block of whole sets.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Bits of a set's cell; counts above 127 are held as 127, which can only hide differences.
 SKETCH_BITS = 9
 #: Most words kept by a worker, and their greatest length: under 100 MB whatever the texts are.
 CACHE_WORDS, LONG_WORD = 200_000, 64
 #: Up to so many sets that need verifying, their ids are broadcast to find their texts; beyond, texts are joined by shuffle.
 SENT_IDS = 4_000_000
+#: Up to so many groups, what holds of each is broadcast to its rows, so that a hot one needn't meet in a task.
+SENT_GROUPS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -333,7 +339,7 @@ def _others(groups: DataFrame, marks: DataFrame) -> DataFrame:
     groups = written(groups.join(marks.select("rep", "n"), "rep"), "jaccard-groups")
     main = groups.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     main = main.join(groups.groupBy("a").agg(F.count("*").alias("g")), "a")
-    return groups.join(main, "a").withColumn("other", F.col("comp") != F.col("main"))
+    return groups.join(sent_if_small(written(main, "jaccard-main"), SENT_GROUPS), "a").withColumn("other", F.col("comp") != F.col("main"))
 
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, held: str, percent: int) -> DataFrame:
@@ -344,7 +350,7 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, held: str, percent: int) -> Dat
     size = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_SHINGLES) if held == "toks" else F.lit(1 / BLOCK)
     many = lambda which: F.ceil(F.round(F.sum(F.when(which, size).otherwise(0.0)), 9))
     blocks = rows.groupBy("a").agg(many(F.col("other")).alias("n_other"), many(~F.col("other")).alias("n_main"))
-    rows = rows.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))))
+    rows = rows.join(sent_if_small(written(blocks, "jaccard-blocks"), SENT_GROUPS), "a").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))))
     # blocks 0 to n_other - 1 are the others', the main component's follow
     place = F.when(F.col("other"), F.col("block")).otherwise(F.col("n_other") + F.col("block"))
     partners = F.when(F.col("other"), F.sequence(F.lit(0).cast("long"), F.col("n_other") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1))
@@ -411,19 +417,182 @@ def joining_links(frame, first, second, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) and links_verified (those links of its set to other sets that had to be verified)."""
+def common_counts(left: list, right: list | None = None):
+    """Sizes of the intersections of sorted sets of hashes, each of left with each of right (left again where it isn't given)."""
+    import numpy as np
+
+    every = left if right is None else left + right
+    place = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[column]
+    place, column = place[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    place, column = place[order], column[order]
+    total = np.zeros((len(left), len(every) if right is None else len(right)), np.float32)
+    width = max(64, 4_000_000 // len(every))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(every), width), np.float32)
+        held[place[a:b], column[a:b] - low] = 1
+        total += held[: len(left)] @ (held if right is None else held[len(left) :]).T
+    return total.astype(np.int64)
+
+
+def links_of(left: list, right: list | None, percent: int):
+    """Number of links of each set of left to sets of right and the other way round; inside left where right isn't given."""
+    import numpy as np
+
+    if right is None and len(left) == 2:
+        a, b = left
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        linked = 100 * common >= percent * (len(a) + len(b) - common)
+        return np.array([linked, linked], np.int64), None
+    sizes = lambda x: np.array([len(t) for t in x], np.int64)
+    common = common_counts(left, right)
+    linked = 100 * common >= percent * (sizes(left)[:, None] + sizes(left if right is None else right)[None, :] - common)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(1), None if right is None else linked.sum(0)
+
+
+def link_counts(comps: DataFrame, tokens, percent: int) -> DataFrame:
+    """rep and links, the number of other sets that it links with, of sets of components (rep, comp) of several sets."""
+    sets = tokens(comps.select("rep"))
+    base = max(1.01, 100 / percent * 1.0001)  # sets of a link lie in one band of sizes or in neighbouring ones
+    rows = written(comps.join(sets.select("rep", "n"), "rep").withColumn("band", F.floor(F.ln("n") / math.log(base))), "jaccard-sized")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    large = written(rows.groupBy("comp").agg(blocks.alias("b")).filter("b > 1").select("comp"), "jaccard-large")
+    one = lambda df, x, y, place: df.select("comp", x.cast("long").alias("x"), y.cast("long").alias("y"), place.cast("long").alias("place"), "rep")
+    if large.isEmpty():
+        dealt = one(rows, F.lit(0), F.lit(0), F.lit(0))
+    else:
+        sent = sent_if_small(large, SENT_GROUPS)
+        many = rows.join(sent, "comp", "left_semi")
+        bands = written(many.groupBy("comp", "band").agg(blocks.alias("nb")), "jaccard-bands")
+        beside = lambda d, name: bands.select("comp", (F.col("band") + d).alias("band"), F.col("nb").alias(name))
+        facts = bands.join(beside(1, "below"), ["comp", "band"], "left").join(beside(-1, "above"), ["comp", "band"], "left")
+        many = many.join(sent_if_small(written(facts, "jaccard-facts"), SENT_GROUPS), ["comp", "band"])
+        number = lambda band, i: F.shiftleft((band + 1).cast("long"), 40) + i
+        own = number(F.col("band"), F.pmod(F.xxhash64("rep"), F.col("nb")))
+        other = lambda d, n: F.when(F.col(n).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: number(F.col("band") + d, i))).otherwise(F.array().cast("array<bigint>"))
+        partner = F.explode(F.concat(other(0, "nb"), other(-1, "below"), other(1, "above")))
+        many = many.withColumn("own", own).withColumn("partner", partner)
+        dealt = one(rows.join(sent, "comp", "left_anti"), F.lit(0), F.lit(0), F.lit(0)).unionByName(one(many, F.least("own", "partner"), F.greatest("own", "partner"), F.col("own")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, held, ready = None, [], {}
+
+        def done():
+            if len(held) < 2:
+                return
+            first = [h for h in held if h[0] == key[1]]
+            second = [h for h in held if h[0] != key[1]] if key[1] != key[2] else None
+            if first and (second is None or second):
+                a, b = links_of([h[2] for h in first], second and [h[2] for h in second], percent)
+                for part, counts in ((first, a), (second, b)):
+                    for h, c in zip(part or (), counts if counts is not None else ()):
+                        ready[h[1]] = ready.get(h[1], 0) + int(c)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(ready), pa.int64()), pa.array(list(ready.values()), pa.int64())], names=["rep", "links"])
+
+        for batch in batches:
+            column = batch.column(5)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            for k, (comp, x, y, place, rep) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if key != (comp, x, y):
+                    done()
+                    if len(ready) > 10_000:
+                        yield out()
+                        ready = {}
+                    key, held = (comp, x, y), []
+                held.append((place, rep, np.array(values[ends[k] : ends[k + 1]])))
+        done()
+        yield out()
+
+    met_ = dealt.join(sets.select("rep", "toks"), "rep").select("comp", "x", "y", "place", "rep", "toks")
+    found = met_.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, "rep long, links long")
+    return found.groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+class Sets:
+    """Sets of a table's documents: narrow rows (doc_id, did, n, k1, k2), classes of equal sets, and marks or whole sets of some, from their texts."""
+
+    def __init__(self, docs: DataFrame, narrow: DataFrame, width: int, percent: int):
+        self.docs, self.narrow, self.width, self.percent = docs, narrow, width, percent
+        classes = narrow.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("did").alias("rep"), F.min("doc_id").alias("class_id"))
+        self.classes = written(classes, "jaccard-classes")
+        self.unique = narrow.groupBy("did").count().filter("count > 1").isEmpty()
+
+    def of(self, reps: DataFrame, schema: T.StructType) -> DataFrame:
+        return sets_of(self.docs, reps, schema, self.width, self.unique)
+
+    def tokens(self, some: DataFrame) -> DataFrame:
+        return self.of(self.classes.select("rep", "k1").join(some, "rep"), TOKENS)
+
+    def components(self, members: DataFrame) -> DataFrame:
+        """rep and comp of sets that link with any; members: sig and rep of candidates, sets that share an entry."""
+        spark, percent = self.docs.sparkSession, self.percent
+        edges = spark.createDataFrame([], "a long, b long")
+        comps = spark.createDataFrame([], "rep long, comp long")
+        if members.isEmpty():
+            return comps
+        reps = written(members.select("rep").distinct().join(self.classes.select("rep", "k1"), "rep"), "jaccard-reps")
+        marks = self.of(reps, MARKS)
+        tokens = lambda some: self.of(reps.join(some, "rep"), TOKENS)
+        at = members.withColumn("comp", F.col("rep"))
+        for k in range(LEADER_ROUNDS + 1):
+            open_ = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("g"), F.min_by("rep", F.xxhash64("rep", F.lit(k)) if k else F.col("rep")).alias("a")).filter("c1 < c2")
+            open_ = written(open_, "jaccard-open")
+            if open_.isEmpty():
+                break
+            inside = at.join(open_.select("sig", "a"), "sig")
+            if k == LEADER_ROUNDS:
+                found = written(links_in_blocks(inside.select("a", "rep", "comp").distinct(), marks, tokens, percent), "jaccard-links")
+            else:
+                lead = inside.filter("rep = a").select("sig", F.col("comp").alias("ca"))
+                # each set meets the leader with which it shares most entries; others are left to the next round
+                shared = inside.join(lead, "sig").filter("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("c"))
+                best = shared.groupBy("rep").agg(F.max(F.struct("c", "a")).alias("m")).select("rep", "m.a")
+                pairs = best.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+                found = written(verified(pairs, marks, tokens, percent), "jaccard-links")
+            tidy(spark)
+            if not found.isEmpty():
+                edges = edges.union(found).distinct()
+                comps = components(edges)
+            at = written(members.join(comps, "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp")), "jaccard-at") if k < LEADER_ROUNDS else at
+        return comps
+
+    def result(self, comps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_shingles, component_id (least doc_id of a component), class_id (least doc_id with the same set) and, with more (rep, links), links."""
+        own = self.classes.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        least = own.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+        own = own.join(least, "comp")
+        links = [] if more is None else ["links"]
+        if more is not None:
+            own = own.join(more, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        own = own.select("k1", "k2", "n", "component_id", "class_id", *links)
+        out = self.narrow.filter("n > 0").join(own, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", *links)
+        alone = self.narrow.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *[F.lit(0).cast("long").alias(x) for x in links])
+        return out.unionByName(alone)
+
+
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) and links: with how many other sets the document's set links."""
     with scratch(docs.sparkSession) as made:
-        out = written(_linked(docs, width, percent), "jaccard-result")
+        out = written(_linked(docs, width, percent, links), "jaccard-result")
     delete(docs.sparkSession, made[:-1])  # all but the result
     return out
 
 
-def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
-    narrow = written(narrow_sets(docs, width), "jaccard-narrow")
-    classes = narrow.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("did").alias("rep"), F.min("doc_id").alias("class_id"))
-    classes = written(classes, "jaccard-classes")
+def _linked(docs: DataFrame, width: int, percent: int, links: bool) -> DataFrame:
+    sets = Sets(docs, written(narrow_sets(docs, width), "jaccard-narrow"), width, percent)
+    classes = sets.classes
     bands = band_limits(classes.agg(F.max("n")).first()[0] or 0)
     held = [0] * (len(bands) + 1)
     lows = F.array(*[F.lit(b[0]).cast("long") for b in bands])
@@ -436,45 +605,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # one exchange of the index: entries of a single set are dropped where they meet
     same = W.partitionBy("sig")
     live = entries.select("sig", "k1", F.min("k1").over(same).alias("low"), F.max("k1").over(same).alias("high")).filter("low < high").select("sig", "k1")
-    members = live.join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct()
-    members = written(members, "jaccard-members")
-    nothing = members.isEmpty()
-    tidy(spark)
-    reps = written(members.select("rep").distinct().join(classes.select("rep", "k1"), "rep"), "jaccard-reps")
-    unique = narrow.groupBy("did").count().filter("count > 1").isEmpty()
-    marks = sets_of(docs, reps, MARKS, width, unique) if not nothing else None
-
-    def tokens(some):
-        return sets_of(docs, reps.join(some, "rep"), TOKENS, width, unique)
-
-    edges = spark.createDataFrame([], "a long, b long")
-    comps = spark.createDataFrame([], "rep long, comp long")
-    at = members.withColumn("comp", F.col("rep"))
-    for k in range(0 if nothing else LEADER_ROUNDS + 1):
-        open_ = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("g"), F.min_by("rep", F.xxhash64("rep", F.lit(k)) if k else F.col("rep")).alias("a")).filter("c1 < c2")
-        open_ = written(open_, "jaccard-open")
-        if open_.isEmpty():
-            break
-        inside = at.join(open_.select("sig", "a"), "sig")
-        if k == LEADER_ROUNDS:
-            found = written(links_in_blocks(inside.select("a", "rep", "comp").distinct(), marks, tokens, percent), "jaccard-links")
-        else:
-            lead = inside.filter("rep = a").select("sig", F.col("comp").alias("ca"))
-            # each set meets the leader with which it shares most entries; others are left to the next round
-            shared = inside.join(lead, "sig").filter("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("c"))
-            best = shared.groupBy("rep").agg(F.max(F.struct("c", "a")).alias("m")).select("rep", "m.a")
-            pairs = best.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-            found = written(verified(pairs, marks, tokens, percent), "jaccard-links")
-        tidy(spark)
-        if not found.isEmpty():
-            edges = edges.union(found).distinct()
-            comps = components(edges)
-        at = written(members.join(comps, "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp")), "jaccard-at") if k < LEADER_ROUNDS else at
-    ends = edges.select(F.col("a").alias("rep")).union(edges.select("b"))
-    links = ends.groupBy("rep").agg(F.count("*").alias("links_verified"))
-    by_class = classes.join(comps, "rep", "left").join(links, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    least = by_class.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    by_class = (by_class.join(least, "comp").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("links_verified", F.lit(0)).cast("long").alias("links_verified")))
-    out = narrow.filter("n > 0").join(by_class, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "links_verified")
-    alone = narrow.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links_verified"))
-    return out.unionByName(alone)
+    members = written(live.join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct(), "jaccard-members")
+    tidy(docs.sparkSession)
+    comps = sets.components(members)
+    return sets.result(comps, link_counts(comps, sets.tokens, percent) if links else None)

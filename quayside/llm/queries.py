@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import adaptive_rules, bitplane, conversation, jaccard, langid, lloyd, mixing, order_minhash, packing, quality, sharding, tokens, url_trie
+from quayside.llm import adaptive_rules, bitplane, conversation, jaccard, langid, lloyd, mixing, order_minhash, packing, quality, sharding, tensor_minhash, tokens, url_trie
 from quayside.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def op13_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.audited(conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_bitplane, op2_language_hierarchy, op3_nnls_packing, op4_url_trie, op5_quality_ftrl, op6_hash_threshold_mix, op7_extendible_shards, op8_jaccard_partitions, op9_order_minhash, op10_adaptive_rules, op12_lloyd, op13_cost_layers)}
+QUERIES = {f.__name__: f for f in (op1_bitplane, op2_language_hierarchy, op3_nnls_packing, op4_url_trie, op5_quality_ftrl, op6_hash_threshold_mix, op7_extendible_shards, op8_jaccard_partitions, op9_order_minhash, op10_adaptive_rules, op11_tensored_minhash, op12_lloyd, op13_cost_layers)}
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
