@@ -45,7 +45,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, and rows without doc_id, are decided by their texts like others. Texts without words are near nothing."""
     common.ready(spark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    groups = jaccard.link(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), NEAR_WIDTH, NEAR_PERCENT).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    groups = jaccard.link(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), NEAR_WIDTH, NEAR_PERCENT, links=False).select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = rows.select("key", F.col("row.doc_id").alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")
     kept = groups.join(ids, "key").groupBy("component_id").agg(least).select("m.key")
