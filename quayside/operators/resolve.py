@@ -353,25 +353,33 @@ def through_trips(services: DataFrame, trips: DataFrame) -> DataFrame:
     return m.groupBy("head").agg(held).select("head", F.array_join(F.transform("m", lambda x: x["id"].cast("string")), "+").alias("trip_id"), F.col("m")[0]["train"].alias("train"), F.array_distinct(F.transform("m", lambda x: x["feed"])).alias("feeds"))
 
 
+#: Degrees of latitude of a slab.
+SLAB = 0.25
+
+
+def crossed_rings(points: DataFrame, edges: DataFrame, ring: list[str], same: list[str] | None = None) -> DataFrame:
+    """id of points (id, lon, lat) and ring of those rings that hold them, by the half-open rule. edges: the columns ring, x1, y1, x2, y2.
+
+    Edges are cut into slabs of latitude; a point meets only the edges of its slab (and of equal columns same), and the parity of those
+    to its right is an aggregate, so that neither a ring nor what a point meets is held in one row."""
+    slab = lambda c: F.floor(c / SLAB)
+    sides = edges.filter("y1 <> y2").withColumn("slab", F.explode(F.sequence(slab(F.least("y1", "y2")), slab(F.greatest("y1", "y2")))))
+    p, e = points.withColumn("slab", slab(F.col("lat"))).alias("p"), sides.alias("e")
+    on = F.col("p.slab") == F.col("e.slab")
+    for c in same or []:
+        on = on & (F.col(f"p.{c}") == F.col(f"e.{c}"))
+    lat, lon = F.col("p.lat"), F.col("p.lon")
+    x = (F.col("e.x2") - F.col("e.x1")) * (lat - F.col("e.y1")) / (F.col("e.y2") - F.col("e.y1")) + F.col("e.x1")
+    met = p.join(e, on & ((F.col("e.y1") > lat) != (F.col("e.y2") > lat)) & (lon < x))
+    return met.groupBy(F.col("p.id").alias("id"), *[F.col(f"e.{c}").alias(c) for c in ring]).agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+
+
 def in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     """id, iso: the first polygon whose exterior holds a point and none of whose holes does. edges: iso, ord, ring (0 is
-    the exterior), x1, y1, x2, y2. Crossings are counted for each ring, by the half-open rule.
-
-    Rings are arrays, joined on the degree cells that their polygon's box covers; a point counts crossings in its row."""
-    side = F.struct("x1", "y1", "x2", "y2")
-    rings = edges.groupBy("iso", "ord", "ring").agg(F.collect_list(side).alias("e"), F.min("x1").alias("x_min"), F.max("x1").alias("x_max"), F.min("y1").alias("y_min"), F.max("y1").alias("y_max"))  # a ring of the map
-    polys = rings.groupBy("iso", "ord").agg(F.collect_list(F.struct("ring", "e")).alias("rings"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
-    cells = polys.withColumn("cx", F.explode(F.sequence(F.floor("x_min"), F.floor("x_max")))).withColumn("cy", F.explode(F.sequence(F.floor("y_min"), F.floor("y_max"))))
-    at = points.withColumns({"cx": F.floor("lon"), "cy": F.floor("lat")}).join(cells, ["cx", "cy"])
-    at = at.filter(F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max")))
-
-    def crosses(e):
-        up = (e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))
-        return up & F.coalesce(F.col("lon") < F.try_divide((e["x2"] - e["x1"]) * (F.col("lat") - e["y1"]), e["y2"] - e["y1"]) + e["x1"], F.lit(False))
-
-    inside = lambda r: F.size(F.filter(r["e"], crosses)) % 2 == 1
-    holds = F.exists("rings", lambda r: (r["ring"] == 0) & inside(r)) & ~F.exists("rings", lambda r: (r["ring"] > 0) & inside(r))
-    return at.filter(holds).groupBy("id").agg(F.min(F.struct("ord", "iso")).alias("m")).select("id", "m.iso")
+    the exterior), x1, y1, x2, y2. Crossings are counted for each ring, by the half-open rule."""
+    inside = crossed_rings(points.select("id", "lon", "lat"), edges, ["iso", "ord", "ring"])
+    held = inside.groupBy("id", "iso", "ord").agg(F.max("ring").alias("hole")).filter("hole = 0")
+    return held.groupBy("id").agg(F.min(F.struct("ord", "iso")).alias("m")).select("id", "m.iso")
 
 
 def nearest_override(overrides: DataFrame, stations: DataFrame, most_m: float = NEAR_M) -> DataFrame:

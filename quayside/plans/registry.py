@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions import geo, text
-from quayside.operators import calendar, client, feeds, frequency, reach, resolve, views
+from quayside.operators import calendar, client, coverage, feeds, frequency, reach, resolve, views
 from quayside.sources import dims
 from quayside.sources import timetable as tt
 from quayside.sources.scratch import written
@@ -602,6 +602,25 @@ def coverage_sets(spark, sf):
     return views.coverage(tt.stations(spark, sf), feed)
 
 
+#: Each customer is a square of two degrees by half a degree, in rows of 50; some lie across the box.
+_land = dict(
+    n_land="SELECT n_name, r_name, -44.0 + 2 * (c_custkey % 50) AS x, 20.25 + 0.5 * (c_custkey // 50) AS y FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
+    n_parts="SELECT n_name, r_name, 1.0 AS whole, greatest(0, least(x + 2, 45) - greatest(x, -25)) * greatest(0, least(y + 0.5, 72) - greatest(y, 27)) AS shown FROM n_land",
+)
+
+
+@query("coverage_tiers", "SELECT tier, sum(area)::DOUBLE AS area FROM (SELECT 'light' AS tier, shown AS area FROM n_parts WHERE r_name = 'ASIA' UNION ALL SELECT 'dark', CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN whole - shown ELSE whole END FROM n_parts) WHERE area > 0 GROUP BY tier", **_land)
+def coverage_tiers(spark, sf):
+    """Nations of one region are covered, those of another reachable."""
+    n = tt.table(spark, sf, "nation").join(tt.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("iso"), "r_name")
+    k = F.col("c_custkey")
+    land = tt.table(spark, sf, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("iso", k.alias("ord"), F.lit(0).alias("ring"), (-44.0 + 2 * (k % 50)).alias("x"), (20.25 + 0.5 * F.floor(k / 50)).alias("y"))
+    corner = [(F.col("x") + dx, F.col("y") + dy) for dx, dy in ((0, 0), (2, 0), (2, 0.5), (0, 0.5))]
+    side = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    edges = land.select("iso", "ord", "ring", F.explode(F.array(*[side(corner[i], corner[(i + 1) % 4]) for i in range(4)])).alias("e")).select("iso", "ord", "ring", "e.*")
+    return coverage.areas(coverage.tiers(edges, n.filter("r_name = 'EUROPE'"), n.filter("r_name = 'ASIA'"))).select("tier", "area")
+
+
 _hits = dict(v_hits="SELECT origin, dest, min(trains) AS trains FROM o_journeys GROUP BY ALL", v_n="SELECT origin AS id, count(*) AS n FROM v_hits GROUP BY ALL")
 
 
