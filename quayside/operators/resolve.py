@@ -250,10 +250,18 @@ def through_candidates(trips: DataFrame, ends: DataFrame, calls: DataFrame, most
     pairs = a.join(b, ["train", "at"]).filter("a <> b").withColumn("gap", F.col("dep") - F.col("arr")).filter(F.col("gap").between(0, most_gap))
     sets = calls.groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "station"))), lambda x: x["station"]).alias("s"))
     pairs = pairs.join(sets.select(F.col("trip_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("trip_id").alias("b"), F.col("s").alias("sb")), "b")
-    apart = ~F.arrays_overlap(F.slice("sa", F.lit(1), F.size("sa") - 1), F.slice("sb", F.lit(2), F.size("sb") - 1))
-    kept = pairs.filter(apart)
+    return _unclear(pairs.filter(_apart("sa", "sb")).select("a", "b", "train", "gap"))
+
+
+def _apart(a: str, b: str) -> Column:
+    """Whether the stations before a's last and after b's first have none in common."""
+    return ~F.arrays_overlap(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(2), F.size(b) - 1))
+
+
+def _unclear(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, train, gap) with ambiguous: whether an equal gap offers a or b another partner."""
     twice = (F.count("*").over(W.partitionBy("gap", "a")) > 1) | (F.count("*").over(W.partitionBy("gap", "b")) > 1)
-    return kept.select("a", "b", "train", "gap", twice.alias("ambiguous"))
+    return pairs.select("a", "b", "train", "gap", twice.alias("ambiguous"))
 
 
 def through_ends(calls: DataFrame) -> DataFrame:
@@ -261,78 +269,73 @@ def through_ends(calls: DataFrame) -> DataFrame:
     return calls.groupBy("trip_id").agg(F.count("*").alias("n"), first.alias("f"), last.alias("l")).select("trip_id", "n", F.col("f.station").alias("first_station"), F.col("f.dep").alias("first_dep"), F.col("l.station").alias("last_station"), F.col("l.arr").alias("last_arr"))
 
 
-def fold_through(trips: list[tuple], passes: int, most_gap: int) -> tuple[list[tuple], list[tuple[int, int, bool]]]:
-    """Services of trips (ord, trip_id, stations, first departure, last arrival): (members in order), and for each pass how many
-    pairs it left for being ambiguous and whether it joined any."""
-    live = {t[0]: ([t[1]], list(t[2]), t[3], t[4]) for t in sorted(trips)}
-    left = []
-    for pass_ in range(1, passes + 1):
-        starts: dict = {}
-        for k, s in live.items():
-            starts.setdefault(s[1][0], []).append(k)
-        found = []
-        for i, s in live.items():
-            for j in starts.get(s[1][-1], ()):
-                gap = live[j][2] - s[3]
-                if i != j and 0 <= gap <= most_gap and not set(s[1][:-1]) & set(live[j][1][1:]):
-                    found.append((gap, i, j))
-        seen: dict[tuple, int] = {}
-        for gap, i, j in found:
-            seen[gap, "a", i] = seen.get((gap, "a", i), 0) + 1
-            seen[gap, "b", j] = seen.get((gap, "b", j), 0) + 1
-        doubtful = {p for p in found if seen[p[0], "a", p[1]] > 1 or seen[p[0], "b", p[2]] > 1}
-        touched: set[int] = set()
-        for gap, i, j in sorted(set(found) - doubtful):
-            if i in touched or j in touched:
-                continue
-            touched |= {i, j}
-            a, b = live[i], live.pop(j)
-            live[i] = (a[0] + b[0], a[1] + b[1][1:], a[2], b[3])
-        left.append((pass_, len(doubtful), bool(touched)))
-        if not touched:
+def locally_least(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs (gap, a, b) that are taken if pairs are gone through in order and each end serves once.
+
+    In each round all pairs are taken that are first at both their ends, which no earlier pair can prevent; pairs that
+    share an end with them go. Rounds are as many as the longest chain of pairs of which each waits for the next."""
+    chosen, alive = None, pairs.select("gap", "a", "b")
+    while True:
+        ends = alive.select(F.explode(F.array("a", "b")).alias("node"), F.struct("gap", "a", "b").alias("p"))
+        first = ends.groupBy("node").agg(F.min("p").alias("p"))
+        taken = written(first.groupBy("p").count().filter("count = 2").select("p.a", "p.b"), "taken")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        node = taken.select(F.explode(F.array("a", "b")).alias("node"))
+        rest = alive.join(node.withColumnRenamed("node", "a"), "a", "left_anti").join(node.withColumnRenamed("node", "b"), "b", "left_anti")
+        alive = written(rest.select("gap", "a", "b"), "alive")
+        if alive.isEmpty():
+            return chosen
+
+
+def through_passes(trips: DataFrame, calls: DataFrame, passes: int = 5, most_gap: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(services, left): train and members of every service, and train and n, pairs that a pass left for being ambiguous.
+
+    Each pass joins pairs by gap, then trips' order, a trip once; passes go on while any pair joins. Only trips that are in
+    some candidate are kept with their stations: a service's later candidates begin where its last trip ends, so they were candidates of that trip."""
+    ends = through_ends(calls)
+    own = written(trips.filter(F.col("train").rlike("(?U)\\d")).select("trip_id", "train").join(ends.filter("n >= 2"), "trip_id"), "through")
+    pairs = written(through_candidates(trips, ends, calls, most_gap), "through-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("trip_id")).distinct()
+    stations = calls.join(nodes, "trip_id", "left_semi").groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "station"))), lambda x: x["station"]).alias("stations"))
+    live = own.join(stations, "trip_id").select(F.col("trip_id").alias("id"), "train", F.array("trip_id").alias("members"), "stations", "first_station", "first_dep", "last_station", "last_arr")
+    live, left = written(live, "through-live"), []
+    for k in range(passes):
+        left.append(pairs.filter("ambiguous").select("train"))
+        clear = pairs.filter("not ambiguous")
+        if clear.isEmpty():
             break
-    return [tuple(s[0]) for s in live.values()], left
+        chosen = written(locally_least(clear), "through-chosen")
+        x, y = live.alias("x"), live.alias("y")
+        after = x.join(chosen.select(F.col("b").alias("id")), "id", "left_anti").alias("x").join(chosen.alias("c"), F.col("x.id") == F.col("c.a"), "left").join(y, F.col("c.b") == F.col("y.id"), "left")
+        more = lambda own, other: F.when(F.col("c.b").isNull(), own).otherwise(F.concat(own, other))
+        live = written(
+            after.select(
+                "x.id", "x.train",
+                more(F.col("x.members"), F.col("y.members")).alias("members"),
+                more(F.col("x.stations"), F.slice("y.stations", F.lit(2), F.greatest(F.size("y.stations") - 1, F.lit(0)))).alias("stations"),
+                "x.first_station", "x.first_dep",
+                F.coalesce("y.last_station", "x.last_station").alias("last_station"), F.coalesce("y.last_arr", "x.last_arr").alias("last_arr"),
+            ), "through-live")
+        if k + 1 < passes:
+            a, b = live.alias("a"), live.alias("b")
+            met = a.join(b, (F.col("a.train") == F.col("b.train")) & (F.col("a.last_station") == F.col("b.first_station")) & (F.col("a.id") != F.col("b.id")))
+            met = met.withColumn("gap", F.col("b.first_dep") - F.col("a.last_arr")).filter(F.col("gap").between(0, most_gap))
+            pairs = written(_unclear(met.filter(_apart("a.stations", "b.stations")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "a.train", "gap")), "through-pairs")
+    alone = own.join(nodes, "trip_id", "left_anti").select("train", F.array("trip_id").alias("members"))
+    said = left[0]
+    for more_left in left[1:]:
+        said = said.unionByName(more_left)
+    return written(live.select("train", "members").unionByName(alone), "services"), said.groupBy("train").agg(F.count("*").alias("n"))
 
 
 def join_through(trips: DataFrame, calls: DataFrame, passes: int = 5, most_gap: int = 60) -> DataFrame:
-    """head, members: joined trips in order of travel. Candidates by gap, then trips' order; a trip joins once a pass.
-
-    A service's later candidates begin where its last trip ends, so they were candidates of that trip: decisions stay
-    within trips connected by candidates, and each such group is folded apart. Trips without one are left as they are."""
-    folded = _through_groups(trips, calls, passes, most_gap)
-    return folded.filter("members is not null").select(F.col("members")[0].alias("head"), "members")
+    """head, members: joined trips in order of travel, trips that join none alone."""
+    return through_passes(trips, calls, passes, most_gap)[0].select(F.col("members")[0].alias("head"), "members")
 
 
 def ambiguous_labels(trips: DataFrame, calls: DataFrame, passes: int = 5, most_gap: int = 60, top: int = 5) -> DataFrame:
-    """train, n: labels with the most pairs that were left for being ambiguous. Passes go on while any label joins, and a pair that stays is counted in each."""
-    rows = _through_groups(trips, calls, passes, most_gap).filter("members is null")
-    last = F.broadcast(rows.agg(F.least(F.lit(passes), F.coalesce(F.max(F.when(F.col("joined"), F.col("pass"))), F.lit(0)) + 1).alias("passes")))  # one row
-    each = rows.groupBy("train", "group").agg(F.sum("n").alias("n"), F.max("pass").alias("own"), F.max_by("n", "pass").alias("stays"))
-    counts = each.join(last, F.lit(True)).withColumn("n", F.col("n") + F.greatest(F.col("passes") - F.col("own"), F.lit(0)) * F.col("stays"))
-    return counts.groupBy("train").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("n"), "train").limit(top)
-
-
-def _through_groups(trips: DataFrame, calls: DataFrame, passes: int, most_gap: int) -> DataFrame:
-    """train and either members of a service, or of a group's pass the pairs n that it left and whether it joined any."""
-    ends = through_ends(calls)
-    own = written(trips.filter(F.col("train").rlike("(?U)\\d")).select("trip_id", "train").join(ends.filter("n >= 2"), "trip_id"), "through")
-    pairs = written(through_candidates(trips, ends, calls, most_gap).select("a", "b"), "through-pairs")
-    groups = written(connected(pairs), "through-groups")
-    rows = own.join(groups, F.col("trip_id") == F.col("node"))
-    stations = calls.join(groups.select(F.col("node").alias("trip_id")), "trip_id", "left_semi").groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "station"))), lambda x: x["station"]).alias("stations"))
-
-    def fold(frame):
-        import pandas as pd
-
-        got, left = fold_through([(r.trip_id, r.trip_id, r.stations, r.first_dep, r.last_arr) for r in frame.itertuples()], passes, most_gap)
-        train, group = frame["train"].iloc[0], frame["group"].iloc[0]
-        said = [(train, group, list(m), None, None, None) for m in got] + [(train, group, None, *x) for x in left]
-        return pd.DataFrame(said, columns=["train", "group", "members", "pass", "n", "joined"]).astype({"pass": "Int64", "n": "Int64", "joined": "boolean"})
-
-    several = rows.join(stations, "trip_id").groupBy("group").applyInPandas(fold, "train string, group long, members array<long>, pass long, n long, joined boolean")
-    none = lambda t: F.lit(None).cast(t)
-    alone = own.join(groups.select(F.col("node").alias("trip_id")), "trip_id", "left_anti").select("train", none("long").alias("group"), F.array("trip_id").alias("members"), none("long").alias("pass"), none("long").alias("n"), none("boolean").alias("joined"))
-    return written(alone.unionByName(several), "services")
+    """train, n: labels with the most pairs that were left for being ambiguous. A pair that stays is counted in each pass."""
+    return through_passes(trips, calls, passes, most_gap)[1].orderBy(F.desc("n"), "train").limit(top)
 
 
 def through_calls(services: DataFrame, calls: DataFrame) -> DataFrame:

@@ -461,17 +461,41 @@ def through_candidates(spark, sf):
     return resolve.through_candidates(tt.trips(spark, sf), resolve.through_ends(calls), calls)
 
 
-@query("through_join")
+def _joined_views(calls: str, passes: int = 4) -> dict[str, str]:
+    """Passes of joining in SQL: each goes through its pairs one by one. More passes than these do nothing on the compared tables."""
+    out = dict(
+        j_ends=f"SELECT trip_id, count(*) AS n, min_by(station, idx) AS f, min_by(dep, idx) AS fd, max_by(station, idx) AS l, max_by(arr, idx) AS la, list(station ORDER BY idx) AS s FROM {calls} GROUP BY ALL",
+        j_live1="SELECT trip_id AS ord, train, [trip_id] AS m, s, f, fd, l, la FROM j_ends JOIN tt_trips USING (trip_id) WHERE n >= 2 AND regexp_matches(train, '[0-9]')",
+    )
+    for k in range(1, passes + 1):
+        out[f"j_pairs{k}"] = f"SELECT *, count(*) OVER (PARTITION BY gap, i) > 1 OR count(*) OVER (PARTITION BY gap, j) > 1 AS unclear FROM (SELECT x.ord AS i, y.ord AS j, x.train, y.fd - x.la AS gap FROM j_live{k} x JOIN j_live{k} y ON x.train = y.train AND x.l = y.f AND x.ord <> y.ord WHERE y.fd - x.la BETWEEN 0 AND 60 AND NOT list_has_any(x.s[:-2], y.s[2:]))"
+        out[f"j_queue{k}"] = f"SELECT i, j, row_number() OVER (ORDER BY gap, i, j) AS n FROM j_pairs{k} WHERE NOT unclear"
+        out[f"j_fold{k}"] = f"SELECT 0::BIGINT AS n, []::BIGINT[] AS used, false AS took UNION ALL SELECT q.n, CASE WHEN free THEN used || [i, j] ELSE used END, free FROM (SELECT q.*, used, NOT list_contains(used, i) AND NOT list_contains(used, j) AS free FROM j_fold{k} g JOIN j_queue{k} q ON q.n = g.n + 1) q"
+        out[f"j_took{k}"] = f"SELECT i, j FROM j_fold{k} JOIN j_queue{k} USING (n) WHERE took"
+        out[f"j_live{k + 1}"] = f"SELECT x.ord, x.train, x.m || coalesce(y.m, []) AS m, x.s || coalesce(y.s[2:], []) AS s, x.f, x.fd, coalesce(y.l, x.l) AS l, coalesce(y.la, x.la) AS la FROM j_live{k} x LEFT JOIN j_took{k} c ON c.i = x.ord LEFT JOIN j_live{k} y ON y.ord = c.j WHERE x.ord NOT IN (SELECT j FROM j_took{k})"
+    counted = [f"SELECT train FROM j_pairs{k} WHERE unclear" + (f" AND EXISTS (SELECT 1 FROM j_took{k - 1})" if k > 1 else "") for k in range(1, passes + 1)]
+    out["j_left"] = " UNION ALL ".join(counted)
+    out["j_services"] = f"SELECT ord AS head, m FROM j_live{passes + 1}"
+    return out
+
+
+@query("through_join", "SELECT head, array_to_string(m, '+') AS members FROM j_services", **_joined_views("tt_stop_times"))
 def through_join(spark, sf):
-    return resolve.join_through(tt.trips(spark, sf), tt.stop_times(spark, sf))
+    joined = resolve.join_through(tt.trips(spark, sf), tt.stop_times(spark, sf))
+    return joined.select("head", F.array_join(F.col("members").cast("array<string>"), "+").alias("members"))
 
 
-@query("ambiguous_labels")
+@query("ambiguous_labels", "SELECT train, count(*) AS n FROM j_left GROUP BY train ORDER BY n DESC, train LIMIT 5", **_joined_views("j_rough"),
+    j_rough="SELECT trip_id, idx, station, arr - arr % 30 AS arr, dep - dep % 30 AS dep FROM tt_stop_times")
 def ambiguous_labels(spark, sf):
-    return resolve.ambiguous_labels(tt.trips(spark, sf), tt.stop_times(spark, sf))
+    """Times by half hours, so that gaps are often equal."""
+    half = lambda c: (F.col(c) - F.col(c) % 30).alias(c)
+    return resolve.ambiguous_labels(tt.trips(spark, sf), tt.stop_times(spark, sf).select("trip_id", "idx", "station", half("arr"), half("dep")))
 
 
-@query("through_calls")
+@query("through_calls", """SELECT head, row_number() OVER (PARTITION BY head ORDER BY pos, idx)::INT AS idx, station, arr, dep FROM (
+  SELECT head, pos, idx, station, arr, CASE WHEN ends AND pos < n THEN lead(dep) OVER (PARTITION BY head ORDER BY pos, idx) ELSE dep END AS dep, starts AND pos > 1 AS again FROM (
+    SELECT head, pos, n, c.*, idx = min(idx) OVER (PARTITION BY trip_id) AS starts, idx = max(idx) OVER (PARTITION BY trip_id) AS ends FROM (SELECT head, len(m) AS n, unnest(m) AS trip_id, generate_subscripts(m, 1) AS pos FROM j_services) JOIN tt_stop_times c USING (trip_id))) WHERE NOT again""", **_joined_views("tt_stop_times"))
 def through_calls(spark, sf):
     calls = tt.stop_times(spark, sf)
     return resolve.through_calls(resolve.join_through(tt.trips(spark, sf), calls), calls)
