@@ -12,22 +12,66 @@ from quayside.sources.scratch import written
 
 NEAR_M = 500
 CELL = 0.1
+#: Degrees of latitude of a metre, a little more than it takes.
+DEGREES = 1 / 111_000
 
 
-def proximity_pairs(stops: DataFrame, most_m: float = NEAR_M) -> DataFrame:
-    """ord, other: stops of equal folded name less than most_m apart, earlier first. Joined on name and a grid cell, so that one name everywhere is no hot key."""
-    named = stops.withColumns({"norm": merge_name(F.col("name")), "cy": F.floor(F.col("lat") / CELL), "cx": F.floor(F.col("lon") / CELL)})
-    wide = named.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)]))).withColumn("cx", F.explode(F.array(*[F.col("cx") + d for d in (-1, 0, 1)])))
-    a, b = named.alias("a"), wide.alias("b")
+def places(stops: DataFrame) -> DataFrame:
+    """norm, lat, lon, rep (the first stop) and n: stops (ord, name, lat, lon) of equal folded name and position."""
+    named = stops.filter("lat is not null and lon is not null").select("ord", merge_name(F.col("name")).alias("norm"), "lat", "lon")
+    return named.groupBy("norm", "lat", "lon").agg(F.min("ord").alias("rep"), F.count("*").alias("n"))
+
+
+def place_members(stops: DataFrame) -> DataFrame:
+    """ord and rep of every stop with a position."""
+    named = stops.withColumn("norm", merge_name(F.col("name")))
+    return named.join(places(stops).drop("n"), ["norm", "lat", "lon"]).select("ord", "rep")
+
+
+def proximity_pairs(found: DataFrame, most_m: float = NEAR_M) -> DataFrame:
+    """a, b, n_a, n_b: places of equal name less than most_m apart, by their first stops, the earlier first, and the numbers of their stops.
+
+    Joined on name and a cell of about most_m, so a place meets only what is near it, however many places bear its name."""
+    d = most_m * DEGREES
+    wide = lambda lat: F.lit(d) / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs(lat) + 2 * d)))
+    band = F.floor(F.col("lat") / d)
+    width = lambda y: wide(F.greatest(F.abs(y * d), F.abs((y + 1) * d)))
+    own = found.withColumn("y", band).withColumn("x", F.floor(F.col("lon") / width(F.col("y"))))
+    reach = found.withColumn("y", F.explode(F.array(*[band + k for k in (-1, 0, 1)]))).withColumn("w", wide(F.col("lat")))
+    cells = F.array_distinct(F.transform(F.array(-F.col("w"), F.lit(0.0), F.col("w")), lambda k: F.floor((F.col("lon") + k) / width(F.col("y")))))
+    reach = reach.withColumn("x", F.explode(F.sequence(F.array_min(cells), F.array_max(cells))))
+    a, b = own.alias("a"), reach.alias("b")
     near = flat_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) < most_m
-    pairs = a.join(b, (F.col("a.norm") == F.col("b.norm")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cx") == F.col("b.cx"))).filter(near & (F.col("a.ord") < F.col("b.ord")))
-    return pairs.select(F.col("a.ord").alias("ord"), F.col("b.ord").alias("other"))
+    met = a.join(b, (F.col("a.norm") == F.col("b.norm")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.x") == F.col("b.x"))).filter(near & (F.col("a.rep") < F.col("b.rep")))
+    return met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
 
 
 def merge_one_hop(stops: DataFrame) -> DataFrame:
     """ord, canonical: the first stop of equal name within reach, or itself."""
-    first = proximity_pairs(stops).groupBy(F.col("other").alias("ord")).agg(F.min("ord").alias("canonical"))
-    return stops.select("ord").join(first, "ord", "left").select("ord", F.coalesce("canonical", "ord").alias("canonical"))
+    found = written(places(stops), "places")
+    first = proximity_pairs(found).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("first"))
+    near = stops.select("ord").join(place_members(stops), "ord", "left").join(first, "rep", "left")
+    return near.select("ord", F.coalesce("first", "rep", "ord").alias("canonical"))
+
+
+def first_independent(pairs: DataFrame) -> DataFrame:
+    """node, canonical: for pairs (a, b), a before b, the first node that b may join, of those nodes that join none.
+
+    A node joins the first of its earlier neighbours that joins none itself. In each round nodes without an undecided earlier neighbour are settled
+    and their later neighbours are known to join; nodes in no pair join none. Chains of which each waits for the one before take as many rounds."""
+    pairs = written(pairs.select("a", "b"), "near")
+    alive, joined = pairs, pairs.select(F.col("b").alias("node")).limit(0)
+    while not alive.isEmpty():
+        settled = alive.select(F.col("a").alias("node")).distinct().join(alive.select(F.col("b").alias("node")), "node", "left_anti")
+        joins = written(alive.join(settled.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "joins")
+        joined = joined.unionByName(joins)
+        rest = alive
+        for c in ("a", "b"):
+            rest = rest.join(joins.withColumnRenamed("node", c), c, "left_anti")
+        # what is settled has no pair left: its later neighbours join, and it has no earlier one
+        alive = written(rest.select("a", "b"), "near")
+    makers = pairs.join(joined.withColumnRenamed("node", "a"), "a", "left_anti")
+    return makers.join(joined.withColumnRenamed("node", "b"), "b", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("canonical"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -128,21 +172,20 @@ def merge_stations(stops: DataFrame, aliases: Aliases, feed_order: dict[str, int
     a chain of near stops isn't one station. A stop without a position joins its alias's station if there is one, else the
     station of its name if just one has it, else none: it never makes a station and isn't in mapping.
 
-    stations: id, name, country, lat, lon, ord; mapping: feed, stop_id, station; issues: kind, detail. Decisions never
-    leave a block of stops that may see each other: equal names within reach, codes, and what aliases name. Blocks are
-    folded apart, in order."""
+    stations: id, name, country, lat, lon, ord; mapping: feed, stop_id, station; issues: kind, detail. Stops are decided
+    in rounds of joins (see _free_stations). Decisions never leave a block of stops that may see each other: equal names within
+    reach, codes, and what aliases name; only blocks that aliases, which are configuration, touch are folded in order, each in one task."""
     spark = stops.sparkSession
     rows = written(stops.withColumn("norm", merge_name(F.col("name"))), "stops")
     real = rows.filter("lat is not null and lon is not null")
-    blocks = connected(_block_links(real, aliases))
-
-    def fold(frame):
-        import pandas as pd
-
-        cells = [tuple(None if v is None or v != v else v for v in r) for r in frame[["ord", "feed", "stop_id", "norm", "code", "lat", "lon"]].itertuples(index=False)]
-        return pd.DataFrame(fold_block(cells, aliases, feed_order), columns=["ord", "canonical", "first_ord", "target", "hits"])
-
-    folded = written(real.join(blocks, F.col("ord") == F.col("node")).groupBy("group").applyInPandas(fold, _FOLDED), "folded")
+    if aliases.entries:
+        blocks = written(connected(_block_links(real, aliases)), "blocks")
+        named = blocks.join(_alias_tokens(real, aliases).select(F.col("ord").alias("node")), "node", "left_semi").select("group").distinct()
+        apart = blocks.join(named, "group", "left_semi").select(F.col("node").alias("ord"), "group")
+        folded = _free_stations(real.join(apart.select("ord"), "ord", "left_anti")).unionByName(real.join(apart, "ord").groupBy("group").applyInPandas(_folding(aliases, feed_order), _FOLDED))
+    else:
+        folded = _free_stations(real)
+    folded = written(folded, "folded")
     makers = folded.groupBy("canonical").agg(F.min("first_ord").alias("ord"))
     stations = written(makers.join(real.select("ord", "name", "country", "lat", "lon"), "ord").select(F.col("canonical").alias("id"), "name", "country", "lat", "lon", "ord"), "stations")
     mapping = folded.join(real.select("ord", "feed", "stop_id"), "ord").select("feed", "stop_id", F.col("canonical").alias("station"), "ord")
@@ -171,25 +214,58 @@ def _block_links(real: DataFrame, aliases: Aliases) -> DataFrame:
     token = lambda kind, *c: F.concat_ws("|", F.lit(kind), *c)
     tokens = near.select("ord", token("n", "norm", F.col("y").cast("string"), F.col("x").cast("string")).alias("token"))
     tokens = tokens.unionByName(real.filter("code is not null").select("ord", token("i", "code").alias("token")))
-    if aliases.entries:
-        names = {n[:2] for t in aliases.entries.values() if (n := Aliases.named(t))}
-        ids = {t for t in aliases.entries.values() if not Aliases.named(t)}
-        conf = []  # what stops of a key see
-        for key, target in aliases.entries.items():
-            ref, own = Aliases.named(target), Aliases.named(key)
-            seen = "|".join(("r", *ref[:2])) if ref else f"i|{target}"
-            conf.append((*(own[:2] if own else (None, None)), None if own else key, seen))
-        conf = F.broadcast(real.sparkSession.createDataFrame(conf, "k_feed string, k_norm string, k_id string, token string"))  # configuration
-        hit = ((F.col("k_feed") == F.col("feed")) & (F.col("k_norm") == F.col("norm"))) | (F.col("k_id") == F.concat_ws(":", "feed", "stop_id"))
-        tokens = tokens.unionByName(real.join(conf, hit).select("ord", "token"))
-        if names:
-            tokens = tokens.unionByName(real.withColumn("token", token("r", "feed", "norm")).filter(F.col("token").isin(["|".join(("r", *n)) for n in names])).select("ord", "token"))
-        if ids:
-            tokens = tokens.unionByName(real.withColumn("id", F.concat_ws(":", F.lit("x"), "feed", "stop_id")).filter(F.col("id").isin(sorted(ids))).select("ord", token("i", "id").alias("token")))
-    tokens = written(tokens, "tokens")
+    tokens = written(tokens.unionByName(_alias_tokens(real, aliases)), "tokens")
     return tokens.join(tokens.groupBy("token").agg(F.min("ord").alias("a")), "token").select("a", F.col("ord").alias("b")).distinct()
 
 
+def _alias_tokens(real: DataFrame, aliases: Aliases) -> DataFrame:
+    """(ord, token) of stops that aliases name, and of stops that their targets name."""
+    token = lambda kind, *c: F.concat_ws("|", F.lit(kind), *c)
+    names = {n[:2] for t in aliases.entries.values() if (n := Aliases.named(t))}
+    ids = {t for t in aliases.entries.values() if not Aliases.named(t)}
+    conf = []  # what stops of a key see
+    for key, target in aliases.entries.items():
+        ref, own = Aliases.named(target), Aliases.named(key)
+        seen = "|".join(("r", *ref[:2])) if ref else f"i|{target}"
+        conf.append((*(own[:2] if own else (None, None)), None if own else key, seen))
+    conf = F.broadcast(real.sparkSession.createDataFrame(conf, "k_feed string, k_norm string, k_id string, token string"))  # configuration
+    hit = ((F.col("k_feed") == F.col("feed")) & (F.col("k_norm") == F.col("norm"))) | (F.col("k_id") == F.concat_ws(":", "feed", "stop_id"))
+    tokens = real.join(conf, hit).select("ord", "token")
+    if names:
+        tokens = tokens.unionByName(real.withColumn("token", token("r", "feed", "norm")).filter(F.col("token").isin(["|".join(("r", *n)) for n in names])).select("ord", "token"))
+    if ids:
+        known = F.concat_ws(":", F.lit("x"), "feed", "stop_id")
+        tokens = tokens.unionByName(real.withColumn("id", known).filter(F.col("id").isin(sorted(ids))).select("ord", token("i", "id").alias("token")))
+        # a target may be a code
+        tokens = tokens.unionByName(real.filter(F.col("code").isin(sorted(ids))).select("ord", token("i", "code").alias("token")))
+    return tokens
+
+
+def _folding(aliases: Aliases, feed_order: dict[str, int]):
+    def fold(frame):
+        import pandas as pd
+
+        cells = [tuple(None if v is None or v != v else v for v in r) for r in frame[["ord", "feed", "stop_id", "norm", "code", "lat", "lon"]].itertuples(index=False)]
+        return pd.DataFrame(fold_block(cells, aliases, feed_order), columns=["ord", "canonical", "first_ord", "target", "hits"])
+
+    return fold
+
+
+def _free_stations(real: DataFrame) -> DataFrame:
+    """ord, canonical, first_ord, target, hits of stops that no alias names.
+
+    The first stop of each code decides for all of it, and the first of each place (name and position) for the place, since later ones see
+    what it saw first. What is left are pairs of places, of which each joins the first station within reach or makes one."""
+    first = real.filter("code is not null").groupBy("code").agg(F.min("ord").alias("head"))
+    heads = written(real.join(first, "code", "left").withColumn("head", F.coalesce("head", "ord")).select("ord", "head", "feed", "stop_id", "norm", "code", "lat", "lon"), "heads")
+    free = heads.filter("ord = head")
+    found = written(free.groupBy("norm", "lat", "lon").agg(F.min("ord").alias("rep"), F.count("*").alias("n")), "places")
+    joins = written(first_independent(proximity_pairs(found)), "joins")
+    at = free.join(found.drop("n"), ["norm", "lat", "lon"]).join(joins.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("ord").alias("head"), F.coalesce("canonical", "rep").alias("maker"))
+    ids = free.select(F.col("ord").alias("maker"), F.coalesce("code", F.concat_ws(":", F.lit("x"), "feed", "stop_id")).alias("canonical"))
+    return heads.select("ord", "head").join(at, "head").join(ids, "maker").select("ord", "canonical", F.col("maker").alias("first_ord"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("array<string>").alias("hits"))
+
+
 def _stub_targets(spark, stubs: DataFrame, aliases: Aliases, landed: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, by_alias) of stops without a position whose alias names a station, and what their targets by name met."""
     told = "ord long, feed string, stop_id string, target string, hits array<string>"
@@ -213,11 +289,12 @@ def _stub_targets(spark, stubs: DataFrame, aliases: Aliases, landed: DataFrame,
     return plain.unionByName(met.filter(F.size("hits") > 0).select("ord", F.col("hits")[0].alias("by_alias"))), met
 
 
-def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}") -> DataFrame:
-    """ord, canonical: for stops (ord, stop_id, name, lat, lon) of one feed without aliases, the ord of the stop that made the station it joins."""
-    rows = stops.select("ord", F.lit("").alias("feed"), F.col("ord").cast("string").alias("stop_id"), "name", code_of(F.col("stop_id"), code_pattern).alias("code"), F.lit(None).cast("string").alias("country"), "lat", "lon")
-    stations, mapping, _ = merge_stations(rows, Aliases({}), {"": 0})
-    return mapping.join(stations.select(F.col("id").alias("station"), F.col("ord").alias("canonical")), "station").select(F.col("stop_id").cast("long").alias("ord"), "canonical")
+def merge_in_order(stops: DataFrame, code_pattern: str = "[0-9]{7}", registry: Column | None = None) -> DataFrame:
+    """ord, canonical: for stops (ord, stop_id, name, lat, lon) without aliases, the ord of the stop that made the station it joins. Registries, where given, are merged each on its own."""
+    own = lambda c: c if registry is None else F.concat_ws("|", registry.cast("string"), c)
+    code = code_of(F.col("stop_id"), code_pattern)
+    rows = stops.filter("lat is not null and lon is not null").select("ord", F.lit("").alias("feed"), F.col("ord").cast("string").alias("stop_id"), own(merge_name(F.col("name"))).alias("norm"), F.when(code.isNotNull(), own(code)).alias("code"), "lat", "lon")
+    return _free_stations(rows).select("ord", F.col("first_ord").alias("canonical"))
 
 
 def renamed(stations: DataFrame, names: dict[str, str], mapping: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,5 +512,7 @@ def match_counts(stations: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def duplicates(stations: DataFrame) -> DataFrame:
-    """Pairs of stations that look like one and weren't merged."""
-    return proximity_pairs(stations)
+    """ord, other: stations that look like one and weren't merged. Those of one place stand with its first, and pairs of places by their first."""
+    found = written(places(stations), "places")
+    same = place_members(stations).filter("ord <> rep").select(F.col("rep").alias("ord"), F.col("ord").alias("other"))
+    return same.unionByName(proximity_pairs(found).select(F.col("a").alias("ord"), F.col("b").alias("other")))

@@ -410,7 +410,7 @@ def validate_graph(spark, sf):
 
 _norm = "regexp_replace(replace(regexp_replace(lower(strip_accents(replace(replace(name, 'Ł', 'L'), 'ł', 'l'))), '[^a-z0-9]', '', 'g'), 'hauptbahnhof', 'hbf'), '^(.+)bahnhof$', '\\1')"
 _dist = "6371000.0 * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2))"
-_stops = dict(m_stops=f"SELECT feed * 1000000 + stop_ord AS ord, stop_id, name, lat, lon, {_norm} AS norm FROM tt_raw_stops", m_pairs=f"SELECT a.ord, b.ord AS other FROM m_stops a JOIN m_stops b ON a.norm = b.norm AND a.ord < b.ord WHERE {_dist} < 500")
+_stops = dict(m_stops=f"SELECT feed * 1000000 + stop_ord AS ord, stop_id, name, lat, lon, {_norm} AS norm FROM tt_raw_stops", m_places="SELECT norm, lat, lon, min(ord) AS rep, count(*) AS n FROM m_stops GROUP BY ALL", m_pairs=f"SELECT a.ord, b.ord AS other FROM m_stops a JOIN m_stops b ON a.norm = b.norm AND a.ord < b.ord WHERE {_dist} < 500")
 
 
 def _raw(spark, sf):
@@ -428,14 +428,15 @@ def uic_extract(spark, sf):
     return tt.raw_stops(spark, sf).select("stop_id", text.code_of(F.col("stop_id")).alias("code")).distinct()
 
 
-@query("proximity_pairs", "SELECT ord, other FROM m_pairs", **_stops)
+@query("proximity_pairs", "SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b FROM m_places a JOIN m_places b ON a.norm = b.norm AND a.rep < b.rep WHERE " + _dist + " < 500", **_stops)
 def proximity_pairs(spark, sf):
-    return resolve.proximity_pairs(_raw(spark, sf))
+    """Pairs of places; place_members says which stops they stand for."""
+    return resolve.proximity_pairs(resolve.places(_raw(spark, sf)))
 
 
-@query("unmerged_duplicates", "SELECT ord, other FROM m_pairs", **_stops)
-def unmerged_duplicates(spark, sf):
-    return resolve.duplicates(_raw(spark, sf))
+@query("place_members", "SELECT ord, min(ord) OVER (PARTITION BY norm, lat, lon) AS rep FROM m_stops", **_stops)
+def place_members(spark, sf):
+    return resolve.place_members(_raw(spark, sf))
 
 
 @query("station_merge_onehop", "SELECT s.ord, coalesce(min(p.ord), s.ord) AS canonical FROM m_stops s LEFT JOIN m_pairs p ON p.other = s.ord GROUP BY s.ord", **_stops)
@@ -443,11 +444,33 @@ def station_merge_onehop(spark, sf):
     return resolve.merge_one_hop(_raw(spark, sf))
 
 
-@query("station_merge_greedy")
+def _greedy(within: str) -> dict[str, str]:
+    """The merge in SQL: stops one by one, each with the stations made so far. within: the registry that a stop belongs to."""
+    near = _dist.replace("a.", "x.").replace("b.", "q.")
+    return dict(
+        g_stops=f"SELECT *, {within} AS reg, CASE WHEN length(stop_id) = 10 THEN substr(stop_id, 4, 7) END AS code FROM m_stops",
+        g_heads="SELECT *, CASE WHEN code IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY reg, code) END AS head FROM g_stops",
+        g_queue="SELECT *, row_number() OVER (ORDER BY ord) AS n FROM g_heads WHERE ord = head",
+        g_fold=f"SELECT 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::BIGINT AS canonical, []::STRUCT(o BIGINT, reg BIGINT, norm VARCHAR, lat DOUBLE, lon DOUBLE)[] AS made UNION ALL SELECT q.n, q.ord, coalesce(hit, q.ord), CASE WHEN hit IS NULL THEN list_append(made, {{'o': q.ord, 'reg': q.reg, 'norm': q.norm, 'lat': q.lat::DOUBLE, 'lon': q.lon::DOUBLE}}) ELSE made END FROM (SELECT q.*, made, list_filter(made, lambda x: x.reg = q.reg AND x.norm = q.norm AND {near} < 500)[1].o AS hit FROM g_fold g JOIN g_queue q ON q.n = g.n + 1) q",
+        g_merged="SELECT h.ord, f.canonical, h.reg FROM g_heads h JOIN g_fold f ON f.ord = h.head",
+    )
+
+
+@query("station_merge_greedy", "SELECT ord, canonical FROM g_merged", **_stops, **_greedy("0::BIGINT"))
 def station_merge_greedy(spark, sf):
     return resolve.merge_in_order(_raw(spark, sf))
 
 
+@query("unmerged_duplicates", f"SELECT r.ord, m.ord AS other FROM g_made m JOIN g_reps r USING (norm, lat, lon) WHERE m.ord <> r.ord UNION ALL SELECT a.ord, b.ord FROM g_reps a JOIN g_reps b ON a.norm = b.norm AND a.ord < b.ord WHERE {_dist} < 500", **_stops, **_greedy("ord // 1000000"),
+    g_made="SELECT ord, norm, lat, lon FROM m_stops WHERE ord IN (SELECT canonical FROM g_merged)", g_reps="SELECT norm, lat, lon, min(ord) AS ord FROM g_made GROUP BY ALL")
+def unmerged_duplicates(spark, sf):
+    """Stations of feeds that were merged each on its own."""
+    raw = written(_raw(spark, sf), "raw")
+    makers = resolve.merge_in_order(raw, registry=F.col("feed")).select(F.col("canonical").alias("ord")).distinct()
+    made = written(makers.join(raw, "ord"), "made")
+    return resolve.duplicates(made)
+
+
 _thru = dict(
     h_ends="SELECT trip_id, count(*) AS n, min_by(station, idx) AS f, min_by(dep, idx) AS fd, max_by(station, idx) AS l, max_by(arr, idx) AS la, list(station ORDER BY idx) AS s FROM tt_stop_times GROUP BY ALL",
     h_own="SELECT * FROM h_ends JOIN tt_trips USING (trip_id) WHERE n >= 2 AND regexp_matches(train, '[0-9]')",

@@ -55,6 +55,52 @@ def test_blocks_decide_as_one_fold_over_all_stops(spark):
         assert mapping == want and set(stations) == set(want.values())
 
 
+def test_stops_without_aliases_are_decided_in_rounds_as_one_by_one(spark):
+    for seed in range(3):
+        r = random.Random(seed + 10)
+        rows = []
+        for k in range(250):
+            code = str(8_000_000 + r.randrange(40)) if r.random() < 0.4 else None
+            # chains of places less than 500 m apart, and repeated ones
+            rows.append((r.choice("abc"), str(k), r.choice(["Nord", "Süd Hbf", "Sud Hauptbahnhof"]), code, 50 + r.randrange(30) * 0.002, 8 + r.randrange(5) * 0.0035))
+        rows.sort(key=lambda x: x[0])
+        stations, mapping, issues = merged(spark, rows)
+        cells = [(k, f, i, text.merged_text(n), c, y, x) for k, (f, i, n, c, y, x) in enumerate(rows)]
+        want = {(rows[o][0], rows[o][1]): s for o, s, *_ in resolve.fold_block(cells, resolve.Aliases({}), {"a": 0, "b": 1, "c": 2})}
+        assert mapping == want and set(stations) == set(want.values()) and not issues
+
+
+def test_pairs_of_places_stand_for_all_pairs_of_stops(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(300):
+        y = r.choice((-60.0, 0.0, 50.0, 71.0))
+        rows.append((k, r.choice(("A", "B")), y + r.randrange(-6, 7) * 0.0011, r.choice((-0.004, 0.0, 8.0)) + r.randrange(6) * 0.003))
+    stops = spark.createDataFrame(rows, "ord long, name string, lat double, lon double")
+    rep = {x.ord: x.rep for x in resolve.place_members(stops).collect()}
+    near = {(x.a, x.b) for x in resolve.proximity_pairs(resolve.places(stops)).collect()}
+    for i, n, y, x in rows:
+        for j, m, v, w in rows:
+            if i < j and n == m:
+                a, b = sorted((rep[i], rep[j]))
+                assert (resolve._metres((y, x), (v, w)) < 500) == (a == b or (a, b) in near)
+    once = {x.ord: x.canonical for x in resolve.merge_one_hop(stops).collect()}
+    assert once == {i: min([j for j, m, v, w in rows if m == n and resolve._metres((y, x), (v, w)) < 500]) for i, n, y, x in rows}
+
+
+def test_first_independent_nodes_of_random_graphs(spark):
+    r = random.Random(3)
+    pairs = sorted({tuple(sorted(r.sample(range(80), 2))) for _ in range(160)} | {(k, k + 1) for k in range(100, 130)})
+    makers, want = [], {}
+    for node in sorted({x for p in pairs for x in p}):
+        hit = [m for m in makers if (m, node) in pairs]
+        if hit:
+            want[node] = hit[0]
+        else:
+            makers.append(node)
+    assert {x.node: x.canonical for x in resolve.first_independent(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+
+
 def test_connected_takes_long_chains(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, 1001)]
     got = {r.node: r.group for r in resolve.connected(spark.createDataFrame(links, "a long, b long")).collect()}
