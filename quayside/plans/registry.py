@@ -249,6 +249,56 @@ def covered_days(spark, sf):
     return frequency.covered_days(sets, valid)
 
 
+#: In SQL a week's stations are others than those of any other week, so one search over all of them is one for each week.
+_by_week = dict(
+    **{k: v for k, v in _daily.items() if k != "d_direct"},
+    tt_slice="SELECT trip_id, idx, station + day_ord * 1000000 AS station, arr, dep FROM d_calls",
+    tt_footpaths="SELECT a + day_ord * 1000000 AS a, b + day_ord * 1000000 AS b, minutes, mode, ord FROM (" + tt.VIEWS["tt_footpaths"] + ") f, d_weeks",
+    w_journeys="SELECT origin // 1000000 AS day_ord, origin % 1000000 AS origin, dest % 1000000 AS dest, trains, duration, floor, k FROM o_journeys",
+    w_best="SELECT origin, dest, trains, duration, day_ord FROM (SELECT *, row_number() OVER (PARTITION BY origin, dest, trains ORDER BY duration, day_ord) AS rn FROM w_journeys) WHERE rn = 1",
+    w_tiers="SELECT origin, dest, string_agg(trains || ':' || duration || ':' || day_ord, '|' ORDER BY trains) AS tiers FROM (SELECT *, min(duration) OVER (PARTITION BY origin, dest ORDER BY trains ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w_best) WHERE b IS NULL OR duration < b GROUP BY ALL",
+    w_direct="SELECT origin // 1000000 AS day_ord, origin % 1000000 AS origin, dest % 1000000 AS dest, count(*) AS directs FROM o_evidence WHERE arr1 IS NOT NULL GROUP BY ALL",
+    w_pairs="SELECT DISTINCT day_ord, origin, dest FROM w_journeys",
+    w_months="SELECT origin, dest, string_agg(m, ',' ORDER BY f) AS months FROM (SELECT origin, dest, strftime(day, '%b') AS m, min(day) AS f FROM w_pairs JOIN d_weeks USING (day_ord) GROUP BY ALL) GROUP BY ALL",
+    w_facts="SELECT origin, dest, count(*) AS active_days, count(directs) AS direct_days, coalesce(sum(directs), 0)::BIGINT AS direct_trips FROM w_pairs LEFT JOIN w_direct USING (day_ord, origin, dest) GROUP BY ALL",
+    w_counts="SELECT origin % 1000000 AS origin, dest % 1000000 AS dest, t AS tier, ((departure // 60) % 24)::INT AS h, count(*) AS n FROM o_useful, range(1, 4) AS r(t) WHERE t >= tier GROUP BY ALL",
+    w_bins="SELECT k.origin, k.dest, k.tier, array_to_string(list(coalesce(n, 0) ORDER BY r.h), ',') AS bins FROM (SELECT DISTINCT origin, dest, tier FROM w_counts) k CROSS JOIN range(0, 24) AS r(h) LEFT JOIN w_counts c ON c.origin = k.origin AND c.dest = k.dest AND c.tier = k.tier AND c.h = r.h GROUP BY ALL",
+    w_wide="SELECT origin, dest, max(CASE WHEN tier = 1 THEN bins END) AS t1, max(CASE WHEN tier = 2 THEN bins END) AS t2, max(CASE WHEN tier = 3 THEN bins END) AS t3 FROM w_bins GROUP BY ALL",
+    w_hist="SELECT origin, dest, concat_ws('|', '1:' || t1, '2:' || CASE WHEN t1 IS NULL OR t2 <> t1 THEN t2 END, '3:' || CASE WHEN NOT coalesce(t3 = coalesce(CASE WHEN t1 IS NULL OR t2 <> t1 THEN t2 END, t1), false) THEN t3 END) AS hours FROM w_wide",
+)
+
+
+def _week_calls(spark, sf):
+    """Calls of all orders, with the week (day) that each runs in; weeks stand for sampled days."""
+    weeks = tt.orders_in(spark, sf).select(F.col("o_orderkey").alias("trip_id"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("day"))
+    return tt.stop_times(spark, sf).join(weeks, "trip_id")
+
+
+@query("journeys_by_week", "SELECT * FROM w_journeys", **_by_week)
+def journeys_by_week(spark, sf):
+    """One search over all weeks, origins and floors."""
+    found = reach.journeys(_week_calls(spark, sf), origins(spark, sf), tt.footpaths(spark, sf))
+    return found.join(_weeks(spark, sf), "day").select("day_ord", "origin", "dest", "trains", "duration", "floor", "k")
+
+
+@query("destinations_over_days", """SELECT f.origin, f.dest, tiers, (SELECT count(*) FROM d_weeks) AS requested_sample_days, active_days, direct_days, direct_trips, months, CASE WHEN direct_days > 0 THEN round_even(direct_trips / direct_days, 1) END AS direct_per_active_day,
+  CASE WHEN active_days = (SELECT count(*) FROM d_weeks) THEN 'year_round' ELSE 'limited' END AS availability, coalesce(hours, '') AS hours FROM w_facts f JOIN w_tiers USING (origin, dest) JOIN w_months USING (origin, dest) LEFT JOIN w_hist USING (origin, dest)""", **_by_week)
+def destinations_over_days(spark, sf):
+    """What a reader is told of each destination over all weeks: journeys by trains, days, direct trips, months and hours."""
+    calls, paths, weeks = written(_week_calls(spark, sf), "weeks"), tt.footpaths(spark, sf), _weeks(spark, sf)
+    found = written(reach.journeys(calls, origins(spark, sf), paths).join(weeks, "day"), "journeys")
+    evidence = written(reach.evidence(calls, origins(spark, sf), paths), "evidence")
+    text_of = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
+    parts = lambda order, t, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, t.alias("t")))), lambda x: x["t"]), "|").alias(name)  # three tiers
+    tiers = frequency.best_over_days(found).groupBy("origin", "dest").agg(parts("trains", text_of("trains", "duration", "day_ord"), "tiers"))
+    daily = found.select("day", "origin", "dest").distinct().join(frequency.direct_counts(evidence), ["day", "origin", "dest"], "left")
+    daily = daily.select("day", "origin", "dest", F.lit(1).alias("journeys"), F.coalesce("directs", F.lit(0).cast("long")).alias("directs"))
+    facts = frequency.summary(daily, weeks.select("day", F.lit(True).alias("covered")))
+    hours = frequency.histogram(reach.useful(evidence).drop("day")).groupBy("origin", "dest").agg(parts("tier", F.concat_ws(":", F.col("tier").cast("string"), F.array_join(F.col("bins").cast("array<string>"), ",")), "hours"))
+    out = facts.join(tiers, ["origin", "dest"]).join(hours, ["origin", "dest"], "left")
+    return out.select("origin", "dest", "tiers", "requested_sample_days", "active_days", "direct_days", "direct_trips", "months", "direct_per_active_day", "availability", F.coalesce("hours", F.lit("")).alias("hours"))
+
+
 _ends = dict(t_ends="SELECT trip_id, count(*) AS n, min_by(station, idx) AS f, max_by(station, idx) AS l FROM tt_stop_times GROUP BY ALL")
 
 
@@ -566,17 +616,17 @@ def min_trains(spark, sf):
     return client.fewest_trains(reach_journeys(spark, sf), most_minutes=480)
 
 
-_hops = dict(v_hops="SELECT trip_id, station AS a, lead(station) OVER w AS b, lead(arr) OVER w - dep AS minutes FROM tt_slice WINDOW w AS (PARTITION BY trip_id ORDER BY idx)")
+_hops = dict(v_hops="SELECT trip_id, station AS a, lead(station) OVER w AS b, lead(arr) OVER w - dep AS minutes FROM tt_stop_times WINDOW w AS (PARTITION BY trip_id ORDER BY idx)")
 
 
 @query("segments_dedup", "SELECT least(a::VARCHAR, b::VARCHAR) || '|' || greatest(a::VARCHAR, b::VARCHAR) AS hop, min(minutes) AS minutes, count(*) AS n, min(trip_id) AS first_trip FROM v_hops WHERE a <> b GROUP BY ALL", **_hops)
 def segments_dedup(spark, sf):
-    return views.segments(views.hops(june(spark, sf)))
+    return views.segments(views.hops(tt.stop_times(spark, sf)))
 
 
 @query("hop_weights", "SELECT a, b, count(*) AS w FROM v_hops WHERE a <> b GROUP BY ALL", **_hops)
 def hop_weights(spark, sf):
-    return views.hop_weights(views.hops(june(spark, sf)))
+    return views.hop_weights(views.hops(tt.stop_times(spark, sf)))
 
 
 @query("hop_curves")
@@ -584,14 +634,14 @@ def hop_curves(spark, sf):
     return views.curves(views.hops(june(spark, sf)), tt.stations(spark, sf))
 
 
-@query("leg_segments", "SELECT trip_id, station AS a, b, minutes FROM (SELECT trip_id, station, lead(station) OVER w AS b, lead(arr) OVER w - dep AS minutes FROM tt_slice WHERE station % 9 <> 0 WINDOW w AS (PARTITION BY trip_id ORDER BY idx)) WHERE b IS NOT NULL")
+@query("leg_segments", "SELECT trip_id, station AS a, b, minutes FROM (SELECT trip_id, station, lead(station) OVER w AS b, lead(arr) OVER w - dep AS minutes FROM tt_stop_times WHERE station % 9 <> 0 WINDOW w AS (PARTITION BY trip_id ORDER BY idx)) WHERE b IS NOT NULL")
 def leg_segments(spark, sf):
-    return views.hops(june(spark, sf).filter("station % 9 <> 0")).select("trip_id", "a", "b", "minutes")
+    return views.hops(tt.stop_times(spark, sf).filter("station % 9 <> 0")).select("trip_id", "a", "b", "minutes")
 
 
-@query("path_cumulative_km", "SELECT trip_id, idx, round(sum(coalesce(d, 0)) OVER (PARTITION BY trip_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS km FROM (SELECT trip_id, idx, sqrt(pow((lon - lag(lon) OVER w) * 111.32 * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 111.32, 2)) AS d FROM tt_slice JOIN tt_stations ON id = station WINDOW w AS (PARTITION BY trip_id ORDER BY idx))")
+@query("path_cumulative_km", "SELECT trip_id, idx, round(sum(coalesce(d, 0)) OVER (PARTITION BY trip_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 6) AS km FROM (SELECT trip_id, idx, sqrt(pow((lon - lag(lon) OVER w) * 111.32 * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 111.32, 2)) AS d FROM tt_stop_times JOIN tt_stations ON id = station WINDOW w AS (PARTITION BY trip_id ORDER BY idx))")
 def path_cumulative_km(spark, sf):
-    return views.along_paths(june(spark, sf), tt.stations(spark, sf)).withColumn("km", F.round("km", 6))
+    return views.along_paths(tt.stop_times(spark, sf), tt.stations(spark, sf)).withColumn("km", F.round("km", 6))
 
 
 @query("search_ranked", "SELECT stop_ord AS id, name, CASE WHEN starts_with(lower(strip_accents(name)), 'zur') THEN 0 ELSE 1 END AS tier, stop_ord % 17 AS n_dest FROM tt_raw_stops WHERE feed = 0 AND stop_ord % 13 <> 0 AND contains(lower(strip_accents(name)), 'zur') ORDER BY tier, CASE WHEN stop_ord % 10 = 0 THEN 0 ELSE 1 END, stop_ord % 17 DESC, length(name), stop_ord LIMIT 10")
