@@ -1,10 +1,14 @@
 """Quality rules with adaptive thresholds. Native: SQL functions only.
 
-Four measures of each text are sketched for every language and source in mergeable quantile sketches. A
-group's fences stand FENCE spreads above its upper quartile (for word length, also below its lower one); a
-spread is the interquartile range or, where a group is more even than prose is, a least spread. The fences
+Four measures of each text are sketched for every language and source in mergeable quantile sketches, and a
+group's own quantiles are its fences. Measures that vary in any prose (the share of signs among the characters of words, and
+words' mean length, the latter on both sides) are fenced FENCE interquartile ranges beyond the quartile; measures that are zero in most
+texts (repeated lines and words) at TAIL times the 99th percentile. No fixed cut-off and no least spread decides: a group
+of fewer than LEAST_ROWS rows, or one whose sketch says nothing of a measure (no range between its quartiles, a 99th percentile of zero), takes
+the fence of its language's merged sketches, then of all; where these say nothing either, there is none. The fences
 are joined back, and a text outside any fence of its group goes.
-Groups of fewer than LEAST_ROWS rows take the fences of their language's merged sketches, then of all.
+
+Sketches hold up to SKETCH values of a group exactly; beyond, ranks are off by about 0.1 % of a group's rows (at most 0.2 % in the test of 60,000).
 
 Cases: null and empty texts have no words and fail the base; null language and source are groups of their
 own; repeated rows are judged each; a measure at its fence is within; long texts are read whole, in memory of their words
@@ -23,13 +27,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
-FENCE = 3.0
+#: Characters of words that are no letters or digits, in ASCII.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Interquartile ranges beyond a quartile, and times the 99th percentile.
+FENCE, TAIL = 5.0, 2.0
 LEAST_ROWS = 50
 SENT_GROUPS = 100_000
 #: Items of a sketch's level; up to so many values of a group are held exactly.
 SKETCH = 4096
-#: Measures of a text and their least spreads.
-MEASURES = {"symbol_rate": 0.02, "dup_line_rate": 0.12, "repeat_rate": 0.1, "word_length": 0.5}
+#: Measures with a range of their own, those that are mostly zero, and those that are fenced below, too.
+RANGED, RARE = ("sign_rate", "word_length"), ("dup_line_rate", "repeat_rate")
+MEASURES = ("sign_rate", "dup_line_rate", "repeat_rate", "word_length")
 TWO_SIDED = ("word_length",)
 
 
@@ -46,6 +54,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", SIGNS, ""))).cast("long").alias("n_signs"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.col("hashes")).alias("windows"),
@@ -63,7 +72,7 @@ def repeat_words(rows: DataFrame) -> DataFrame:
 def with_measures(rows: DataFrame) -> DataFrame:
     words = F.greatest("n_words", F.lit(1))
     return rows.withColumns({
-        "symbol_rate": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "sign_rate": F.col("n_signs") / F.greatest(F.col("word_chars"), F.lit(1)),
         "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_rate": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
@@ -82,9 +91,15 @@ def fences(rows: DataFrame) -> DataFrame:
     all_ = low.join(mid, F.col("lang").eqNullSafe(F.col("mid_lang")), "left").join(F.broadcast(top), F.lit(True), "left")  # one row
 
     def fence(m: str, side: int) -> Column:
-        pick = F.when(F.col("n") >= LEAST_ROWS, F.col(m)).when(F.col("n_mid") >= LEAST_ROWS, F.col(f"{m}_mid")).otherwise(F.col(f"{m}_top"))
-        q = lambda p: F.call_function("kll_sketch_get_quantile_double", pick, F.lit(p).cast("double"))
-        return q(0.5 + 0.25 * side) + side * FENCE * F.greatest(F.lit(MEASURES[m]), q(0.75) - q(0.25))
+        out = F.lit(None).cast("double")
+        for sketch, n in ((f"{m}_top", None), (f"{m}_mid", "n_mid"), (m, "n")):  # the last that says something is first
+            q = lambda p: F.call_function("kll_sketch_get_quantile_double", F.col(sketch), F.lit(p).cast("double"))  # noqa: B023, E731
+            if m in RANGED:
+                says, at = q(0.75) > q(0.25), q(0.5 + 0.25 * side) + side * FENCE * (q(0.75) - q(0.25))
+            else:
+                says, at = q(0.99) > 0, TAIL * q(0.99)
+            out = F.when(says & (F.lit(True) if n is None else F.col(n) >= LEAST_ROWS), at).otherwise(out)
+        return out
 
     return all_.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[fence(m, 1).alias(f"{m}_high") for m in MEASURES], *[fence(m, -1).alias(f"{m}_low") for m in TWO_SIDED])
 
@@ -100,6 +115,7 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
     within = F.lit(True)
     for m in MEASURES:
-        within = within & (F.col(m) <= F.col(f"{m}_high"))
-        within = within & (F.col(m) >= F.col(f"{m}_low")) if m in TWO_SIDED else within
+        # a fence that is null is none
+        within = within & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
+        within = within & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True)) if m in TWO_SIDED else within
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & within).alias("kept"), *MEASURES)

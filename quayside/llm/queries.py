@@ -118,28 +118,32 @@ WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, WORDS AS
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0) AS l FROM documents),
 base AS (
   SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines FROM docs),
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (length(text) - length(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')))::BIGINT AS n_signs, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines FROM docs),
 wins AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS pos FROM docs)),
 twice AS (SELECT doc_id, pos FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 rep AS (SELECT doc_id, sum(own)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(8, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 8)) AS own FROM twice) GROUP BY doc_id),
 rows_ AS (
-  SELECT base.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_symbols / greatest(word_chars, 1) AS symbol_rate, n_dup_lines / greatest(n_lines, 1) AS dup_line_rate,
+  SELECT base.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_signs / greatest(word_chars, 1) AS sign_rate, n_dup_lines / greatest(n_lines, 1) AS dup_line_rate,
     coalesce(n_repeat_words, 0) / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS word_length FROM base LEFT JOIN rep USING (doc_id)),
-long AS (SELECT lang, source, m, v FROM rows_, LATERAL (VALUES ('symbol_rate', symbol_rate), ('dup_line_rate', dup_line_rate), ('repeat_rate', repeat_rate), ('word_length', word_length)) AS t(m, v)),
-low AS (SELECT lang, source, m, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
-mid AS (SELECT lang, m, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
-top AS (SELECT m, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
-pick AS (
-  SELECT low.lang, low.source, low.m, CASE WHEN low.n >= 50 THEN low.q1 WHEN mid.n >= 50 THEN mid.q1 ELSE top.q1 END AS q1, CASE WHEN low.n >= 50 THEN low.q3 WHEN mid.n >= 50 THEN mid.q3 ELSE top.q3 END AS q3
-  FROM low JOIN mid ON low.lang IS NOT DISTINCT FROM mid.lang AND low.m = mid.m JOIN top ON top.m = low.m),
+long AS (SELECT lang, source, m, v FROM rows_, LATERAL (VALUES ('sign_rate', sign_rate), ('dup_line_rate', dup_line_rate), ('repeat_rate', repeat_rate), ('word_length', word_length)) AS t(m, v)),
+-- a row for each level of groups: own, language's, all
+levels AS (
+  SELECT 1 AS level, lang, source, m, count(*) >= 50 AS enough, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, quantile_disc(v, 0.99) AS q99 FROM long GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, m, count(*) >= 50, quantile_disc(v, 0.25), quantile_disc(v, 0.75), quantile_disc(v, 0.99) FROM long GROUP BY lang, m
+  UNION ALL SELECT 3, NULL, NULL, m, true, quantile_disc(v, 0.25), quantile_disc(v, 0.75), quantile_disc(v, 0.99) FROM long GROUP BY m),
+said AS (
+  SELECT *, CASE WHEN m IN ('sign_rate', 'word_length') THEN q3 + 5 * (q3 - q1) ELSE 2 * q99 END AS high, CASE WHEN m = 'word_length' THEN q1 - 5 * (q3 - q1) END AS low
+  FROM levels WHERE enough AND CASE WHEN m IN ('sign_rate', 'word_length') THEN q3 > q1 ELSE q99 > 0 END),
 fence AS (
-  SELECT lang, source, max(CASE WHEN m = 'symbol_rate' THEN q3 + 3 * greatest(0.02, q3 - q1) END) AS f1, max(CASE WHEN m = 'dup_line_rate' THEN q3 + 3 * greatest(0.12, q3 - q1) END) AS f2,
-    max(CASE WHEN m = 'repeat_rate' THEN q3 + 3 * greatest(0.1, q3 - q1) END) AS f3, max(CASE WHEN m = 'word_length' THEN q3 + 3 * greatest(0.5, q3 - q1) END) AS f4, max(CASE WHEN m = 'word_length' THEN q1 - 3 * greatest(0.5, q3 - q1) END) AS f5
-  FROM pick GROUP BY lang, source)
+  SELECT g.lang, g.source, g.m, arg_min(coalesce(high, 1e300), level) AS high, arg_min(coalesce(low, -1e300), level) AS low FROM (SELECT DISTINCT lang, source, m FROM long) g
+  JOIN said s ON s.m = g.m AND (level = 3 OR (level = 2 AND s.lang IS NOT DISTINCT FROM g.lang) OR (level = 1 AND s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source)) GROUP BY ALL),
+fences AS (
+  SELECT lang, source, max(CASE WHEN m = 'sign_rate' THEN high END) AS f1, max(CASE WHEN m = 'dup_line_rate' THEN high END) AS f2, max(CASE WHEN m = 'repeat_rate' THEN high END) AS f3,
+    max(CASE WHEN m = 'word_length' THEN high END) AS f4, max(CASE WHEN m = 'word_length' THEN low END) AS f5 FROM fence GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND symbol_rate <= f1 AND dup_line_rate <= f2 AND repeat_rate <= f3 AND word_length <= f4 AND word_length >= f5 AS kept,
-  symbol_rate, dup_line_rate, repeat_rate, word_length
-FROM rows_ r JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(sign_rate <= f1, true) AND coalesce(dup_line_rate <= f2, true) AND coalesce(repeat_rate <= f3, true) AND coalesce(word_length <= f4, true) AND coalesce(word_length >= f5, true) AS kept,
+  sign_rate, dup_line_rate, repeat_rate, word_length
+FROM rows_ r LEFT JOIN fences f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """.replace("WORDS", _WORDS),
 }
 

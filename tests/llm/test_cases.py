@@ -335,11 +335,31 @@ def test_sketches_of_large_groups_stay_within_their_error(spark):
     value = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     rows = spark.range(n).select(F.lit("en").alias("lang"), F.lit("a").alias("source"), *[value.alias(m) for m in adaptive_rules.MEASURES])
     f = adaptive_rules.fences(rows).first()
-    exact = rows.agg(*[F.percentile("word_length", p).alias(f"q{k}") for k, p in ((1, 0.25), (3, 0.75))]).first()
-    spread = max(adaptive_rules.MEASURES["word_length"], exact.q3 - exact.q1)
+    exact = rows.agg(*[F.percentile("word_length", p).alias(f"q{k}") for k, p in ((1, 0.25), (3, 0.75), (99, 0.99))]).first()
+    spread = exact.q3 - exact.q1
     # ranks are off by at most 0.2 % of a group, and the spread by twice that
-    assert f.word_length_high == pytest.approx(exact.q3 + adaptive_rules.FENCE * spread, abs=0.02)
-    assert f.word_length_low == pytest.approx(exact.q1 - adaptive_rules.FENCE * spread, abs=0.02)
+    assert f.word_length_high == pytest.approx(exact.q3 + adaptive_rules.FENCE * spread, abs=0.03)
+    assert f.word_length_low == pytest.approx(exact.q1 - adaptive_rules.FENCE * spread, abs=0.03)
+    assert f.repeat_rate_high == pytest.approx(adaptive_rules.TAIL * exact.q99, abs=0.01)
+
+
+def test_a_group_decides_by_its_own_texts(spark):
+    """The same text is kept in a source of its like and goes elsewhere, whatever one cut-off would say; a group without a range takes its language's."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = lambda signs: " ".join(word(r.randrange(4, 7)) + "!" * (r.random() < signs) for _ in range(120))
+    rows = [("plain", text(r.uniform(0.05, 0.1))) for _ in range(80)] + [("loud", text(r.uniform(0.2, 0.9))) for _ in range(80)]
+    same, odd_one, bare = text(0.6), text(0.95), text(0)
+    rows += [("plain", same), ("loud", same), ("few", same)] + [("none", bare)] * 60 + [("none", odd_one)]
+    docs = spark.createDataFrame([(k, t, "en", s) for k, (s, t) in enumerate(rows)], DOCS)
+    got = {rr.doc_id: rr for rr in adaptive_rules.judge(docs).collect()}
+    base = 160
+    assert not got[base].kept and got[base + 1].kept and got[base].sign_rate == got[base + 1].sign_rate
+    louder = [k for k, (s, _) in enumerate(rows) if s == "loud" and got[k].kept and got[k].sign_rate > got[base].sign_rate]
+    assert louder and sum(got[k].kept for k in range(160)) >= 156
+    fences = {f.f_source: f for f in adaptive_rules.fences(adaptive_rules.with_measures(adaptive_rules.measured(docs).withColumn("n_repeat_words", F.lit(0)))).collect()}
+    assert fences["few"].sign_rate_high == fences["none"].sign_rate_high != fences["plain"].sign_rate_high
+    assert fences["plain"].dup_line_rate_high is None
 
 
 RULES = [("b.c", "/x/y/z/", "block"), ("a.b.c", "/", "allow"), ("c", "/x/", "allow"), ("a.b.c", "/x/y", "block"), ("c", "/x/y/zzzzzzzzzzzzzzzz", "block")]
