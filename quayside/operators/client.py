@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.geo import bearing, path_km
 from quayside.functions.text import bare, search_name
+from quayside.operators.order import numbered
 from quayside.operators.views import bucket, hop_key, shown
 
 #: Fixed values of the ride: milliseconds of a whole way, of a change and of the rest at its end; kilometres to look ahead.
@@ -134,8 +135,9 @@ def overlap_choices(hits: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def ranked(stations: DataFrame, *first: Column) -> DataFrame:
-    """stations with their rank by what comes first, then by name without case and marks, then by id. For lists that are shown: one order over all rows."""
-    return stations.withColumn("rank", F.row_number().over(W.orderBy(*first, F.collate("name", "UNICODE_CI_AI"), "id")))
+    """stations with their rank by what comes first, then by name without case and marks, then by id."""
+    order = [*first, F.collate("name", "UNICODE_CI_AI"), F.col("id")]
+    return numbered(stations, order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def fewest_trains(journeys: DataFrame, most_trains: int | None = None, most_minutes: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions import geo, text
-from quayside.operators import calendar, client, coverage, feeds, frequency, reach, resolve, views
+from quayside.operators import calendar, client, coverage, feeds, frequency, reach, resolve, search, views
 from quayside.sources import dims
 from quayside.sources import timetable as tt
 from quayside.sources.scratch import written
@@ -650,6 +650,32 @@ def search_ranked(spark, sf):
     return views.search(s, "Zür", [("zurigo", "zurich"), ("monaco di baviera", "munchen")], reach=s.filter("id % 13 <> 0"))
 
 
+#: Names that other languages have for cities, as a configuration has them.
+EXONYMS = [("Zurigo", "Zürich"), ("Monaco di Baviera", "München"), ("Praga", "Praha"), ("Colonia", "Köln"), ("Zuri", "Łódź")]
+_low = "replace(replace(lower(strip_accents(replace(replace({0}, 'Ł', chr(1)), 'ł', chr(2)))), chr(1), 'ł'), chr(2), 'ł')"
+_searches = dict(
+    e_names="SELECT " + _low.format("a") + " AS a, " + _low.format("b") + " AS b FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXONYMS) + ") t(a, b)",
+    e_asked="SELECT p_partkey AS search_id, CASE WHEN p_partkey % 4 = 0 THEN upper(t) ELSE t END AS query FROM (SELECT p_partkey, substr(['München','Zürich','Łódź','Köln','Praha','Zurigo','Monaco di Baviera','Praga','Colonia'][p_partkey % 9 + 1] || ' ' || (p_partkey % 40) || ['',' Hbf',' Hauptbahnhof'][p_partkey % 3 + 1], 1 + p_size % 4, 1 + p_partkey // 7 % 12) AS t FROM part)",
+    e_q="SELECT search_id, " + _low.format("query") + " AS q FROM e_asked",
+    e_forms="SELECT DISTINCT q, q AS v FROM e_q UNION SELECT q, CASE WHEN starts_with(a, q) THEN b ELSE b || substr(q, length(a) + 1) END FROM (SELECT DISTINCT q FROM e_q) JOIN e_names ON starts_with(a, q) OR starts_with(q, a) WHERE length(q) >= 3",
+    e_stations="SELECT id, name, n_dest, is_capital, " + _low.format("name") + " AS norm FROM (SELECT k * 2 + (feed > 0)::INT AS id, name || CASE WHEN feed > 0 AND k % 2 = 1 THEN ' ' || k ELSE '' END AS name, k % 17 AS n_dest, k % 10 = 0 AS is_capital FROM (SELECT *, stop_ord AS k FROM tt_raw_stops)) WHERE id % 13 <> 0",
+    e_hits="SELECT q, id, name, n_dest, is_capital, length(norm) AS size, min(CASE WHEN starts_with(norm, v) THEN 0 ELSE 1 END) AS tier FROM e_forms JOIN e_stations ON contains(norm, v) GROUP BY ALL",
+)
+
+
+@query("search_table", "SELECT search_id, rank, id, name, tier, n_dest FROM e_q JOIN (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY tier, NOT is_capital, n_dest DESC, size, id))::INT AS rank FROM e_hits) USING (q) WHERE rank <= 10", **_searches)
+def search_table(spark, sf):
+    """Each part asks for a piece of a city's name; suppliers and customers are the stations."""
+    k = F.col("p_partkey")
+    whole = F.concat(tt._pick((*tt.CITIES, "Zurigo", "Monaco di Baviera", "Praga", "Colonia"), k % 9), F.lit(" "), (k % 40).cast("string"), tt._pick(tt.ENDINGS, k % 3))
+    piece = F.substring(whole, 1 + F.col("p_size") % 4, F.expr("1 + p_partkey div 7 % 12"))
+    asked = tt.table(spark, sf, "part").select(k.alias("search_id"), F.when(k % 4 == 0, F.upper(piece)).otherwise(piece).alias("query"))
+    o, other = F.col("stop_ord"), F.col("feed") > 0
+    name = F.when(other & (o % 2 == 1), F.concat("name", F.lit(" "), o.cast("string"))).otherwise(F.col("name"))
+    s = tt.raw_stops(spark, sf).select((o * 2 + other.cast("int")).alias("id"), name.alias("name"), (o % 17).alias("n_dest"), (o % 10 == 0).alias("is_capital"))
+    return search.search_all(s, asked, spark.createDataFrame(EXONYMS, "name string, native string"), reach=s.filter("id % 13 <> 0"))
+
+
 @query("dest_options_grouped", "SELECT id, name, CASE WHEN t IS NOT NULL THEN t WHEN x IS NULL AND id % 25 = 1 THEN 4 ELSE 5 END AS grp FROM (SELECT id, name, min(CASE WHEN duration <= 480 THEN trains END) AS t, count(dest) AS c, max(dest) AS x FROM tt_stations LEFT JOIN o_journeys ON dest = id AND origin = 1 WHERE id <> 1 AND contains(lower(name), 'upp') GROUP BY ALL) ORDER BY grp, name, id LIMIT 12")
 def dest_options_grouped(spark, sf):
     s = tt.stations(spark, sf)
