@@ -881,6 +881,36 @@ def journey_lines(spark, sf):
     return lines.select("origin", "dest", "trains", "bucket", F.size("line").cast("long").alias("n_points"), F.round(F.aggregate("line", F.lit(0.0), lambda a, x: a + x[0]), 6).alias("lon_sum"))
 
 
+_km = "sqrt(pow((lon - lag(lon) OVER w) * 111.32 * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 111.32, 2))"
+_turn = "degrees(atan2(({1}.lon - {0}.lon) * cos(radians(({0}.lat + {1}.lat) / 2)), {1}.lat - {0}.lat))"
+_ride = _shown | dict(
+    k_steps=f"SELECT origin, dest, leg, lon, lat, row_number() OVER w AS i, coalesce({_km}, 0) AS step FROM s_stops WINDOW w AS (PARTITION BY origin, dest, leg ORDER BY idx)",
+    k_way="SELECT *, sum(step) OVER (PARTITION BY origin, dest, leg ORDER BY i ROWS UNBOUNDED PRECEDING) AS km, count(*) OVER (PARTITION BY origin, dest, leg) AS n FROM k_steps",
+    k_legs="SELECT origin, dest, leg, n, km AS total, sum(km) OVER (PARTITION BY origin, dest) AS whole, CASE WHEN lead(leg) OVER (PARTITION BY origin, dest ORDER BY leg) IS NULL THEN 1000 ELSE 500 END AS rest FROM k_way WHERE i = n AND n >= 2",
+    k_phases="SELECT *, 7000 * total / whole AS move, coalesce(sum(7000 * total / whole + rest) OVER (PARTITION BY origin, dest ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k_legs WHERE whole > 0",
+    k_times="SELECT origin, dest, ms, ms % max(start + move + rest) AS t FROM k_phases, (VALUES (0.25), (2250.25), (5100.25), (7300.25), (9000.25)) v(ms) GROUP BY origin, dest, ms",
+    k_now="SELECT p.*, ms, t, t < start + move AS moving, pow((t - start) / move, 2) * (3 - 2 * (t - start) / move) * total AS gone FROM k_phases p JOIN k_times u ON u.origin = p.origin AND u.dest = p.dest AND t >= start AND t < start + move + rest",
+    k_asked="SELECT origin, dest, ms, leg, d, greatest(0, least(total, gone + d)) AS gone FROM k_now, (VALUES (-0.35), (0.0), (0.35)) v(d) WHERE moving",
+    # the first point that isn't before the place asked for, from the second on
+    k_ends="SELECT a.origin, a.dest, ms, a.leg, d, a.gone, min(i) AS i FROM k_asked a JOIN k_way w ON w.origin = a.origin AND w.dest = a.dest AND w.leg = a.leg AND i >= 2 AND (km >= a.gone OR i = n) GROUP BY ALL",
+    k_places="SELECT e.origin, e.dest, ms, d, x.lon + (y.lon - x.lon) * coalesce((e.gone - x.km) / nullif(y.km - x.km, 0), 0) AS lon, x.lat + (y.lat - x.lat) * coalesce((e.gone - x.km) / nullif(y.km - x.km, 0), 0) AS lat FROM k_ends e JOIN k_way x ON x.origin = e.origin AND x.dest = e.dest AND x.leg = e.leg AND x.i = e.i - 1 JOIN k_way y ON y.origin = e.origin AND y.dest = e.dest AND y.leg = e.leg AND y.i = e.i",
+)
+
+
+@query("journey_ride", f"""SELECT origin, dest, ms::DOUBLE AS ms, round(h.lon, 6) AS lon, round(h.lat, 6) AS lat, round({_turn.format('b', 'f')}, 4) AS bearing, true AS moving FROM k_places h JOIN k_places b USING (origin, dest, ms) JOIN k_places f USING (origin, dest, ms) WHERE h.d = 0 AND b.d < 0 AND f.d > 0
+  UNION ALL SELECT p.origin, p.dest, ms::DOUBLE, round(y.lon, 6), round(y.lat, 6), round({_turn.format('x', 'y')}, 4), false FROM k_now p JOIN k_way x ON x.origin = p.origin AND x.dest = p.dest AND x.leg = p.leg AND x.i = p.n - 1 JOIN k_way y ON y.origin = p.origin AND y.dest = p.dest AND y.leg = p.leg AND y.i = p.n WHERE NOT moving""", **_ride)
+def journey_ride(spark, sf):
+    """Where a rider of each shown journey is at five moments; a leg's way leads straight from stop to stop."""
+    key = ["origin", "dest", "leg"]
+    stops = _stops_of_legs(spark, sf).join(_shown_rows(spark, sf).select("origin", "dest", "trains"), ["origin", "dest", "trains"])
+    path = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))  # the stops of a leg
+    paths = stops.groupBy(*key).agg(path.alias("path")).select(F.struct("origin", "dest").alias("journey"), "leg", "path")
+    phases = written(client.ride_phases(paths), "phases")
+    times = phases.select("journey").distinct().select("journey", F.explode(F.array(*[F.lit(t) for t in (0.25, 2250.25, 5100.25, 7300.25, 9000.25)])).alias("ms"))
+    at = client.ride_at(phases, times)
+    return at.select("journey.origin", "journey.dest", "ms", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("bearing", 4).alias("bearing"), "moving")
+
+
 _r = "sqrt(s_suppkey % 90)"
 
 

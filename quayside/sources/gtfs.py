@@ -1,7 +1,9 @@
 """Feed archives: members of zip files as tables, all strings, in file order.
 
-An archive is read by one task, which inflates a member as a stream, so only the packed archive (2 GB at
-most) and one batch of rows are held. Archives are read side by side; write what is used more than once.
+Spark lists the archives; a task opens one where it lies, reads its directory from the end and then only the
+bytes of the member asked for, which it inflates as a stream: archives may be of any size (also beyond 4 GB), and
+one batch of rows is held. Archives and members are read side by side; a member is one deflated stream, so one
+task's work. Write what is used more than once.
 
 Cases: a member in a subfolder counts, the first of its name; a missing or empty member gives no rows; a
 missing column or a cell that a short row lacks is null; byte order marks and padding of names and cells
@@ -10,6 +12,9 @@ are cut; of columns with one name the last counts; columns that aren't asked for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,29 +39,40 @@ REQUIRED = {
 BATCH_ROWS = 20_000
 
 
-def member(spark: SparkSession, paths: str | list[str], name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """feed (the archive's name without ending), row_order (from 0) and the columns of one member of all archives."""
+def opened(path: str) -> BinaryIO:
+    """A file that can be sought in, wherever Arrow's file systems reach it (local, s3, gs, abfs, hdfs)."""
+    from pyarrow import fs
+
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file:").removeprefix("//"), "rb")
+    there, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return there.open_input_file(name)
+
+
+def member(spark: SparkSession, paths: str | list[str], name: str, columns: tuple[str, ...] | None = None, opener: Callable[[str], BinaryIO] = opened) -> DataFrame:
+    """feed (the archive's name without ending), row_order (from 0) and the columns of one member of all archives.
+
+    opener gives a task a file of a path; another than `opened` is for storage that Arrow doesn't know."""
     columns = columns or MEMBERS[name]
     schema = T.StructType([T.StructField("feed", T.StringType()), T.StructField("row_order", T.LongType()), *(T.StructField(c, T.StringType()) for c in columns)])
-    archives = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return archives.mapInArrow(_reader(f"{name}.txt", columns, REQUIRED.get(name, ())), schema)
+    archives = spark.read.format("binaryFile").load(paths).select("path")  # contents aren't read
+    return archives.mapInArrow(_reader(f"{name}.txt", columns, REQUIRED.get(name, ()), opener), schema)
 
 
-def _reader(file: str, columns: tuple[str, ...], required: tuple[str, ...]):
+def _reader(file: str, columns: tuple[str, ...], required: tuple[str, ...], opener: Callable[[str], BinaryIO]):
     def read(batches):
         import csv
         import io
         import itertools
         import zipfile
-        from urllib.parse import unquote
 
         import pyarrow as pa
 
         csv.field_size_limit(1 << 30)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                feed = unquote(path).rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+            for path in batch.column(0).to_pylist():
+                feed = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                with opener(path) as packed, zipfile.ZipFile(packed) as archive:
                     inside = next((n for n in archive.namelist() if n.rsplit("/", 1)[-1] == file), None)
                     if inside is None:
                         continue

@@ -55,6 +55,43 @@ def test_batches_keep_file_order(spark, archive):
     assert df.filter(F.col("row_order").cast("string") != F.col("stop_sequence")).count() == 0
 
 
+def test_archives_beyond_four_gigabytes_and_odd_names(spark, tmp_path):
+    hole = 5 << 30
+    for name in ("a b#1%20.zip", "c.zip"):
+        with open(tmp_path / name, "wb") as f:
+            f.seek(hole if name == "c.zip" else 0)  # nothing is stored before it
+            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("routes.txt", "route_id\nr1\n")
+                z.writestr("stops.txt", "stop_id\ns1\ns2\n")
+    assert (tmp_path / "c.zip").stat().st_size > hole
+    df = gtfs.member(spark, f"file://{tmp_path}/*.zip", "stops")
+    assert rows(df, "feed", "stop_id") == [("a b#1%20", "s1"), ("a b#1%20", "s2"), ("c", "s1"), ("c", "s2")]
+
+
+def test_only_the_member_asked_for_is_read(spark, archive, tmp_path):
+    path = archive("a.zip", routes="route_id\nr1\n", stop_times="trip_id,stop_id,stop_sequence\n" + "".join(f"t{k * 7919 % 10007},s{k * k % 10009},{k}\n" for k in range(20_000)))
+
+    def counted(name):
+        import io
+
+        class Counted(io.FileIO):
+            total = 0
+
+            def read(self, n=-1):
+                data = super().read(n)
+                Counted.total += len(data)
+                if Counted.total > 2_000:
+                    raise OSError("more than the directory and a small member was read")
+                return data
+
+        return Counted(name.removeprefix("file:").removeprefix("//"))
+
+    assert (tmp_path / "a.zip").stat().st_size > 50_000
+    assert rows(gtfs.member(spark, path, "routes", opener=counted), "route_id") == [("r1",)]
+    with pytest.raises(Exception, match="more than the directory"):
+        gtfs.member(spark, path, "stop_times", opener=counted).count()
+
+
 def test_times_past_midnight_and_untimed_calls(spark, archive):
     path = archive("a.zip", stop_times="trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt,,25:10:59,a,1\nt,,,b,2\nt,26:00:00,,c,10\n")
     got = {tuple(r) for r in gtfs.calls(gtfs.member(spark, path, "stop_times"), shift=60).collect()}
