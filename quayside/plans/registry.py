@@ -14,6 +14,7 @@ from quayside.sources import dims
 from quayside.sources import timetable as tt
 from quayside.sources.scratch import written
 from quayside.streaming import events as ev
+from quayside.streaming import horizon
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -923,3 +924,17 @@ def dot_sizes(spark, sf):
 @query("events_hourly_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_hourly_tumbling(spark, sf):
     return ev.hourly(tt.table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "published_horizon",
+    """SELECT service, start, until, n_seen, CASE WHEN until >= now - INTERVAL 2 HOUR THEN 'open' WHEN n_seen > 0 THEN 'present' ELSE 'absent' END AS verdict FROM (SELECT w.service, w.start, w.until, count(DISTINCT s.ts) AS n_seen FROM z_windows w LEFT JOIN z_rows s ON s.service = w.service AND s.kind = 'seen' AND s.ts BETWEEN w.start AND w.until GROUP BY ALL), (SELECT max(ts) AS now FROM z_rows WHERE kind <> 'other')""",
+    z_rows="SELECT user_id AS service, CASE event_type WHEN 'signup' THEN 'publish' WHEN 'view' THEN 'seen' ELSE 'other' END AS kind, date_trunc('millisecond', ts) AS ts, date_trunc('millisecond', ts + to_minutes(30 + event_id % 7 * 600)) AS until FROM events",
+    z_windows="SELECT DISTINCT service, ts AS start, until FROM z_rows WHERE kind = 'publish'",
+)
+def published_horizon(spark, sf):
+    """Each signup publishes a window in which its user is expected, views are sightings."""
+    kind = F.when(F.col("event_type") == "signup", "publish").when(F.col("event_type") == "view", "seen").otherwise("other")
+    until = F.col("ts") + F.make_dt_interval(mins=(30 + F.col("event_id") % 7 * 600).cast("int"))
+    rows = tt.table(spark, sf, "events").select(F.col("user_id").alias("service"), kind.alias("kind"), "ts", until.alias("until"))
+    return horizon.verdicts(rows, 7200)
