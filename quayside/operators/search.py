@@ -7,7 +7,8 @@ a third of all rows share costs no more than `limit` rows of each task.
 
 - Names that begin with a query: all beginnings of names, the best names of each, joined with the queries.
 - Names that only hold it: asked for queries that aren't filled yet, by postings of three letters (one or two for
-  shorter queries); a query meets the postings of its rarest letters, and each candidate is compared.
+  shorter queries); a query meets the postings of its rarest letters, slice by slice of the names, and each candidate
+  is compared. A query meets only slices that have its letters, so one with rare letters isn't copied.
 
 Null queries and null names are never found; an empty query is the beginning of every name; empty tables give no rows.
 """
@@ -25,6 +26,8 @@ from quayside.sources.scratch import written
 MOST = 50
 #: Letters of a posting.
 GRAM = 3
+#: Names of a slice: letters that all names hold are dealt out by slices of so many names.
+SLICE = 2_000
 _ORDER = ("off", "less", "size", "id")
 
 
@@ -79,13 +82,16 @@ def search_all(stations: DataFrame, searches: DataFrame, exonyms: DataFrame, lim
     begun = written(_best(begun, "v", _ORDER, limit).join(wanted, "v").withColumn("tier", F.lit(0)), "search-begun")
     filled = begun.filter(F.col("rank") == limit).select("v")
     open_ = wanted.join(filled, "v", "left_anti").filter("v <> ''")
+    part = F.pmod(F.xxhash64("norm"), F.lit(1 + names.count() // SLICE)).alias("part")
     sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
-    postings = names.select("norm", *_ORDER, F.explode(F.flatten(F.transform(sizes, lambda k: _grams("norm", k)))).alias("gram"))
+    postings = names.select("norm", *_ORDER, part, F.explode(F.flatten(F.transform(sizes, lambda k: _grams("norm", k)))).alias("gram"))
     parts = open_.select("v", F.explode(_grams("v", F.least(F.length("v"), F.lit(GRAM)))).alias("gram"))
-    often = postings.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    cells = written(postings.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "part").agg(F.count("*").alias("n")), "search-cells")
+    often = cells.groupBy("gram").agg(F.sum("n").alias("n"))
     rarest = parts.join(often, "gram", "left").groupBy("v").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("v", "m.gram")
-    held = postings.join(rarest, "gram").filter(F.contains("norm", F.col("v")) & ~F.startswith("norm", F.col("v")))
-    held = _best(held.drop("gram"), "v", _ORDER, limit).withColumn("tier", F.lit(1))
+    met = rarest.join(cells.select("gram", "part"), "gram")
+    held = postings.join(met, ["gram", "part"]).filter(F.contains("norm", F.col("v")) & ~F.startswith("norm", F.col("v")))
+    held = _best(held.drop("gram", "part"), "v", _ORDER, limit).withColumn("tier", F.lit(1))
 
     found = begun.unionByName(held).select("v", "norm", "tier").join(rows.drop("rank"), "norm")
     found = _best(found, "v", ("tier", *_ORDER), limit).drop("rank", "norm")

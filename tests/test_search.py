@@ -31,7 +31,8 @@ def plain(stations, queries, exonyms, limit):
 
 
 @pytest.mark.parametrize("limit", [1, 3, 50])
-def test_each_query_finds_what_a_loop_finds(spark, limit):
+def test_each_query_finds_what_a_loop_finds(spark, limit, monkeypatch):
+    monkeypatch.setattr(search, "SLICE", 20)
     rng = random.Random(limit)
     word = lambda n: "".join(rng.choice("abcÄ ") for _ in range(rng.randint(0, n)))
     stations = [(i, rng.choice([word(6), word(12), "abcabc", "München Ost"]), rng.choice([True, False, None]), rng.choice([None, 0, 1, 2])) for i in range(200)]
