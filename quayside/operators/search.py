@@ -86,7 +86,8 @@ def search_all(stations: DataFrame, searches: DataFrame, exonyms: DataFrame, lim
     sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
     postings = names.select("norm", *_ORDER, part, F.explode(F.flatten(F.transform(sizes, lambda k: _grams("norm", k)))).alias("gram"))
     parts = open_.select("v", F.explode(_grams("v", F.least(F.length("v"), F.lit(GRAM)))).alias("gram"))
-    cells = written(postings.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "part").agg(F.count("*").alias("n")), "search-cells")
+    cells = postings.groupBy("gram", "part").agg(F.count("*").alias("n"))  # ahead of the join, so that common letters are few rows
+    cells = written(cells.join(parts.select("gram").distinct(), "gram", "left_semi"), "search-cells")
     often = cells.groupBy("gram").agg(F.sum("n").alias("n"))
     rarest = parts.join(often, "gram", "left").groupBy("v").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("v", "m.gram")
     met = rarest.join(cells.select("gram", "part"), "gram")
