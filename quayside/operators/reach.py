@@ -79,13 +79,12 @@ def ride(boarded: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def improved(before: DataFrame | None, rides: DataFrame, keys: list[str]) -> DataFrame:
-    """Labels of the next round: rides that arrive strictly earlier, else what was there."""
+    """Labels of the next round: rides that arrive strictly earlier (new = 1), else what was there (new = 0)."""
     if before is None:
-        return rides
-    both = before.select(*keys, "station", F.struct("arr", F.lit(0).alias("new"), "trip_id", "alight_idx", "board_idx", "board", "board_dep", "prev", "mode").alias("l")).unionByName(
-        rides.select(*keys, "station", F.struct("arr", F.lit(1).alias("new"), "trip_id", "alight_idx", "board_idx", "board", "board_dep", "prev", "mode").alias("l"))
-    )
-    return both.groupBy(*keys, "station").agg(F.min("l").alias("l")).select(*keys, "station", "l.arr", "l.trip_id", "l.alight_idx", "l.board_idx", "l.board", "l.board_dep", "l.prev", "l.mode")
+        return rides.withColumn("new", F.lit(1))
+    label = lambda new: F.struct("arr", F.lit(new).alias("new"), "trip_id", "alight_idx", "board_idx", "board", "board_dep", "prev", "mode").alias("l")
+    both = before.select(*keys, "station", label(0)).unionByName(rides.select(*keys, "station", label(1)))
+    return both.groupBy(*keys, "station").agg(F.min("l").alias("l")).select(*keys, "station", "l.arr", "l.trip_id", "l.alight_idx", "l.board_idx", "l.board", "l.board_dep", "l.prev", "l.mode", "l.new")
 
 
 def rounds(calls: DataFrame, searches: DataFrame, footpaths: DataFrame | None = None, n: int = ROUNDS) -> list[DataFrame]:
@@ -93,15 +92,14 @@ def rounds(calls: DataFrame, searches: DataFrame, footpaths: DataFrame | None =
     paths = directed(footpaths) if footpaths is not None else None
     keys = [*_day(calls, searches), *SEARCH]
     calls, searches = written(calls, "calls"), written(searches.select(*keys), "searches")
-    start = searches.select(*keys, F.col("origin").alias("station"), F.col("floor").cast("long").alias("ready"), F.col("origin").alias("prev"), F.lit(None).cast("string").alias("mode"))
+    ready = searches.select(*keys, F.col("origin").alias("station"), F.col("floor").cast("long").alias("ready"), F.col("origin").alias("prev"), F.lit(None).cast("string").alias("mode"))
     out: list[DataFrame] = []
     for k in range(n):
-        ready = start
-        if k:
-            # the origin stays boardable from the floor on, without a buffer
-            ready = ready_from(out[-1], paths, keys).filter("station <> origin").unionByName(start)
         rides = ride(board(ready, calls, keys), calls, keys).filter("station <> origin")
-        out.append(written(improved(out[-1] if out else None, rides, keys), f"labels{k + 1}"))
+        table = written(improved(out[-1] if out else None, rides, keys), f"labels{k + 1}")
+        out.append(table.drop("new"))
+        # what a label that was there before can reach was labelled in its own round, and only strictly earlier rides are taken
+        ready = ready_from(table.filter("new = 1"), paths, keys).filter("station <> origin")
     return out
 
 
@@ -177,22 +175,61 @@ def displayed(leg_rows: DataFrame, calls: DataFrame, trips: DataFrame, footpaths
     return ride.withColumn("pos", F.row_number().over(order)).drop("leg", "part")
 
 
+def _departing(calls: DataFrame, origins: DataFrame) -> DataFrame:
+    """origin, start, departure, from_idx: the first call at the origin of every trip that calls there."""
+    first = calls.join(origins.select(F.col("origin").alias("station")), "station").groupBy(*_day(calls), F.col("station").alias("origin"), F.col("trip_id").alias("start")).agg(F.min(F.struct("idx", "dep")).alias("f"))
+    return first.select(*_day(calls), "origin", "start", F.col("f.dep").alias("departure"), F.col("f.idx").alias("from_idx"))
+
+
+def direct(calls: DataFrame, origins: DataFrame) -> DataFrame:
+    """origin, trip (its departure), departure, dest, arr1: the arrivals of every trip that calls at the origin at its later stations."""
+    key = [*_day(calls), "origin", "start", "departure"]
+    later = _departing(calls, origins).join(calls.withColumnRenamed("trip_id", "start"), [*_day(calls), "start"]).filter("idx > from_idx and station <> origin")
+    rows = later.groupBy(*key, F.col("station").alias("dest")).agg(F.min("arr").alias("arr1"))
+    return rows.select(*_day(calls), "origin", F.col("start").alias("trip"), "departure", "dest", "arr1")
+
+
 def evidence(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None = None) -> DataFrame:
     """origin, trip (its departure), departure, dest and arr1 to arr3: earliest arrivals by trains for every trip that calls at the origin, by day where calls have one."""
     day = _day(calls)
-    keys = [*day, "origin", "start"]
+    keys = [*day, "origin", "start", "departure"]
     calls = written(calls, "calls")
-    first = calls.join(origins.select(F.col("origin").alias("station")), "station").groupBy(*day, F.col("station").alias("origin"), F.col("trip_id").alias("start")).agg(F.min(F.struct("idx", "dep")).alias("f"))
-    first = first.select(*keys, F.col("f.idx").alias("from_idx"), F.col("f.dep").alias("departure"))
     paths = directed(footpaths) if footpaths is not None else None
-    later = first.join(calls.withColumnRenamed("trip_id", "start"), [*day, "start"]).filter("idx > from_idx and station <> origin")
-    labels = [written(later.groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence")]
-    for _ in range(ROUNDS - 1):
-        rides = ride(board(ready_from(labels[-1], paths, keys), calls, keys), calls, keys).select(*keys, "station", "arr")
-        labels.append(written(labels[-1].unionByName(rides).groupBy(*keys, "station").agg(F.min("arr").alias("arr")), "evidence"))
-    tiers = reduce(DataFrame.unionByName, [x.select(*keys, "station", *[(F.col("arr") if i >= k else F.lit(None).cast("long")).alias(f"arr{i + 1}") for i in range(ROUNDS)]) for k, x in enumerate(labels)])
-    out = tiers.filter("station <> origin").groupBy(*keys, "station").agg(*[F.min(f"arr{i + 1}").alias(f"arr{i + 1}") for i in range(ROUNDS)])
-    return out.join(first.select(*keys, "departure"), keys).select(*day, "origin", F.col("start").alias("trip"), "departure", F.col("station").alias("dest"), *[f"arr{i + 1}" for i in range(ROUNDS)])
+    table = written(direct(calls, origins).select(*day, "origin", F.col("trip").alias("start"), "departure", F.col("dest").alias("station"), F.col("arr1").alias("arr"), *[F.lit(None).cast("long").alias(f"arr{i}") for i in range(1, ROUNDS)]).withColumn("arr1", F.col("arr")), "evidence")
+    for k in range(2, ROUNDS + 1):
+        # a label that didn't improve in the last round reaches nothing that isn't there
+        grown = table if k == 2 else table.filter(f"arr{k - 2} is null or arr < arr{k - 2}")
+        rides = ride(board(ready_from(grown, paths, keys), calls, keys), calls, keys)
+        none = [F.lit(None).cast("long").alias(f"arr{i}") for i in range(1, ROUNDS)]
+        both = table.unionByName(rides.select(*keys, "station", "arr", *none))
+        table = both.groupBy(*keys, "station").agg(F.min("arr").alias("arr"), *[F.min(f"arr{i}").alias(f"arr{i}") for i in range(1, ROUNDS)])
+        table = written(table if k == ROUNDS else table.withColumn(f"arr{k}", F.col("arr")), "evidence")
+    return table.filter("station <> origin").select(*day, "origin", F.col("start").alias("trip"), "departure", F.col("station").alias("dest"), *[f"arr{i}" for i in range(1, ROUNDS)], F.col("arr").alias(f"arr{ROUNDS}"))
+
+
+def profile(calls: DataFrame, origins: DataFrame, footpaths: DataFrame | None = None) -> DataFrame:
+    """The rows of useful(evidence(...)), without searching on from departures that are beaten on their way.
+
+    A label (departure, trains, arr, trip) of an origin at a station is beaten there by one that departs later, or at the same time
+    with fewer trains, or with as many in a lower trip, and takes no more trains and arrives no later: whatever follows can be
+    boarded by both, and stays beaten. So from the latest departure to the earliest each station keeps the least arrival so far
+    of each number of trains, and only labels below it are carried into the next round. Of labels with one train the beaten ones
+    are useful still, as directs."""
+    day = _day(calls)
+    keys = [*day, "origin", "start", "departure"]
+    calls = written(calls, "calls")
+    paths = directed(footpaths) if footpaths is not None else None
+    points = [written(direct(calls, origins).select(*day, "origin", F.col("trip").alias("start"), "departure", F.col("dest").alias("station"), F.col("arr1").alias("arr"), F.lit(1).alias("trains")), "profile")]
+    latest_first = W.partitionBy(*day, "origin", "station").orderBy(F.desc("departure"), "trains", "start").rowsBetween(W.unboundedPreceding, -1)
+    for k in range(2, ROUNDS + 1):
+        # every label so far takes at most as many trains as those of the last round
+        seen = reduce(DataFrame.unionByName, points).withColumn("b", F.min("arr").over(latest_first))
+        front = written(seen.filter(f"trains = {k - 1} and (b is null or arr < b)").drop("b"), "profile")
+        points[-1] = points[-1] if k == 2 else front
+        rides = ride(board(ready_from(front, paths, keys), calls, keys), calls, keys)
+        points.append(rides.select(*keys, "station", "arr", F.lit(k).alias("trains")))
+        points[-1] = written(points[-1], "profile") if k < ROUNDS else points[-1]
+    return _unbeaten(reduce(DataFrame.unionByName, points).filter("station <> origin").withColumnsRenamed({"station": "dest", "start": "trip"}))
 
 
 def useful(evidence_rows: DataFrame) -> DataFrame:
@@ -202,7 +239,12 @@ def useful(evidence_rows: DataFrame) -> DataFrame:
         lambda p: p["arr"].isNotNull() & p["better"],
     )
     key = [*_day(evidence_rows), "origin", "dest"]
-    points = evidence_rows.select(*key, "trip", "departure", F.explode(step).alias("p")).select(*key, "trip", "departure", "p.trains", "p.arr")
+    return _unbeaten(evidence_rows.select(*key, "trip", "departure", F.explode(step).alias("p")).select(*key, "trip", "departure", "p.trains", "p.arr"))
+
+
+def _unbeaten(points: DataFrame) -> DataFrame:
+    """origin, dest, trip, departure, tier of points (with trains, arr): directs, and those that arrive before all that depart later or at once with no more trains."""
+    key = [*_day(points), "origin", "dest"]
     order = W.partitionBy(*key).orderBy(F.desc("departure"), "trains", "arr", "trip").rowsBetween(W.unboundedPreceding, -1)
 
     def beaten(t: int) -> Column:

@@ -154,7 +154,7 @@ def departure_evidence(spark, sf):
 
 @query("useful_departures", "SELECT * FROM o_useful")
 def useful_departures(spark, sf):
-    return reach.useful(departure_evidence(spark, sf))
+    return reach.profile(june(spark, sf), origins(spark, sf), tt.footpaths(spark, sf))
 
 
 @query("hour_histogram_tiers", """SELECT origin, dest, tier, bins FROM (
@@ -176,7 +176,7 @@ def hour_histogram_local(spark, sf):
 
 @query("direct_counts", "SELECT origin, dest, count(*) AS directs FROM o_evidence WHERE arr1 IS NOT NULL GROUP BY ALL")
 def direct_counts(spark, sf):
-    return frequency.direct_counts(departure_evidence(spark, sf))
+    return frequency.direct_counts(reach.direct(june(spark, sf), origins(spark, sf)))
 
 
 @query("daypart_rollup", """SELECT origin, dest, sum(CASE WHEN h < 12 THEN 1 ELSE 0 END)::BIGINT AS morning, sum(CASE WHEN h >= 12 AND h < 18 THEN 1 ELSE 0 END)::BIGINT AS afternoon, sum(CASE WHEN h >= 18 THEN 1 ELSE 0 END)::BIGINT AS evening
@@ -288,14 +288,13 @@ def destinations_over_days(spark, sf):
     """What a reader is told of each destination over all weeks: journeys by trains, days, direct trips, months and hours."""
     calls, paths, weeks = written(_week_calls(spark, sf), "weeks"), tt.footpaths(spark, sf), _weeks(spark, sf)
     found = written(reach.journeys(calls, origins(spark, sf), paths).join(weeks, "day"), "journeys")
-    evidence = written(reach.evidence(calls, origins(spark, sf), paths), "evidence")
     text_of = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c])
     parts = lambda order, t, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, t.alias("t")))), lambda x: x["t"]), "|").alias(name)  # three tiers
     tiers = frequency.best_over_days(found).groupBy("origin", "dest").agg(parts("trains", text_of("trains", "duration", "day_ord"), "tiers"))
-    daily = found.select("day", "origin", "dest").distinct().join(frequency.direct_counts(evidence), ["day", "origin", "dest"], "left")
+    daily = found.select("day", "origin", "dest").distinct().join(frequency.direct_counts(reach.direct(calls, origins(spark, sf))), ["day", "origin", "dest"], "left")
     daily = daily.select("day", "origin", "dest", F.lit(1).alias("journeys"), F.coalesce("directs", F.lit(0).cast("long")).alias("directs"))
     facts = frequency.summary(daily, weeks.select("day", F.lit(True).alias("covered")))
-    hours = frequency.histogram(reach.useful(evidence).drop("day")).groupBy("origin", "dest").agg(parts("tier", F.concat_ws(":", F.col("tier").cast("string"), F.array_join(F.col("bins").cast("array<string>"), ",")), "hours"))
+    hours = frequency.histogram(reach.profile(calls, origins(spark, sf), paths).drop("day")).groupBy("origin", "dest").agg(parts("tier", F.concat_ws(":", F.col("tier").cast("string"), F.array_join(F.col("bins").cast("array<string>"), ",")), "hours"))
     out = facts.join(tiers, ["origin", "dest"]).join(hours, ["origin", "dest"], "left")
     return out.select("origin", "dest", "tiers", "requested_sample_days", "active_days", "direct_days", "direct_trips", "months", "direct_per_active_day", "availability", F.coalesce("hours", F.lit("")).alias("hours"))
 
