@@ -495,14 +495,19 @@ def is_border(name: Column) -> Column:
 
 
 def match_catalogue(stations: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """id, candidate, how: by equal name within 5 km, else a name that holds the other (4 letters or more), else the nearest within 0.5 km. Points on borders match nothing."""
-    c = catalogue.select(F.col("id").alias("candidate"), F.col("name").alias("c_name"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).withColumns({"y": F.floor(F.col("c_lat") / CELL), "x": F.floor(F.col("c_lon") / CELL), "cn": booking_name(F.col("c_name"))})
-    s = stations.filter(~is_border(F.col("name"))).withColumn("sn", booking_name(F.col("name"))).withColumn("y", F.explode(F.sequence(F.floor(F.col("lat") / CELL) - 1, F.floor(F.col("lat") / CELL) + 1))).withColumn("x", F.explode(F.sequence(F.floor(F.col("lon") / CELL) - 2, F.floor(F.col("lon") / CELL) + 2)))
+    """id, candidate, how: by equal name within 5 km, else a name that holds the other (4 letters or more), else the nearest within 0.5 km. Points on borders match nothing.
+
+    What decides is the folded name and the position, so places meet places, and a place of the catalogue stands with its least id:
+    copies on either side are never paired."""
+    c = catalogue.select(F.col("id").alias("candidate"), booking_name(F.col("name")).alias("cn"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    c = c.groupBy("cn", "c_lat", "c_lon").agg(F.min("candidate").alias("candidate")).withColumns({"y": F.floor(F.col("c_lat") / CELL), "x": F.floor(F.col("c_lon") / CELL)})
+    own = stations.filter(~is_border(F.col("name"))).select("id", booking_name(F.col("name")).alias("sn"), "lat", "lon")
+    s = own.groupBy("sn", "lat", "lon").agg(F.count("*").alias("n")).withColumn("y", F.explode(F.sequence(F.floor(F.col("lat") / CELL) - 1, F.floor(F.col("lat") / CELL) + 1))).withColumn("x", F.explode(F.sequence(F.floor(F.col("lon") / CELL) - 2, F.floor(F.col("lon") / CELL) + 2)))
     near = s.join(c, ["y", "x"]).withColumn("km", grid_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).filter("km <= 5")
     holds = (F.length("sn") >= 4) & (F.length("cn") >= 4) & (F.contains("sn", "cn") | F.contains("cn", "sn"))
     how = F.when(F.col("sn") == F.col("cn"), 1).when(holds, 2).when(F.col("km") <= 0.5, 3)
-    best = near.withColumn("how", how).filter("how is not null").groupBy("id").agg(F.min(F.struct("how", "km", "candidate")).alias("m"))
-    return best.select("id", "m.candidate", "m.how")
+    best = near.withColumn("how", how).filter("how is not null").groupBy("sn", "lat", "lon").agg(F.min(F.struct("how", "km", "candidate")).alias("m"))
+    return own.join(best, ["sn", "lat", "lon"]).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.candidate", "m.how")
 
 
 def match_counts(stations: DataFrame, matches: DataFrame) -> DataFrame:

@@ -193,6 +193,15 @@ def test_points_on_borders_match_nothing(spark):
     assert {(r.kind, r.n) for r in resolve.match_counts(ours, matches).collect()} == {("border", 1), ("name", 1), ("coord", 1)}
 
 
+def test_copies_of_a_catalogue_are_never_paired(spark, monkeypatch):
+    """200 stations and 200 offers of one place were 40,000 pairs; a place meets a place."""
+    met = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(resolve, "grid_km", F.udf(lambda *at: met.add(1) or 0.1, "double"))
+    rows = lambda name: spark.range(200).select("id", F.lit(name).alias("name"), F.lit(47.5).alias("lat"), F.lit(7.6).alias("lon"))
+    found = resolve.match_catalogue(rows("Basel"), rows("Basel SBB")).collect()
+    assert len(found) == 200 and {(r.candidate, r.how) for r in found} == {(0, 2)} and met.value < 10
+
+
 def test_names_with_letters_of_all_scripts(spark):
     names = ["Hà Nội", "ﬁnal Straße", "Łódź", "Αθήνα", "Москва Й", "한국 ①", "S+U Nörd Bahnhof", "ȘƬ ŉ", "a͏b"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.merge_name(F.col("n")).alias("m"), text.search_name(F.col("n")).alias("s"), text.fold(F.col("n")).alias("f"))
