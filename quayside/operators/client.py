@@ -181,9 +181,18 @@ def destination_points(journeys: DataFrame, stations: DataFrame, most_trains: in
 
 def leg_stops(legs: DataFrame, calls: DataFrame, stations: DataFrame) -> DataFrame:
     """origin, dest, trains, leg, idx, station, lon, lat: all stops of each leg; unknown stations are left out, so that hops bridge them."""
-    rows = legs.select("origin", "dest", "trains", "leg", "trip_id", "board_idx", "alight_idx").join(calls.select("trip_id", "idx", "station"), "trip_id")
-    rows = rows.filter("idx between board_idx and alight_idx")
-    return rows.join(stations.select(F.col("id").alias("station"), "lon", "lat"), "station").select("origin", "dest", "trains", "leg", "idx", "station", "lon", "lat")
+    known = calls.select("trip_id", "idx", "station").join(stations.select(F.col("id").alias("station"), "lon", "lat"), "station")  # before they are multiplied by legs
+    rows = legs.select("origin", "dest", "trains", "leg", "trip_id", "board_idx", "alight_idx").join(known, "trip_id")
+    return rows.filter("idx between board_idx and alight_idx").select("origin", "dest", "trains", "leg", "idx", "station", "lon", "lat")
+
+
+def hops_of_legs(legs: DataFrame, calls: DataFrame, stations: DataFrame) -> DataFrame:
+    """The rows of leg_hops(leg_stops(...)): what follows a call among its trip's known stations is found by trip, not by leg."""
+    known = calls.select("trip_id", "idx", "station").join(stations.select(F.col("id").alias("station"), "lon", "lat"), "station")
+    w = W.partitionBy("trip_id").orderBy("idx")
+    ahead = {"next": F.lead("idx").over(w), "b": F.lead("station").over(w), "b_lon": F.lead("lon").over(w), "b_lat": F.lead("lat").over(w)}
+    rows = legs.select("origin", "dest", "trains", "leg", "trip_id", "board_idx", "alight_idx").join(known.withColumns(ahead).filter("b is not null"), "trip_id")
+    return rows.filter("idx >= board_idx and next <= alight_idx").select("origin", "dest", "trains", "leg", "idx", F.col("station").alias("a"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), "b", "b_lon", "b_lat")
 
 
 def leg_hops(stops: DataFrame) -> DataFrame:
