@@ -109,15 +109,15 @@ def departure_floors(spark, sf):
 
 
 def _search(spark, sf):
-    """(calls, labels, journeys) of one search, written once for all that reads them."""
+    """(calls, labels, journeys) of one search, written once for all that reads them; labels and journeys with their share."""
     calls = reach.prepared(june(spark, sf))
-    labels = reach.rounds(calls, reach.departure_floors(calls, origins(spark, sf)), tt.footpaths(spark, sf))
-    return calls, labels, written(reach.best_journeys(labels), "journeys")
+    labels = reach.rounds(calls, reach.departure_floors(calls, origins(spark, sf)), tt.footpaths(spark, sf), shares=True)
+    return calls, labels, reach.kept(reach.best_journeys(labels), "journeys")
 
 
 def _legs(spark, sf):
     _, labels, journeys = _search(spark, sf)
-    return reach.legs(labels, journeys)
+    return reach.settled(reach.legs(labels, journeys), "legs")
 
 
 _clock = "lpad(((T // 60) % 24)::VARCHAR, 2, '0') || ':' || lpad((T % 60)::VARCHAR, 2, '0')"
@@ -150,7 +150,7 @@ def local_departure_floors(spark, sf):
 def journey_display(spark, sf):
     trips = tt.trips(spark, sf, *tt.SLICE).select("trip_id", "train", F.array("feed").alias("feeds"))
     calls, labels, journeys = _search(spark, sf)
-    shown = reach.displayed(written(reach.legs(labels, journeys), "legs"), calls, trips, tt.footpaths(spark, sf), reach.local_offsets(_countries(spark, sf)))
+    shown = reach.displayed(reach.settled(reach.legs(labels, journeys), "legs"), calls, trips, tt.footpaths(spark, sf), reach.local_offsets(_countries(spark, sf)))
     return shown.withColumns({"via": F.array_join(F.col("via").cast("array<string>"), ","), "feeds": F.array_join("feeds", ",")})
 
 
@@ -873,7 +873,7 @@ def _shown_legs(spark, sf):
     calls, labels, journeys = _search(spark, sf)
     shown = written(_shown_rows(journeys), "shown")
     chosen = journeys.join(shown.select("origin", "dest", "trains"), ["origin", "dest", "trains"], "left_semi")
-    return reach.legs(labels, chosen), shown, calls
+    return reach.settled(reach.legs(labels, chosen), "legs"), shown, calls
 
 
 @query("destination_points", "SELECT origin, dest AS id, name, lon, lat, duration, trains, bucket, (origin * dest % 7)::INT AS direct_per_day, CASE WHEN rare THEN 'infrequent' ELSE 'frequent' END AS frequency_class, id % 50 AS n_routes FROM s_shown JOIN s_known ON id = dest", **_shown)

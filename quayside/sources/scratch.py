@@ -44,10 +44,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """While tables are written inside, rows that lie by some of the keys of a join are joined where they lie, and what is
+    exchanged for a table is deleted once it is written."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bucketed(df: DataFrame, label: str, by: str, n: int) -> DataFrame:
+    """df, written in n buckets by a column and read back as it lies: joins and groups by that column, alone or among others, need no exchange.
+
+    A frame that isn't dealt out by that column already is dealt out by the caller, so that a bucket is one file."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = "quayside_" + path.rsplit("/", 1)[1]
+    df.write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete intermediate tables; frames that read them can't be used any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS quayside_{path.rsplit('/', 1)[1]}")
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
