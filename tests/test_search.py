@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.text import bare
 from quayside.operators import client, search, views
+from quayside.sources.scratch import written
 
 STATIONS = "id long, name string, is_capital boolean, n_dest long"
 EXONYMS = [("Monaco di Baviera", "München"), ("Praga", "Praha"), ("abca", "bc"), ("ab", "Zürich")]
@@ -67,3 +68,30 @@ def test_ranks_over_ranges_are_those_of_one_sort(spark):
     assert client.ranked(df.limit(0), F.desc("n_dest")).count() == 0
     plan = client.ranked(df, F.desc("n_dest"))._jdf.queryExecution().executedPlan().toString()
     assert "Window [row_number" in plan and plan.count("SinglePartition") <= 1  # one row for each range
+
+
+@pytest.mark.parametrize("sent", [0, search.SENT])
+def test_stations_and_searches_are_never_sent(spark, monkeypatch, sent):
+    """Names are few bytes in their files, their letters are many rows: neither they nor the searches go through the driver."""
+    monkeypatch.setattr(search, "SENT", sent)
+    monkeypatch.setattr(search, "SLICE", 500)
+    stations = [(k, f"München {k}" if k % 2 else f"Bad Köln {k % 40}", k % 10 == 0, k % 17) for k in range(3000)]
+    queries = [(k, ("unch", "n 1", "köln 3", "mun", "praga")[k % 5]) for k in range(2000)]
+    exonyms = [("Praga", "Praha")]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    frames = spark.createDataFrame(stations, STATIONS), spark.createDataFrame(queries, "search_id long, query string"), spark.createDataFrame(exonyms, "name string, native string")
+    kept = [written(f, "given") for f in frames]  # as files, by whose size Spark would send them
+    got = search.search_all(kept[0], kept[1], kept[2], reach=kept[0].filter("id % 13 <> 0"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain([s for s in stations if s[0] % 13], queries, exonyms, 10)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    sizes = []
+    for k in range(before, store.executionsCount()):
+        run = store.executionsList().apply(k)
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                of = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                sizes += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in of if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    assert max(sizes, default=0) <= 100 and (sizes == []) == (sent == 0)
