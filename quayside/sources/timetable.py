@@ -13,6 +13,8 @@ CITIES = ("München", "Zürich", "Łódź", "Köln", "Praha")
 ENDINGS = ("", " Hbf", " Hauptbahnhof")
 MODES = ("walk", "metro", "tram", "bus", "rail", "ferry", "taxi")
 SLICE = ("1998-06-01", "1998-07-01")
+#: Lines that a task sorts at once, however large the table is.
+LINES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +40,20 @@ def trips(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
     return o.join(c, "o_custkey").join(n, "c_nationkey").select(key.alias("trip_id"), F.to_date("o_orderdate").alias("service_day"), train.alias("train"), F.col("r_name").alias("feed"), (F.col("o_custkey") % 150).alias("service_id"))
 
 
+def _by_order(lines: DataFrame) -> DataFrame:
+    """The lines dealt out by order. Spark deals small tables out among its cores; larger ones, of which a core would have
+    more than LINES, go into so many parts that a task has no more on average, and Spark doesn't put these together again."""
+    spark, n = lines.sparkSession, lines.count()
+    if n <= LINES * spark.sparkContext.defaultParallelism:
+        return lines.repartition("l_orderkey")
+    return lines.repartition(max(-(-n // LINES), int(spark.conf.get("spark.sql.shuffle.partitions"))), "l_orderkey")
+
+
 def stop_times(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """trip_id, idx (from 1), station, arr, dep: lines of an order as calls of a trip."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     if not start:
-        lines = lines.repartition("l_orderkey")  # ahead of what is derived, so that all readers share one exchange of four columns
+        lines = _by_order(lines)  # ahead of what is derived, so that all readers share one exchange of four columns
     else:
         lines = lines.join(orders_in(spark, sf_dir, start, end).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     # lines equal in these are the same call, whatever the further columns by which the SQL numbers them

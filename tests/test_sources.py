@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators import calendar
-from quayside.sources import gtfs, netex
+from quayside.sources import gtfs, netex, timetable
 
 
 @pytest.fixture
@@ -175,3 +175,17 @@ def test_publication(spark, tmp_path, packed):
         assert {r.trip_id for r in netex.on_day(found, bits, F.lit(datetime.date(2026, 10, day))).collect()} == want
     stops = netex.stops(netex.elements(spark, path, "StopPlace"), netex.elements(spark, path, "ScheduledStopPoint"))
     assert {tuple(r) for r in stops.drop("feed").collect()} == {("place:lindau", "Lindau Insel", 47.54, 9.68), ("point:bregenz", "Bregenz", 47.5, 9.74), ("point:hergatz", "Hergatz", None, None)}
+
+
+def test_lines_of_a_task_stay_few(spark, monkeypatch):
+    """Calls of a large table lie in parts of so many lines, which Spark doesn't put together; the calls stay the same."""
+    at = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = rows(timetable.stop_times(spark, at))
+    monkeypatch.setattr(timetable, "LINES", 500, raising=False)
+    calls = timetable.stop_times(spark, at)
+    each = [r["count"] for r in calls.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert len(whole) > 5_000 and sum(each) == len(whole) and max(each) <= 1_000
+    assert rows(calls) == whole
+    monkeypatch.setattr(timetable, "LINES", len(whole))
+    assert calls.rdd.getNumPartitions() > timetable.stop_times(spark, at).rdd.getNumPartitions()
