@@ -46,6 +46,31 @@ def proximity_pairs(found: DataFrame, most_m: float = NEAR_M) -> DataFrame:
     return met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
 
 
+#: Stops of a place that meet the stops of another at once, and pairs of stops that a task gives on average at most.
+BLOCK, PAIRS = 1_000, 5_000_000
+
+
+def stop_pairs(stops: DataFrame, most_m: float = NEAR_M) -> DataFrame:
+    """a, b: all stops of equal name less than most_m apart, the earlier first, those of one place included.
+
+    Found by places, so that distances are taken once for each pair of places. A place's stops lie in blocks of about BLOCK,
+    and pairs of blocks are dealt out before they become pairs of stops, so that neither a place nor a task holds very many."""
+    found = written(places(stops), "places")
+    near = proximity_pairs(found, most_m)
+    near = written(near.unionByName(found.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))), "near")
+    block = F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    blocks = place_members(stops).join(found.select("rep", "n"), "rep").groupBy("rep", block).agg(F.collect_list("ord").alias("stops"))
+    blocks = written(blocks, "blocks")
+    side = lambda c: blocks.select(F.col("rep").alias(c), F.col("block").alias(f"block_{c}"), F.col("stops").alias(f"of_{c}"))
+    n = near.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0))).first()[0]
+    n = max(-(-n // PAIRS), int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # blocks of one place meet once
+    met = near.join(side("a"), "a").join(side("b"), "b").filter("a <> b or block_a <= block_b").repartition(n, "a", "b", "block_a", "block_b")
+    own = met.withColumn("one", (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))).select("one", F.explode("of_a").alias("x"), "of_b")
+    both = own.select("one", "x", F.explode("of_b").alias("y")).filter("not one or x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def merge_one_hop(stops: DataFrame) -> DataFrame:
     """ord, canonical: the first stop of equal name within reach, or itself."""
     found = written(places(stops), "places")

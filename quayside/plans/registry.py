@@ -484,8 +484,14 @@ def uic_extract(spark, sf):
     return tt.raw_stops(spark, sf).select("stop_id", text.code_of(F.col("stop_id")).alias("code")).distinct()
 
 
-@query("proximity_pairs", "SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b FROM m_places a JOIN m_places b ON a.norm = b.norm AND a.rep < b.rep WHERE " + _dist + " < 500", **_stops)
+@query("proximity_pairs", "SELECT ord AS a, other AS b FROM m_pairs", **_stops)
 def proximity_pairs(spark, sf):
+    """All pairs of stops, those of one place included."""
+    return resolve.stop_pairs(_raw(spark, sf))
+
+
+@query("place_pairs", "SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b FROM m_places a JOIN m_places b ON a.norm = b.norm AND a.rep < b.rep WHERE " + _dist + " < 500", **_stops)
+def place_pairs(spark, sf):
     """Pairs of places; place_members says which stops they stand for."""
     return resolve.proximity_pairs(resolve.places(_raw(spark, sf)))
 

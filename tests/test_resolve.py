@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quayside.functions import text
 from quayside.operators import resolve
+from quayside.plans import registry
 
+SMALL = "/root/testdata/sf0.001"
 STOPS = "ord long, feed string, stop_id string, name string, code string, country string, lat double, lon double"
 
 
@@ -88,6 +91,25 @@ def test_pairs_of_places_stand_for_all_pairs_of_stops(spark):
     assert once == {i: min([j for j, m, v, w in rows if m == n and resolve._metres((y, x), (v, w)) < 500]) for i, n, y, x in rows}
 
 
+@pytest.mark.parametrize("block", [3, resolve.BLOCK])
+def test_stop_pairs_are_all_pairs_of_stops(spark, monkeypatch, block):
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    r = random.Random(11)
+    rows = [(k, r.choice(("A", "B")), 50 + r.randrange(4) * 0.0022, 8 + r.randrange(4) * 0.003) for k in range(150)] + [(150, "A", None, 8.0)]
+    want = sorted((i, j) for i, n, y, x in rows for j, m, v, w in rows if i < j < 150 and n == m and resolve._metres((y, x), (v, w)) < 500)
+    got = resolve.stop_pairs(spark.createDataFrame(rows, "ord long, name string, lat double, lon double"))
+    assert sorted(map(tuple, got.collect())) == want and any(rows[i][1:] == rows[j][1:] for i, j in want) and any(rows[i][1:] != rows[j][1:] for i, j in want)
+
+
+def test_proximity_pairs_query_gives_pairs_of_stops(spark):
+    """The whole job of the SQL: pairs of stops, not of their places alone."""
+    got = registry.QUERIES["proximity_pairs"](spark, SMALL)
+    members = {x.ord: x.rep for x in registry.QUERIES["place_members"](spark, SMALL).collect()}
+    near = {(x.a, x.b) for x in registry.QUERIES["place_pairs"](spark, SMALL).collect()}
+    want = sorted((i, j) for i in members for j in members if i < j and (members[i] == members[j] or tuple(sorted((members[i], members[j]))) in near))
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == want and len(want) > len(near)
+
+
 def test_first_independent_nodes_of_random_graphs(spark):
     r = random.Random(3)
     pairs = sorted({tuple(sorted(r.sample(range(80), 2))) for _ in range(160)} | {(k, k + 1) for k in range(100, 130)})
